@@ -8,6 +8,7 @@ from bisect import bisect_left, bisect_right
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Coarse to fine. The empty string stands for single characters.
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
@@ -74,7 +75,7 @@ def split_text(text: str | None, size: int, overlap: int) -> list[str]:
 def recursive_chunks(text: Column, size: int, overlap: int) -> Column:
     """``split_text`` per row as array<string>; null where a text could not be split."""
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf(T.ArrayType(T.StringType()))
     def split(texts: pa.Array) -> pa.Array:
         def one(value):
             try:

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagework.functions.text import is_blank
 
@@ -61,7 +62,7 @@ def embedding(text: Column, provider, batch_size: int = 32) -> Column:
     """Vector of a text; the zero vector for null or blank text, which never reaches the provider."""
     dimension = provider.dimension
 
-    @F.arrow_udf("array<float>")
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             rows = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))

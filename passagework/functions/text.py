@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Whitespace, as the body of a character class. Java's \s alone is ASCII.
 WS = r"\s\u001c-\u001f\u0085\p{Z}"
@@ -53,14 +54,14 @@ URL = rf"https?://[^{WS}]++"
 EMAIL = rf"(?<![^{WS}])[^{WS}][^{WS}@]*+@[^{WS}][^{WS}.]*+\.[^{WS}]++"
 
 
-@F.arrow_udf("string")
 def _nfkc(text: pa.Array) -> pa.Array:
     return pc.utf8_normalize(text, form="NFKC")
 
 
 def normalize_unicode(text: Column) -> Column:
     """NFKC. ASCII rows are their own normal form and are not sent to Python."""
-    return F.coalesce(_nfkc(F.when(F.octet_length(text) > F.char_length(text), text)), text)
+    wide = F.when(F.octet_length(text) > F.char_length(text), text)
+    return F.coalesce(F.arrow_udf(_nfkc, T.StringType())(wide), text)
 
 
 def fix_encoding(text: Column) -> Column:

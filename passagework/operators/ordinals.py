@@ -36,15 +36,14 @@ def number_by_document(chunks: DataFrame) -> DataFrame:
                      F.col("offset") + F.col("chunk_index")).drop("offset")
 
 
-def number_stored(spark, path: str, start: int = 0) -> DataFrame:
-    """Read a parquet folder and add ``ordinal`` and ``chunk_id`` in stored order.
+def number_stored(scan: DataFrame, start: int = 0) -> DataFrame:
+    """Add ``ordinal`` and ``chunk_id`` to rows read from parquet files, in stored order.
 
     Ordinal = rows in earlier files + position in the file. The shuffle moves one row per file;
-    the rows themselves, with their text, stay where they are.
+    the rows themselves, with their text, stay where they are. The scan must cover whole files.
     """
-    rows = spark.read.parquet(path).select(
-        "*", F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.row_index").alias("row_index"))
+    rows = scan.select("*", F.col("_metadata.file_name").alias("file_name"),
+                       F.col("_metadata.row_index").alias("row_index"))
     offsets = running_offsets(rows.groupBy("file_name").agg(F.count("*").alias("n")), "file_name")
     # One row per file of a job's output: bounded by the number of write tasks.
     numbered = rows.join(F.broadcast(offsets.select("file_name", "offset")), "file_name")
