@@ -6,8 +6,9 @@ anchored where a run begins, so a megabyte of junk without a single space costs
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +56,8 @@ EMAIL = rf"(?<![^{WS}])[^{WS}][^{WS}@]*+@[^{WS}][^{WS}.]*+\.[^{WS}]++"
 
 
 def _nfkc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text, form="NFKC")
+    # Arrow's own utf8_normalize leaves NFKC decomposed.
+    return pa.array([t and normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
 def normalize_unicode(text: Column) -> Column:

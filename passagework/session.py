@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 def local_session(cores: int | str = "*", name: str = "passagework") -> SparkSession:
     return (SparkSession.builder.master(f"local[{cores}]").appName(name)
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "8g")
             .config("spark.sql.shuffle.partitions", "8")
             .config("spark.sql.session.timeZone", "UTC")
