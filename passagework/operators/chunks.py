@@ -6,22 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.functions.chunking import chunk_shape, fixed_windows, recursive_chunks
-from passagework.functions.text import is_blank
 from passagework.operators.cleaning import clean_documents
 from passagework.schemas import Settings
 
 
-def _with_metadata(docs: DataFrame, chunks: Column, outer: bool) -> DataFrame:
-    explode = F.posexplode_outer if outer else F.posexplode
+def _with_metadata(docs: DataFrame, chunks: Column, keep_empty: bool) -> DataFrame:
     listed = docs.select(
         "doc_id", chunks.alias("chunks"),
         F.coalesce("source", F.lit("unknown")).alias("source"),
         F.coalesce("category", F.lit("uncategorized")).alias("category"),
         F.coalesce("filename", F.lit("unknown")).alias("filename"))
-    return listed.select(
-        "doc_id", explode("chunks").alias("chunk_index", "text"),
+    # Before a plain explode Spark would filter on the size of the array and so compute it twice.
+    rows = listed.select(
+        "doc_id", F.posexplode_outer("chunks").alias("chunk_index", "text"),
         F.size("chunks").alias("total_chunks"), "source", "category", "filename",
     ).select("doc_id", "chunk_index", "total_chunks", "text", "source", "category", "filename")
+    return rows if keep_empty else rows.where("chunk_index is not null")
 
 
 def chunk_documents(docs: DataFrame, size: int | None = None, overlap: int | None = None,
@@ -32,11 +32,7 @@ def chunk_documents(docs: DataFrame, size: int | None = None, overlap: int | Non
     document without text, null for one that failed.
     """
     size, overlap = chunk_shape(size, overlap, settings.chunk_size, settings.chunk_overlap)
-    if keep_empty:
-        text = F.coalesce("text", F.lit(""))
-    else:
-        docs, text = docs.where(~is_blank(F.col("text"))), F.col("text")
-    return _with_metadata(docs, recursive_chunks(text, size, overlap), keep_empty)
+    return _with_metadata(docs, recursive_chunks(F.col("text"), size, overlap), keep_empty)
 
 
 def window_documents(docs: DataFrame, size: int | None = None,

@@ -45,5 +45,7 @@ def extract_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         .otherwise(F.get("lines", s["start"] - 1)).alias("heading"),
         F.array_join(F.slice("lines", s["start"] + 1, s["stop"] - s["start"] - 1), "\n")
         .alias("content")))
-    return found.select(key, F.posexplode(sections).alias("section_no", "section")).select(
-        key, "section_no", "section.heading", "section.content")
+    # Before a plain explode Spark would filter on the size of the array and so compute it twice.
+    return found.select(key, F.posexplode_outer(sections).alias("section_no", "section")) \
+        .where("section_no is not null") \
+        .select(key, "section_no", "section.heading", "section.content")

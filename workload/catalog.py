@@ -5,7 +5,6 @@ Each query reads whole tables. ``QUERIES[name] = (function(spark, sf_dir), sql o
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -33,7 +32,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 
 EMBEDDER = HashEmbedder(SETTINGS.dimension)
-TEN_THOUSANDTHS = "cast(round({x} * 10000) as bigint)"
 
 
 def register(name: str, sql: str | None):
@@ -241,7 +239,7 @@ def chunk_ordinals(spark, sf):
     from cells where x <> 0""")
 def hash_vectors(spark, sf):
     vectors = embed(widen(spark_view(spark, sf, "corpus"), "doc_id"), EMBEDDER)
-    return vectors.select("doc_id", F.posexplode("embedding").alias("cell", "x")).where("x <> 0") \
+    return vectors.select("doc_id", F.posexplode_outer("embedding").alias("cell", "x")).where("x <> 0") \
         .select("doc_id", "cell",
                 F.round(F.col("x").cast("double") * 1000000).cast("bigint").alias("weight"))
 
