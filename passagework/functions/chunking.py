@@ -98,9 +98,27 @@ def estimated_chunks(text: Column, size: int | None = None, overlap: int | None
     return F.when(length <= size, F.lit(1)).otherwise(F.greatest(F.lit(1), count)).cast("int")
 
 
+# Windows that are cut from one block of text at a time.
+_BLOCK = 64
+
+
 def fixed_windows(text: Column, size: int | None = None, overlap: int | None = None) -> Column:
-    """Windows of ``size`` characters every ``size - overlap``, as many as estimated."""
+    """Windows of ``size`` characters every ``size - overlap``, as many as estimated.
+
+    Finding a character position means walking the text from its start, so a long text is cut into
+    blocks first and windows are cut from those.
+    """
     count = estimated_chunks(text, size, overlap)
     size, overlap = chunk_shape(size, overlap)
-    starts = F.sequence(F.lit(0), count - 1)
-    return F.transform(starts, lambda i: F.substring(text, i * (size - overlap) + 1, F.lit(size)))
+    step = size - overlap
+
+    def block_windows(number: Column) -> Column:
+        first = number * _BLOCK
+        block = F.substring(text, first * step + 1, F.lit(_BLOCK * step + overlap))
+        inside = F.sequence(F.lit(0), F.least(F.lit(_BLOCK), count - first) - 1)
+        # The one-element array binds the block, which is then cut once.
+        return F.flatten(F.transform(F.array(block), lambda part: F.transform(
+            inside, lambda i: F.substring(part, i * step + 1, F.lit(size)))))
+
+    blocks = F.sequence(F.lit(0), ((count - 1) / _BLOCK).cast("int"))
+    return F.flatten(F.transform(blocks, block_windows))

@@ -8,9 +8,8 @@ load it on first use, so that it is shipped to workers without weights and loade
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +19,26 @@ from pyspark.sql import types as T
 
 from passagework.functions.text import is_blank
 
-_TOKEN = re.compile(r"[A-Za-z0-9]+")
+# ASCII letters in lower case and digits; every other byte of UTF-8 text separates words.
+_WORD_BYTES = bytes(b if chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz"
+                    else ord(chr(b).lower()) if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+                    else ord(" ") for b in range(256))
 
 
-@lru_cache(maxsize=1 << 18)
-def _token_hash(token: str) -> tuple[int, int]:
-    """First eight hex digits of the md5 as a number, and a sign from the parity of the ninth."""
-    digest = hashlib.md5(token.encode("ascii")).digest()
-    return int.from_bytes(digest[:4], "big"), 1 - 2 * (digest[4] >> 4 & 1)
+class _TokenCodes(dict):
+    """Token -> first eight hex digits of its md5, doubled, plus the parity of the ninth."""
+
+    limit = 1 << 20
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        digest = hashlib.md5(token).digest()
+        code = self[token] = int.from_bytes(digest[:4], "big") << 1 | digest[4] >> 4 & 1
+        return code
+
+
+_CODES = _TokenCodes()
 
 
 class HashEmbedder:
@@ -37,27 +48,19 @@ class HashEmbedder:
         self.dimension = dimension
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        cells, signs = [], []
-        for row, text in enumerate(texts):
-            base = row * self.dimension
-            for token in _TOKEN.findall(text.lower() if text.isascii() else _ascii_lower(text)):
-                number, sign = _token_hash(token)
-                cells.append(base + number % self.dimension)
-                signs.append(sign)
-        counts = np.bincount(np.array(cells, np.int64), np.array(signs, np.float64),
-                             len(texts) * self.dimension).reshape(len(texts), self.dimension)
+        tokens = [t.encode().translate(_WORD_BYTES).split() for t in texts]
+        sizes = [len(t) for t in tokens]
+        codes = np.fromiter(map(_CODES.__getitem__, chain.from_iterable(tokens)), np.int64,
+                            sum(sizes))
+        cells = (codes >> 1) % self.dimension
+        cells += np.repeat(np.arange(len(texts)) * self.dimension, sizes)
+        counts = np.bincount(cells, 1.0 - 2.0 * (codes & 1), len(texts) * self.dimension) \
+            .reshape(len(texts), self.dimension)
         # Counts are whole numbers, so the squared length is exact.
         length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
         return np.divide(counts, length, out=counts, where=length > 0).astype(np.float32)
 
 
-_UPPER_TO_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
-def _ascii_lower(text: str) -> str:
-    return text.translate(_UPPER_TO_LOWER)
-
-
 def embedding(text: Column, provider, batch_size: int = 32) -> Column:
     """Vector of a text; the zero vector for null or blank text, which never reaches the provider."""
     dimension = provider.dimension

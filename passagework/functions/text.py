@@ -91,9 +91,16 @@ def normalize_unicode(text: Column) -> Column:
 
 def fix_encoding(text: Column) -> Column:
     """Replace ligatures, curly quotes, long dashes, ellipsis, no-break and zero-width spaces."""
-    for glyph, plain in GLYPHS.items():
-        text = F.replace(text, F.lit(glyph), F.lit(plain))
-    return text
+
+    def repair(bound: Column) -> Column:
+        fixed = bound
+        for glyph, plain in GLYPHS.items():
+            fixed = F.replace(fixed, F.lit(glyph), F.lit(plain))
+        return F.when(F.octet_length(bound) == F.char_length(bound), bound).otherwise(fixed)
+
+    # ASCII text holds none of them. The one-element array binds the text, to test it and use it
+    # without computing it twice.
+    return F.transform(F.array(text), repair).getItem(0)
 
 
 def drop_furniture_lines(text: Column) -> Column:

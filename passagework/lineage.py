@@ -1,4 +1,7 @@
-"""Durable cuts in a plan: intermediate tables that survive the loss of executors."""
+"""Durable cuts in a plan: intermediate tables that survive the loss of executors.
+
+They lie under ``spark.checkpoint.dir`` like checkpoints do, and are cleared together with them.
+"""
 
 from __future__ import annotations
 
@@ -19,12 +22,6 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage(df: DataFrame, partition_by: list[str] | None = None) -> str:
     """Write ``df`` as parquet under the shared folder and return the path."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
@@ -35,6 +32,14 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> str:
     return path
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once, into a table in the shared folder, and go on from there.
+
+    Unlike a row-wise checkpoint, what follows reads only the columns it needs.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(stage(df))
+
+
 def widen(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan over all cores when it has fewer splits than there are cores.
 

@@ -12,10 +12,10 @@ def running_offsets(counts: DataFrame, key: str, n: str = "n", out: str = "offse
     """Add the sum of ``n`` over all rows with a smaller ``key``.
 
     Rows are range-partitioned by key, so only the partition totals, one row each, are ever summed
-    in a single place; inside a partition a window does the rest. The ranges come from a sample,
-    so they are pinned by writing the (narrow) table once.
+    in a single place; inside a partition a window does the rest. The narrow table is written
+    before, because ranges come from a sample that would compute it twice, and after, to pin them.
     """
-    ranged = cut(counts.select(key, n).repartitionByRange(F.col(key))
+    ranged = cut(cut(counts.select(key, n)).repartitionByRange(F.col(key))
                  .withColumn("part", F.spark_partition_id()))
     totals = ranged.groupBy("part").agg(F.sum(n).alias("total"))
     below = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

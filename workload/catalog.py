@@ -188,7 +188,7 @@ _WINDOWS_SQL = """counted as (select *, case when length(text) <= 1000 then 1 el
 
 @register("fixed_windows", f"{sq.with_views('corpus')}, {_WINDOWS_SQL} select * from chunks")
 def fixed_windows(spark, sf):
-    return window_documents(spark_view(spark, sf, "corpus"))
+    return window_documents(widen(spark_view(spark, sf, "corpus"), "doc_id"))
 
 
 @register("recursive_chunks", f"""{sq.with_views('corpus').replace('with', 'with recursive', 1)},
@@ -225,7 +225,7 @@ def processed_documents(spark, sf):
     select doc_id, chunk_index, ordinal::bigint as ordinal, 'chunk_' || ordinal as chunk_id
     from numbered""")
 def chunk_ordinals(spark, sf):
-    chunks = window_documents(spark_view(spark, sf, "corpus")).drop("text")
+    chunks = window_documents(widen(spark_view(spark, sf, "corpus"), "doc_id")).drop("text")
     return number_by_document(chunks).select("doc_id", "chunk_index", "ordinal", "chunk_id")
 
 
@@ -417,7 +417,7 @@ def ingest_statistics(spark, sf):
 
 
 def _numbered_windows(spark, sf):
-    return number_by_document(window_documents(spark_view(spark, sf, "corpus")).drop("text"))
+    return number_by_document(window_documents(widen(spark_view(spark, sf, "corpus"), "doc_id")).drop("text"))
 
 
 _NUMBERED_SQL = (f"{sq.with_views('corpus')}, {_WINDOWS_SQL}, numbered as (select *, "
@@ -428,13 +428,13 @@ _NUMBERED_SQL = (f"{sq.with_views('corpus')}, {_WINDOWS_SQL}, numbered as (selec
 
 @register("collection_count", f"{_NUMBERED_SQL} select count(*) as total_chunks from numbered")
 def collection_count(spark, sf):
-    return stats.collection_count(window_documents(spark_view(spark, sf, "corpus")))
+    return stats.collection_count(window_documents(widen(spark_view(spark, sf, "corpus"), "doc_id")))
 
 
 @register("category_counts",
           f"{_NUMBERED_SQL} select category, count(*) as chunks from numbered group by category")
 def category_counts(spark, sf):
-    return stats.category_counts(window_documents(spark_view(spark, sf, "corpus")))
+    return stats.category_counts(window_documents(widen(spark_view(spark, sf, "corpus"), "doc_id")))
 
 
 @register("sampled_category_counts", f"{_NUMBERED_SQL} select * from sample")
@@ -634,7 +634,7 @@ def _valid_requests(spark, sf):
 def _stored_chunks(spark, sf):
     """The chunks of the dirty documents with their vectors, written once."""
     chunks = process_documents(widen(spark_view(spark, sf, "dirty"), "doc_id"))
-    return cut(embed(chunks, EMBEDDER))
+    return cut(embed(chunks, EMBEDDER, batch_size=256))
 
 
 def _flat_response(response: DataFrame) -> DataFrame:
