@@ -52,6 +52,7 @@ def scan_texts(spark: SparkSession, directory: str, recursive: bool = True,
     """One document per text file: (doc_id, text, source, category, filename).
 
     ``doc_id`` is a hash of the path, so it does not depend on how the files are split into tasks.
+    Spark does not read files of zero bytes; they give no document.
     """
     files = _load(spark.read.format("text").option("wholetext", "true"), directory, suffix,
                   recursive).select(F.col("value").alias("text"),
