@@ -41,12 +41,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def widen(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scan over all cores when it has fewer splits than there are cores.
+    """Spread a small input over all cores.
 
-    A large input already has more splits than cores and passes through untouched, so its text is
-    never shuffled.
+    Spark does not split files below ``openCostInBytes``, so an input with fewer bytes than that
+    per core leaves cores idle. Anything larger passes through untouched: its text is never
+    shuffled. The decision rests on the optimizer's size estimate and runs no job.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *keys) if size < cores * split else df

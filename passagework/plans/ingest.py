@@ -64,8 +64,8 @@ def add_documents(documents: DataFrame, root: str, embedder, settings: Settings
     _check_batch(batch_size)
     current = store.open_collection(documents.sparkSession, root)
     staged = stage_chunks(documents, settings)
-    added = embed(numbered_chunks(staged, store.next_ordinal(current)), embedder,
-                  batch_size=batch_size)
+    start = store.next_ordinal(documents.sparkSession, root)
+    added = embed(numbered_chunks(staged, start), embedder, batch_size=batch_size)
     if replace:
         columns = STORED_CHUNK.fieldNames()
         kept = store.without_sources(current, staged)

@@ -28,10 +28,11 @@ def _next_number(labels: list[str]) -> int:
     return max((int(n) for n in labels if n.isdigit()), default=-1) + 1
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
+def _completed_at(spark: SparkSession, path: str) -> int | None:
+    """When the write of a folder was completed, or None."""
     marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     fs = marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return fs.exists(marker)
+    return fs.getFileStatus(marker).getModificationTime() if fs.exists(marker) else None
 
 
 def snapshot_path(root: str, number: int) -> str:
@@ -44,13 +45,21 @@ def batch_path(root: str, snapshot: int, label: int | str) -> str:
 
 def current_snapshot(spark: SparkSession, root: str) -> int | None:
     complete = [int(n) for n in _folders(spark, root, "snapshot")
-                if _complete(spark, batch_path(root, int(n), 0))]
+                if _completed_at(spark, batch_path(root, int(n), 0)) is not None]
     return max(complete, default=None)
 
 
 def complete_batches(spark: SparkSession, root: str, snapshot: int) -> list[str]:
-    return [b for b in _folders(spark, snapshot_path(root, snapshot), "batch")
-            if _complete(spark, batch_path(root, snapshot, b))]
+    """Labels of the complete batches, oldest first."""
+    times = {b: _completed_at(spark, batch_path(root, snapshot, b))
+             for b in _folders(spark, snapshot_path(root, snapshot), "batch")}
+    return sorted((b for b, at in times.items() if at is not None), key=lambda b: times[b])
+
+
+def _read(spark: SparkSession, root: str, snapshot: int, batches: list[str]) -> DataFrame:
+    return spark.read.schema(STORED_CHUNK).option("basePath", snapshot_path(root, snapshot)) \
+        .parquet(*[batch_path(root, snapshot, b) for b in batches]) \
+        .select(*STORED_CHUNK.fieldNames())
 
 
 def open_collection(spark: SparkSession, root: str) -> DataFrame:
@@ -59,10 +68,7 @@ def open_collection(spark: SparkSession, root: str) -> DataFrame:
     if snapshot is None:
         return spark.createDataFrame([], STORED_CHUNK)
     # One scan over all complete batches; filters on category prune folders.
-    return spark.read.schema(STORED_CHUNK).option("basePath", snapshot_path(root, snapshot)) \
-        .parquet(*[batch_path(root, snapshot, b)
-                   for b in complete_batches(spark, root, snapshot)]) \
-        .select(*STORED_CHUNK.fieldNames())
+    return _read(spark, root, snapshot, complete_batches(spark, root, snapshot))
 
 
 def write_batch(chunks: DataFrame, path: str) -> None:
@@ -90,9 +96,19 @@ def append(chunks: DataFrame, root: str, label: int | str | None = None) -> str:
     return str(label)
 
 
-def next_ordinal(collection: DataFrame) -> int:
-    """One more than the largest ordinal; the count, as long as nothing was removed."""
-    return collection.agg(F.coalesce(F.max("ordinal") + 1, F.lit(0)).alias("n")).first()["n"]
+def next_ordinal(spark: SparkSession, root: str) -> int:
+    """One more than the largest ordinal; the count, as long as nothing was removed.
+
+    Ordinals grow from batch to batch, so the newest batch with rows has the largest.
+    """
+    snapshot = current_snapshot(spark, root)
+    if snapshot is None:
+        return 0
+    for batch in reversed(complete_batches(spark, root, snapshot)):
+        last = _read(spark, root, snapshot, [batch]).agg(F.max("ordinal")).first()[0]
+        if last is not None:
+            return last + 1
+    return 0
 
 
 def without_sources(collection: DataFrame, documents: DataFrame) -> DataFrame:

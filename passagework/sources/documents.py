@@ -15,23 +15,21 @@ from passagework.functions.text import is_blank
 PageReader = Callable[[bytes], Iterable[str]]
 
 
-def _load(reader, directory: str, suffix: str, recursive: bool) -> DataFrame:
+def _load(spark: SparkSession, form: str, directory: str, suffix: str, recursive: bool,
+          **options) -> DataFrame:
     root = directory.rstrip("/")
+    if not _exists(spark, root):
+        raise FileNotFoundError(f"no such folder: {directory}")
+    reader = spark.read.format(form).options(**options).option("pathGlobFilter", f"*{suffix}")
+    below = reader.option("recursiveFileLookup", "true")
+    if recursive:
+        return below.load(root)
     try:
-        if recursive:
-            return reader.option("recursiveFileLookup", "true") \
-                .option("pathGlobFilter", f"*{suffix}").load(root)
-        # One level: the folder must exist, matching files need not.
-        reader.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}") \
-            .load(root)
-        return reader.load(f"{root}/*{suffix}")
+        return spark.read.format(form).options(**options).load(f"{root}/*{suffix}")
     except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND" and not _exists(reader._spark, root):
-            raise FileNotFoundError(f"no such folder: {directory}") from error
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return reader.option("recursiveFileLookup", "true") \
-                .option("pathGlobFilter", f"*{suffix}").load(root).limit(0)
-        raise
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return below.load(root).limit(0)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -54,9 +52,8 @@ def scan_texts(spark: SparkSession, directory: str, recursive: bool = True,
     ``doc_id`` is a hash of the path, so it does not depend on how the files are split into tasks.
     Spark does not read files of zero bytes; they give no document.
     """
-    files = _load(spark.read.format("text").option("wholetext", "true"), directory, suffix,
-                  recursive).select(F.col("value").alias("text"),
-                                    plain_path(F.col("_metadata.file_path")).alias("path"))
+    files = _load(spark, "text", directory, suffix, recursive, wholetext=True).select(
+        F.col("value").alias("text"), plain_path(F.col("_metadata.file_path")).alias("path"))
     described = describe_files(files, directory)
     return described.select(F.xxhash64("path").alias("doc_id"), "text", "source", "category",
                             "filename")
@@ -68,7 +65,7 @@ def scan_pages(spark: SparkSession, directory: str, read_pages: PageReader, suff
 
     A file that cannot be read gives one row with a null text and the reason in ``problem``.
     """
-    files = _load(spark.read.format("binaryFile"), directory, suffix, recursive).select(
+    files = _load(spark, "binaryFile", directory, suffix, recursive).select(
         plain_path(F.col("path")).alias("path"), "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
