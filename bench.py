@@ -19,7 +19,7 @@ from workload.catalog import QUERIES  # noqa: E402
 HEADLINES = (
     "nearest_vectors", "nearest_in_category", "search_above_threshold", "search_approximately",
     "clean_text", "clean_for_embedding", "sections", "fixed_windows", "recursive_chunks",
-    "processed_documents", "hash_vectors", "chunk_ordinals", "page_assembly", "collection_stats",
+    "processed_documents", "hash_vectors", "chunk_vectors", "chunk_ordinals", "page_assembly", "collection_stats",
     "ingest_statistics", "packed_context", "messages", "request_validation", "rebuilt_collection",
     "answers", "answers_above_threshold", "search_results",
 )

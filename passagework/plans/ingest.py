@@ -68,7 +68,7 @@ def add_documents(documents: DataFrame, root: str, embedder, settings: Settings
     added = embed(numbered_chunks(staged, start), embedder, batch_size=batch_size)
     if replace:
         columns = STORED_CHUNK.fieldNames()
-        kept = store.without_sources(current, staged)
+        kept = store.without_sources(current, staged, settings)
         store.rebuild(kept.select(columns).unionByName(added.select(columns)), root)
     else:
         store.append(added, root, batch)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.schemas import STORED_CHUNK
+from passagework.schemas import STORED_CHUNK, Settings
 
 
 def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
@@ -111,6 +111,13 @@ def next_ordinal(spark: SparkSession, root: str) -> int:
     return 0
 
 
-def without_sources(collection: DataFrame, documents: DataFrame) -> DataFrame:
-    """The collection less every chunk of the given documents' sources."""
-    return collection.join(documents.select("source").distinct(), "source", "left_anti")
+def without_sources(collection: DataFrame, documents: DataFrame,
+                    settings: Settings = Settings()) -> DataFrame:
+    """The collection less every chunk of the given documents' sources.
+
+    Few sources are broadcast, so that the collection is filtered where it lies.
+    """
+    sources = documents.select("source").distinct()
+    if sources.count() <= settings.broadcast_hits:
+        sources = F.broadcast(sources)
+    return collection.join(sources, "source", "left_anti")

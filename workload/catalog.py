@@ -79,35 +79,37 @@ def unreadable_documents(spark, sf):
     return good.select(columns).unionAll(bad.select(columns))
 
 
-@register("folder_category", """with files as (
-        select doc_id, '/data/raw' || case doc_id % 3 when 0 then '' when 1 then '/' || lang
-            else '/' || lang || '/' || source end || '/' || doc_id || '.txt' as path from documents)
-    select doc_id, case when string_split(path, '/')[-2] = 'raw' then 'uncategorized'
-        else string_split(path, '/')[-2] end as category from files""")
-def folder_category(spark, sf):
-    return _files(spark, sf, "/data/raw").select(
-        "doc_id", paths.folder_category(F.col("path"), "/data/raw").alias("category"))
+_FILES_SQL = """files as (select doc_id, root, root || case doc_id % 3 when 0 then ''
+        when 1 then '/' || lang else '/' || lang || '/' || source end || '/' || doc_id || '.txt'
+        as path from (select *, case doc_id % 2 when 0 then '/data/raw' else '/data/files' end
+        as root from documents))"""
+
+
+def _files(spark, sf):
+    """Paths at three depths under two roots."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet").withColumn(
+        "root", F.expr("case doc_id % 2 when 0 then '/data/raw' else '/data/files' end"))
+    return documents.select("doc_id", "root", F.concat(
+        F.col("root"), F.expr("case doc_id % 3 when 0 then '' when 1 then '/' || lang "
+                              "else '/' || lang || '/' || source end"),
+        F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
 
 
-def _files(spark, sf, root):
-    documents = spark.read.parquet(f"{sf}/documents.parquet")
-    return documents.select("doc_id", F.concat(
-        F.lit(root), F.expr("case doc_id % 3 when 0 then '' when 1 then '/' || lang "
-                            "else '/' || lang || '/' || source end"),
-        F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+@register("folder_category", f"""with {_FILES_SQL}
+    select doc_id, case when path = root || '/' || doc_id || '.txt' then 'uncategorized'
+        else string_split(path, '/')[-2] end as category from files""")
+def folder_category(spark, sf):
+    return _files(spark, sf).select(
+        "doc_id", paths.folder_category(F.col("path"), F.col("root")).alias("category"))
 
 
-@register("path_category", """with files as (
-        select doc_id, case when doc_id % 2 = 0 then '/data/raw' else '/data/files' end ||
-            case doc_id % 3 when 0 then '' when 1 then '/' || lang
-            else '/' || lang || '/' || source end || '/' || doc_id || '.txt' as path from documents),
+@register("path_category", f"""with {_FILES_SQL},
     parts as (select doc_id, string_split(path, '/') as p from files)
     select doc_id, case when list_contains(p, 'raw') then p[list_position(p, 'raw') + 1]
         else p[-2] end as category from parts""")
 def path_category(spark, sf):
-    raw, other = _files(spark, sf, "/data/raw"), _files(spark, sf, "/data/files")
-    files = raw.where("doc_id % 2 = 0").unionAll(other.where("doc_id % 2 = 1"))
-    return files.select("doc_id", paths.path_category(F.col("path")).alias("category"))
+    return _files(spark, sf).select(
+        "doc_id", paths.path_category(F.col("path")).alias("category"))
 
 
 @register("file_names", f"""{sq.with_views('corpus')}
@@ -637,6 +639,21 @@ def _stored_chunks(spark, sf):
     return cut(embed(chunks, EMBEDDER, batch_size=256))
 
 
+@register("chunk_vectors", f"""{_STORED_SQL}
+    select doc_id, chunk_index, len(list_filter(embedding, lambda x: x <> 0))::int as cells,
+        cast(round(list_sum(list_transform(embedding, lambda x, i: x::double * i)) * 1000) as bigint)
+        as weighted from stored""")
+def chunk_vectors(spark, sf):
+    chunks = process_documents(widen(spark_view(spark, sf, "dirty"), "doc_id"))
+    vectors = embed(chunks.select("doc_id", "chunk_index", "text"), EMBEDDER, batch_size=256)
+    # A sum in index order with the position as weight depends on every cell.
+    placed = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
+    return vectors.select(
+        "doc_id", "chunk_index", F.size(F.filter("embedding", lambda x: x != 0)).alias("cells"),
+        F.round(F.aggregate(placed, F.lit(0.0), lambda s, x: s + x) * 1000).cast("bigint")
+        .alias("weighted"))
+
+
 def _flat_response(response: DataFrame) -> DataFrame:
     line = F.transform("sources", lambda s: F.concat_ws(
         "|", s["content"], s["source"], s["category"], s["filename"],
