@@ -39,6 +39,9 @@ GLYPHS = {
     "\u200b": "",
 }
 
+# Ranges that hold all of them: three comparisons a character.
+GLYPH = r"[\u00a0\u200b-\u2026\ufb00-\ufb04]"
+
 # Lines that are page furniture. Matched against single lines.
 _S = rf"[{WS}]"
 FURNITURE_LINE = (
@@ -60,6 +63,11 @@ URL = rf"https?://[^{WS}]++"
 EMAIL = rf"(?<![^{WS}])[^{WS}][^{WS}@]*+@[^{WS}][^{WS}.]*+\.[^{WS}]++"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -96,11 +104,11 @@ def fix_encoding(text: Column) -> Column:
         fixed = bound
         for glyph, plain in GLYPHS.items():
             fixed = F.replace(fixed, F.lit(glyph), F.lit(plain))
-        return F.when(F.octet_length(bound) == F.char_length(bound), bound).otherwise(fixed)
+        # ASCII text holds none of them, and most other text neither.
+        ascii_only = F.octet_length(bound) == F.char_length(bound)
+        return F.when(ascii_only | ~bound.rlike(GLYPH), bound).otherwise(fixed)
 
-    # ASCII text holds none of them. The one-element array binds the text, to test it and use it
-    # without computing it twice.
-    return F.transform(F.array(text), repair).getItem(0)
+    return _bound(text, repair)
 
 
 def drop_furniture_lines(text: Column) -> Column:
@@ -115,7 +123,8 @@ def _squeeze(lines: Column) -> Column:
 
 def _end_lines(lines: Column) -> Column:
     """At most two line feeds in a row, then every line right-stripped."""
-    joined = F.regexp_replace(_text(lines), r"\n{3,}+", "\n\n")
+    joined = _bound(_text(lines), lambda text: F.when(
+        text.contains("\n\n\n"), F.regexp_replace(text, r"\n{3,}+", "\n\n")).otherwise(text))
     return F.transform(_lines(joined), lambda line: F.rtrim(line, F.lit(WS_CHARS)))
 
 
