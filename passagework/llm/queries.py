@@ -8,7 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from passagework.llm import secrets
 from passagework.llm.exact_dedup import mark_copies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,3 +37,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     from digests window same as (partition by text_sha256)""")
 def exact_dedup(spark, sf):
     return mark_copies(table(spark, sf, "documents"))
+
+
+@register("op5_secret_scans")
+def secret_scans(spark, sf):
+    found, kinds = F.col("found"), secrets.KINDS[:3]
+    return secrets.scan(table(spark, sf, "documents")).select(
+        "doc_id", *(F.size(F.filter(found, lambda s, kind=kind: s["kind"] == kind)).cast("long")
+                    .alias(f"n_{kind}") for kind in kinds),
+        F.sha2(secrets.listed(F.filter(found, lambda s: s["kind"].isin(*kinds))), 256)
+        .alias("base_sha256"), secrets.listed(found).alias("spans"))

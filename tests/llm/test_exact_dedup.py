@@ -21,7 +21,7 @@ def brute(rows):
 
 
 ROWS = [(5, "a  b"), (3, "a\tb"), (9, "a b "), (4, None), (1, ""), (2, " "), (7, "ab"), (8, "a\x0bb"),
-        (None, "only"), (None, "a\nb"), (6, "x y"), (10, "x y"), (3, "a b")]
+        (None, "only"), (None, "a\nb"), (6, "x y"), (10, "x\u00a0y"), (3, "a b")]
 
 
 @pytest.mark.parametrize("k", [1, 2, COUNTERS])
