@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import secrets
+from passagework.llm import byte_bpe, secrets
 from passagework.llm.exact_dedup import mark_copies
+from passagework.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -41,9 +43,28 @@ def exact_dedup(spark, sf):
 
 @register("op5_secret_scans")
 def secret_scans(spark, sf):
-    found, kinds = F.col("found"), secrets.KINDS[:3]
+    def of(*kinds: str):
+        return F.filter("found", lambda s: s["kind"].isin(*kinds))
+
+    base = secrets.KINDS[:3]
     return secrets.scan(table(spark, sf, "documents")).select(
-        "doc_id", *(F.size(F.filter(found, lambda s, kind=kind: s["kind"] == kind)).cast("long")
-                    .alias(f"n_{kind}") for kind in kinds),
-        F.sha2(secrets.listed(F.filter(found, lambda s: s["kind"].isin(*kinds))), 256)
-        .alias("base_sha256"), secrets.listed(found).alias("spans"))
+        "doc_id", *(F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in base),
+        F.sha2(secrets.listed(of(*base)), 256).alias("base_sha256"),
+        secrets.listed(F.col("found")).alias("spans"))
+
+
+@register("op7_packing")
+def packing(spark, sf):
+    pieces = pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset", "bucket")
+
+
+@register("op10_byte_bpe")
+def byte_pairs(spark, sf):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = table(spark, sf, "documents").select("doc_id", byte_bpe.encode(F.col("text"), *vocabulary).alias("ids"))
+    return ids.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(byte_bpe.decode(F.col("ids"), *vocabulary), 256).alias("decoded_sha256"))

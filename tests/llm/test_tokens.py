@@ -1,0 +1,115 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from passagework.llm import byte_bpe, packing
+from passagework.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+TEXTS = ["", " ", "\n\n  \t", "Hello, world! It's 2024.", "aaaaaaaaaaaaaaaaaaaa", "naïve façade ÀÉÎ ß ŒUVRE",
+         "данные Ёлка", "ΟΔΥΣΣΕΥΣ ΣΑΣ", "日本語のテキスト", "é Å Å", "İstanbul I", "a\x1cb\x85c\xa0d e",
+         "<|endoftext|> <|startoftext|>", "'s 'LL don't''ve", "\U0001f600!!", "x" * 5000, "ab" * 4000 + "c", "ﬁn",
+         "١٢٣ ½ ²", "a\u200bb", "word_word a1b2 ªº xʰ ,,--!!", "…—–“”‘’", "word\x00word", "Ⅷ ǅ ŉ"]
+
+
+@pytest.fixture(scope="module")
+def reference():
+    bpe = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    t = Tokenizer.from_file(WORDS)
+    t.encode_special_tokens = True
+    return t
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_byte_bpe_like_tiktoken_and_back(reference, text):
+    bpe = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
+    ids = bpe.encode(text)
+    assert ids == reference.encode_ordinary(text)
+    assert bpe.decode(ids) == text.encode()
+
+
+def test_pieces_of_random_letters(reference):
+    bpe, rng = byte_bpe.codec(RANKS, public_tokenizers.PATTERN), random.Random(3)
+    for letters in ("ab", "the", "etaoins", "abcdefghijklmnopqrstuvwxyz"):
+        for n in (3, 17, 300, 2000):
+            piece = "".join(rng.choices(letters, k=n))
+            assert bpe.encode(piece) == reference.encode_ordinary(piece)
+
+
+def test_byte_bpe_query(spark, reference, texts):
+    rows = QUERIES["op10_byte_bpe"][0](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = reference.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_word_encoder_like_the_tokenizer(tokenizer, text):
+    got = packing.encoder(WORDS).encode(text)
+    assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_word_encoder_forgets_but_stays_right(tokenizer, texts):
+    own = packing.WordEncoder(WORDS)
+    own.word_ids.size = own.part_ids.size = 50
+    for text in [*texts.values()][:30]:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == want
+
+
+def test_packing_query(spark, tokenizer, texts):
+    rows = QUERIES["op7_packing"][0](spark, SF).collect()
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+    assert by_doc.keys() == texts.keys()
+    assert len({r.sequence_id for r in rows}) == len(rows)
+    for doc, pieces in by_doc.items():
+        ids = np.array([*tokenizer.encode(texts[doc], add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert (r.start, r.doc_tokens, r.offset) == (at, len(ids), 0)
+            assert r.length <= 2048 and r.length == 2 ** r.bucket
+            assert r.ids_crc32 == zlib.crc32(ids[at:at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, 0), (1, "a b", 1), (None, "a b", 2), (2, "", 3), (3, "wort " * 30_000, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, length long")
+    got = packing.pack(docs, WORDS).collect()
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in got if r.start == 0)[:3] == [("1", 1), ("1", 3), ("2", 1)]
+    assert packing.pack(docs.limit(0), WORDS).count() == 0
+    ids = docs.select(byte_bpe.encode(docs.text, RANKS, public_tokenizers.PATTERN).alias("x"))
+    assert [len(r.x) for r in ids.collect()][:4] == [0, 2, 2, 0]
+    assert docs.limit(0).select(byte_bpe.encode(docs.text, RANKS, "x")).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(docs, WORDS, length=1000)
+
+
+def test_piece_lengths():
+    assert packing.piece_lengths(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
+    assert packing.piece_lengths(2048, 2048) == [2048] and packing.piece_lengths(1, 2048) == [1]
