@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import byte_bpe, secrets
+from passagework.llm import byte_bpe, quality, secrets
 from passagework.llm.exact_dedup import mark_copies
 from passagework.llm.packing import pack
 
@@ -41,6 +41,11 @@ def exact_dedup(spark, sf):
     return mark_copies(table(spark, sf, "documents"))
 
 
+@register("op3_quality")
+def quality_scores(spark, sf):
+    return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @register("op5_secret_scans")
 def secret_scans(spark, sf):
     def of(*kinds: str):
