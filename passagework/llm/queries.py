@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import byte_bpe, quality, secrets
+from passagework.llm import byte_bpe, page_text, quality, secrets
 from passagework.llm.exact_dedup import mark_copies
 from passagework.llm.packing import pack
 
@@ -58,6 +58,12 @@ def secret_scans(spark, sf):
         secrets.listed(F.col("found")).alias("spans"))
 
 
+@register("op6_page_text")
+def page_texts(spark, sf):
+    return page_text.extract(table(spark, sf, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @register("op7_packing")
 def packing(spark, sf):
     pieces = pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
