@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding with a rank queue on a hierarchical bitmap, and decoding.
 
 Each merge rank has a bucket of positions in the linked list of parts. A two-level bitmap marks the
-ranks whose bucket is not empty, so find-first-set gives the next merge; entries that a neighbouring
+ranks whose bucket is not empty, so find-first-set gives the next merges; entries that a neighbouring
 merge has overtaken are skipped when they come up. The time of a piece of n bytes is about n log n.
 """
 
@@ -9,114 +9,197 @@ from __future__ import annotations
 
 import base64
 from functools import cache
-from heapq import heappop, heappush
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces kept with their ids in each Python worker, and the longest of them.
-CACHED = 600_000
-CACHED_LENGTH = 64
-
+from passagework.llm.remembered import LENGTH, SIZE
 
+#: Texts that are encoded together.
+TEXTS = 1024
 BITS = [1 << i for i in range(256)]
 
 
-def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """Ids of one piece: always the lowest rank first, the leftmost among equals."""
-    rank_of = ranks.get
-    whole = rank_of(piece)
-    if whole is not None:
-        return (whole,)
-    n = len(piece)
-    after, before, current = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-    # Rank r is bit r % 256 of leaf r // 256; ``top`` has a bit for each leaf that is not zero.
-    top, leaves, buckets = 0, {}, {}
-    offers = [(i, i + 2) for i in range(n - 1)]
-    while True:
-        for at, end in offers:
-            rank = rank_of(piece[at:end])
-            if rank is None:
-                current[at] = -1
+class RankQueue:
+    """Buckets of positions by rank, each a list of arrays. Rank r is bit r % 256 of leaf r // 256, and ``top``
+    has a bit for each leaf that is not zero, so the lowest rank is found by two find-first-set steps."""
+
+    def __init__(self) -> None:
+        self.buckets, self.leaves, self.top = {}, {}, 0
+
+    def push(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Put positions into the buckets of their ranks; those with a negative rank into none."""
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0):]
+        if not len(order):
+            return
+        ranks, positions = ranks[order], positions[order]
+        cuts = [0, *(np.flatnonzero(np.diff(ranks)) + 1).tolist(), len(ranks)]
+        for rank, start, end in zip(ranks[cuts[:-1]].tolist(), cuts[:-1], cuts[1:], strict=True):
+            bucket = self.buckets.get(rank)
+            if bucket is not None:
+                bucket.append(positions[start:end])
                 continue
-            current[at] = rank
-            if rank in buckets:
-                heappush(buckets[rank], at)
-            else:
-                buckets[rank] = [at]
-                block = rank >> 8
-                leaves[block] = leaves.get(block, 0) | BITS[rank & 255]
-                top |= BITS[block]
-        while top:
-            low = top & -top
-            block = low.bit_length() - 1
-            leaf = leaves[block]
-            bit = leaf & -leaf
-            rank = block << 8 | bit.bit_length() - 1
-            bucket = buckets[rank]
-            at = heappop(bucket)
-            if not bucket:
-                del buckets[rank]
-                leaves[block] = leaf = leaf ^ bit
-                if not leaf:
-                    top ^= low
-            if current[at] == rank:
-                break
-        else:
-            break
+            self.buckets[rank] = [positions[start:end]]
+            block = rank >> 8
+            self.leaves[block] = self.leaves.get(block, 0) | BITS[rank & 255]
+            self.top |= BITS[block]
+
+    def pop(self) -> tuple[int, np.ndarray]:
+        block = (self.top & -self.top).bit_length() - 1
+        leaf = self.leaves[block]
+        rank = block << 8 | (leaf & -leaf).bit_length() - 1
+        self.leaves[block] = leaf & leaf - 1
+        if not self.leaves[block]:
+            self.top &= self.top - 1
+        bucket = self.buckets.pop(rank)
+        return rank, np.concatenate(bucket) if len(bucket) > 1 else bucket[0]
+
+
+class Merges:
+    """Rank of two neighbouring tokens, by one binary search among all splits of all tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        found = {ranks[token[:i]] << 32 | ranks[token[i:]]: rank for token, rank in ranks.items()
+                 for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks}
+        self.codes = np.array(sorted(found), np.int64)
+        self.ranks = np.array([found[c] for c in self.codes.tolist()], np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(self.codes):
+            return np.full(len(left), -1)
+        code = left << 32 | right
+        spot = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[spot] == code, self.ranks[spot], -1)
+
+
+def _independent(at, rank, owner, token, after, before, merges) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of one rank that can merge together, and those that have to wait.
+
+    Of neighbours that overlap every other one merges, from the left. Where merges of a piece, one after the
+    other, would at any time make a pair of a lower rank, only the leftmost is done now.
+    """
+    many = np.arange(len(at))
+    chained = np.concatenate([[False], after[at[:-1]] == at[1:]])
+    at = at[(many - np.maximum.accumulate(np.where(chained, 0, many))) % 2 == 0]
+    left, right = before[at], after[after[at]]
+    before_it = np.where(left >= 0, token[left], -1)
+    before_it[1:][left[1:] == after[at[:-1]]] = rank
+    merged = np.full(len(at), rank)
+    lower = np.zeros(len(at), bool)
+    for found, there in ((merges.of(before_it, merged), left >= 0),
+                         (merges.of(merged, np.where(right >= 0, token[right], -1)), right >= 0)):
+        lower |= there & (found >= 0) & (found < rank)
+    if not lower.any():
+        return at, at[:0]
+    first = np.concatenate([[True], owner[at[1:]] != owner[at[:-1]]])
+    now = first | ~np.isin(owner[at], owner[at[lower]])
+    return at[now], at[~now]
+
+
+def encode_pieces(pieces: list[bytes], single: np.ndarray, merges: Merges) -> list[np.ndarray]:
+    """Ids of pieces: in each, always the lowest rank first, the leftmost among equals.
+
+    All pieces share one queue. Nothing links them, so the bucket of the lowest rank serves all of them at
+    once, and all places of a piece where no merge makes a lower rank. ``single`` has the id of each byte.
+    """
+    codes = np.frombuffer(b"".join(pieces), np.uint8)
+    n = len(codes)
+    starts = np.cumsum([0, *map(len, pieces)])
+    owner = np.repeat(np.arange(len(pieces)), np.diff(starts))
+    token, alive = single[codes], np.ones(n, bool)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[starts[1:] - 1] = before[starts[:-1]] = -1
+    current = np.full(n, -1)
+    inner = np.flatnonzero(after >= 0)
+    current[inner] = merges.of(token[inner], token[inner + 1])
+    queue = RankQueue()
+    queue.push(current, np.arange(n))
+    while queue.top:
+        rank, at = queue.pop()
+        at = np.unique(at[current[at] == rank])
+        if len(at) > 1 and (owner[at[1:]] == owner[at[:-1]]).any():
+            at, later = _independent(at, rank, owner, token, after, before, merges)
+            queue.push(np.full(len(later), rank), later)
+        if not len(at):
+            continue
         gone = after[at]
-        end = after[at] = after[gone]
-        current[gone] = -1
-        if end < n:
-            before[end] = at
-            offers = [(at, after[end])]
-        else:
-            current[at] = -1
-            offers = []
-        if before[at] >= 0:
-            offers.append((before[at], end))
-    ids, at = [], 0
-    while at < n:
-        ids.append(ranks[piece[at:after[at]]])
-        at = after[at]
-    return tuple(ids)
-
-
-class Remembered(dict):
-    """Values by key, made on demand. Full, it starts again; long keys are made each time."""
-
-    def __init__(self, make, size: int = CACHED, length: int = CACHED_LENGTH) -> None:
-        super().__init__()
-        self.make, self.size, self.length = make, size, length
-
-    def __missing__(self, key: str):
-        value = self.make(key)
-        if len(key) <= self.length:
-            if len(self) >= self.size:
-                self.clear()
-            self[key] = value
-        return value
+        right = after[at] = after[gone]
+        token[at], alive[gone], current[gone], current[at] = rank, False, -1, -1
+        inner = right >= 0
+        held, right = at[inner], right[inner]
+        before[right] = held
+        inner = before[at] >= 0
+        left, held_by = before[at[inner]], at[inner]
+        new = merges.of(np.concatenate([token[held], token[left]]), np.concatenate([token[right], token[held_by]]))
+        spots = np.concatenate([held, left])
+        current[spots] = new
+        queue.push(new, spots)
+    ends = np.searchsorted(np.flatnonzero(alive), starts)
+    ids = token[alive].astype("<i4")
+    return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 class ByteBpe:
     """Encoder and decoder for a file of ranks, with the pieces that ``pattern`` finds."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, size: int = SIZE) -> None:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.tokens = {i: token for token, i in self.ranks.items()}
-        self.pieces = regex.compile(pattern).findall
-        self.ids = Remembered(lambda piece: encode_piece(piece.encode(), self.ranks))
+        self.pieces, self.size = regex.compile(pattern).findall, size
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.merges = Merges(self.ranks)
+        self.single = np.array([self.ranks.get(bytes((b,)), -1) for b in range(256)])
+        tokens = sorted(self.ranks, key=self.ranks.get)
+        self.lengths = np.zeros(self.ranks[tokens[-1]] + 1, np.int64)
+        self.lengths[[self.ranks[t] for t in tokens]] = [len(t) for t in tokens]
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def _learn(self, wanted: set[str]) -> list[str]:
+        """Have all pieces in ``known``; the result has those that are too long to stay there."""
+        fresh = [x for x in wanted if x not in self.known]
+        if len(self.known) + len(fresh) > self.size:
+            self.known, self.older, fresh = {}, self.known, list(wanted)
+        new = []
+        for piece in fresh:
+            if piece in self.older:
+                self.known[piece] = self.older[piece]
+            elif (whole := self.ranks.get(coded := piece.encode())) is not None:
+                self.known[piece] = whole.to_bytes(4, "little")
+            else:
+                new.append((piece, coded))
+        if new:
+            lists = encode_pieces([coded for _, coded in new], self.single, self.merges)
+            for (piece, _), ids in zip(new, lists, strict=True):
+                self.known[piece] = ids.tobytes()
+        return [x for x in fresh if len(x) > LENGTH]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers."""
+        lists = [self.pieces(x) for x in texts]
+        long = self._learn(set().union(*lists))
+        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in lists]
+        for piece in long:
+            del self.known[piece]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.ids.__getitem__, self.pieces(text))))
+        return np.frombuffer(self.packed([text])[0], np.int32).tolist()
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        """The bytes of one token after the other, by one gather from all tokens' bytes."""
+        ids = np.asarray(ids, np.int64)
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        spots = np.repeat(self.starts[ids] - (ends - lengths), lengths)
+        spots += np.arange(len(spots))
+        return self.bytes[spots].tobytes()
 
 
 @cache
@@ -133,8 +216,11 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     """
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(texts: pa.Array) -> pa.Array:
-        bpe = codec(path, pattern)
-        return pa.array([bpe.encode(x.as_py() or "") for x in texts], pa.list_(pa.int32()))
+        packed, found = codec(path, pattern).packed, []
+        for at in range(0, len(texts), TEXTS):
+            found += packed([x or "" for x in texts.slice(at, TEXTS).to_pylist()])
+        ends = np.cumsum([0, *(len(x) // 4 for x in found)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
     return ids(text)
 
@@ -144,6 +230,6 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf(T.BinaryType())
     def joined(lists: pa.Array) -> pa.Array:
         bpe = codec(path, pattern)
-        return pa.array([bpe.decode(x.as_py() or ()) for x in lists], pa.binary())
+        return pa.array([bpe.decode(x.values.to_numpy()) if x.is_valid else b"" for x in lists], pa.binary())
 
     return joined(ids)

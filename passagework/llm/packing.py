@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.byte_bpe import Remembered
+from passagework.llm.remembered import Remembered
 
 LENGTH = 2048
 END = 1  # follows the ids of every document

@@ -54,6 +54,14 @@ def test_pieces_of_random_letters(reference):
             assert bpe.encode(piece) == reference.encode_ordinary(piece)
 
 
+def test_very_long_pieces(reference):
+    bpe, rng = byte_bpe.codec(RANKS, public_tokenizers.PATTERN), random.Random(4)
+    for text in ("a" * 200_001, "ab" * 60_000 + "x", "".join(rng.choices("abcdefghij", k=100_000)), "-=" * 50_000):
+        ids = bpe.encode(text)
+        assert bpe.decode(ids) == text.encode()
+        assert bpe.encode(text[:3000]) == reference.encode_ordinary(text[:3000])
+
+
 def test_byte_bpe_query(spark, reference, texts):
     rows = QUERIES["op10_byte_bpe"][0](spark, SF).collect()
     assert len(rows) == len(texts)
