@@ -59,8 +59,8 @@ def frequent(digests: DataFrame, k: int) -> DataFrame:
         .limit(k).select("digest")
 
 
-def _settle(rows: DataFrame, k: int) -> DataFrame:
-    """Add ``first`` (the row that stays) and ``size`` to staged rows of (digest, key)."""
+def settle(rows: DataFrame, k: int) -> DataFrame:
+    """Add ``first`` (the row that stays) and ``size`` to staged rows with a digest and a key."""
     # At most k digests of 32 bytes each: the size of both broadcasts is fixed.
     suspects = cut(frequent(rows, k))
     winners = cut(rows.join(F.broadcast(suspects), "digest").groupBy("digest")
@@ -89,7 +89,7 @@ def mark_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     rows = cut(docs.select(_key(F.col(id_column)).alias("key"),
                            F.unhex(F.sha2(normalised(F.col(text_column)), 256)).alias("digest")))
-    return _settle(rows, k).select(
+    return settle(rows, k).select(
         F.col("key.id").alias(id_column), F.col("first.id").alias("keep_id"),
         F.col("size").alias("group_size"), (F.col("key") == F.col("first")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
@@ -105,7 +105,7 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     wide = cut(docs.select(
         F.struct("*").alias("doc"), _key(F.col(id_column)).alias("key"),
         F.unhex(F.sha2(normalised(F.col(text_column)), 256)).alias("digest")))
-    dropped = _settle(wide.select("key", "digest"), k).where(F.col("key") != F.col("first")) \
+    dropped = settle(wide.select("key", "digest"), k).where(F.col("key") != F.col("first")) \
         .select(F.col("key.row").alias("row"))
     return wide.withColumn("row", F.col("key.row")).join(dropped, "row", "left_anti") \
         .select("doc.*")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from passagework.llm import byte_bpe, page_text, quality, secrets
 from passagework.llm.exact_dedup import mark_copies
+from passagework.llm.jaccard_join import similar
 from passagework.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,11 @@ def quality_scores(spark, sf):
     return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@register("op4_jaccard_join")
+def jaccard_join(spark, sf):
+    return similar(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @register("op5_secret_scans")
 def secret_scans(spark, sf):
     def of(*kinds: str):
