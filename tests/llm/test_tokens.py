@@ -54,6 +54,26 @@ def test_pieces_of_random_letters(reference):
             assert bpe.encode(piece) == reference.encode_ordinary(piece)
 
 
+def test_plain_pattern_splits_alike():
+    import regex
+    bpe = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
+    every = [chr(c) for r in byte_bpe.RANGES for c in r]
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choices(every, k=50)) + "".join(rng.choices(" \n'sdt1a", k=20))
+        assert byte_bpe.PLAIN.fullmatch(text)
+        assert bpe.plain(text) == regex.findall(public_tokenizers.PATTERN, text)
+    assert byte_bpe.PLAIN.fullmatch("".join(every)) and not byte_bpe.PLAIN.fullmatch("a\x1cb")
+
+
+def test_generations_of_pieces(reference, texts):
+    own = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN, size=100)
+    some = [*texts.values()][:40]
+    for at in range(0, 40, 8):
+        for got, text in zip(own.packed(some[at:at + 8]), some[at:at + 8], strict=True):
+            assert np.frombuffer(got, np.int32).tolist() == reference.encode_ordinary(text)
+
+
 def test_very_long_pieces(reference):
     bpe, rng = byte_bpe.codec(RANKS, public_tokenizers.PATTERN), random.Random(4)
     for text in ("a" * 200_001, "ab" * 60_000 + "x", "".join(rng.choices("abcdefghij", k=100_000)), "-=" * 50_000):
