@@ -6,7 +6,7 @@
    key. Parts with fewer than ``STRONG`` n-grams, which unlike sets may share by chance, are passed over
    as long as the number of parts allows for it. Small sets use the sums of the set without any one or two
    of its members instead. Sets that share keys form clusters; no link leaves a cluster.
-3. A cluster is laid out in tiles of at most ``TILE`` sets, by bands of size. Inside a tile, bitmaps of the
+3. A cluster is laid out in tiles of about ``TILE`` sets at most, by bands of size. Inside a tile, bitmaps of the
    hashes give an upper bound of each overlap, and pairs that pass it are intersected exactly. Pairs that
    other links have joined already need no look, as the result is components.
 4. Clusters of several tiles are joined by representatives, and at last every set that is not in the
@@ -35,8 +35,8 @@ from passagework.llm.components import Forest, components
 from passagework.llm.exact_dedup import COUNTERS, settle
 
 WORDS, PERCENT = 3, 90
-#: Sets in a tile.
-TILE = 512
+#: Sets in a tile, and members of all its sets together.
+TILE, MEMBERS = 4096, 4_000_000
 #: Largest set that is keyed by leaving members out.
 SMALL = 27
 STRONG = 3
@@ -271,45 +271,53 @@ def _sets(n: int):
                 same = pa.array([digest(f) == d for f, d in zip(found, batch.column("digest").to_pylist(), strict=True)])
                 hashes = pa.array([f.tobytes() for f in found], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("cluster"), batch.column("node"), batch.column("band"), batch.column("size"), hashes],
-                    ["cluster", "node", "band", "size", "hashes"]).filter(same)
+                    [batch.column("cluster"), batch.column("node"), batch.column("band"), batch.column("tiles"), hashes],
+                    ["cluster", "node", "band", "tiles", "hashes"]).filter(same)
 
     return run
 
 
+def filled(tile: int, members: int) -> Column:
+    """Aggregate: the number of tiles that sets of ``n`` members fill."""
+    return F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / members))
+
+
 def _labels(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found.select("node", F.col("component").alias("label")), "node", "left") \
         .withColumn("label", F.coalesce("label", "node"))
 
 
 def join_classes(docs: DataFrame, classes: DataFrame, n: int = WORDS, percent: int = PERCENT,
-                 tile: int = TILE) -> DataFrame:
-    """Links that connect the classes (cluster, node, id, digest, n, size) of clusters as all links would.
+                 tile: int = TILE, members: int = MEMBERS) -> DataFrame:
+    """Links that connect the classes (cluster, node, id, digest, n, tiles) of clusters as all links would.
 
-    ``docs`` (id, text) is read once more, for the texts of these classes alone.
+    ``docs`` (id, text) is read once more, for the texts of these classes alone. ``tiles`` is the number of
+    tiles that the sets of the cluster fill.
     """
     # Sets of bands that are not neighbours never link: a band spans the threshold.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
     wanted = cut(classes.withColumn("band", band))
-    texts = wanted.join(docs, wanted["id"].eqNullSafe(docs["id"])).select(
-        "cluster", "node", "digest", "band", "size", "text")
-    sets = cut(texts.mapInArrow(_sets(n), "cluster long, node long, band int, size long, hashes binary")
-               .withColumn("large", F.col("size") > tile))
-    total = wanted.where(F.col("size") <= tile).count()
+    # Classes of clusters are a steady share of all rows, so this join moves texts at any size of the input.
+    texts = wanted.hint("merge").join(docs, wanted["id"].eqNullSafe(docs["id"])).select(
+        "cluster", "node", "digest", "band", "tiles", "text")
+    sets = cut(texts.mapInArrow(_sets(n), "cluster long, node long, band int, tiles long, hashes binary")
+               .withColumn("large", F.col("tiles") > 1).withColumn("n", (F.length("hashes") / 8).cast("long")))
+    load = wanted.where("tiles = 1").agg(F.count("*"), F.sum("n")).first()
+    tasks = max(load[0] // tile, (load[1] or 0) // members) * 2 + 1
     small = sets.where("not large").withColumn("tile", F.lit(0).cast("long"))
-    links = [cut(_link(small, percent, F.pmod(F.xxhash64("cluster"), F.lit(total // tile + 1))))]
-    if wanted.where(F.col("size") > tile).isEmpty():
+    links = [cut(_link(small, percent, F.pmod(F.xxhash64("cluster"), F.lit(tasks))))]
+    if wanted.where("tiles > 1").isEmpty():
         return links[0]
 
     def slots(rows: DataFrame, *keys: str) -> DataFrame:
-        """Add ``tile``, so that no tile of a cluster has many more than ``tile`` of the rows."""
-        counts = cut(rows.groupBy(*keys).agg(F.ceil(F.count("*") / tile).alias("many")))
+        """Add ``tile``, so that no tile of a cluster has much more than its share of the rows."""
+        counts = cut(rows.groupBy(*keys).agg(filled(tile, members).alias("many")))
         slot = F.pmod(F.xxhash64("node"), F.col("many"))
         return rows.join(counts, list(keys)).withColumn(
             "tile", slot if keys == ("cluster",) else F.col("band").cast("long") * (1 << 32) + slot)
 
     large = sets.where("large")
-    nodes = cut(slots(large.select("cluster", "node", "band"), "cluster", "band").drop("many"))
+    nodes = cut(slots(large.select("cluster", "node", "band", "n"), "cluster", "band").drop("many"))
     links.append(cut(_link(large.join(nodes.select("node", "tile"), "node"), percent, F.xxhash64("cluster", "tile"))))
     while True:
         labels = cut(_labels(nodes, components(reduce(DataFrame.unionByName, links))))
@@ -321,7 +329,7 @@ def join_classes(docs: DataFrame, classes: DataFrame, n: int = WORDS, percent: i
     labels = cut(_labels(nodes, components(reduce(DataFrame.unionByName, links))))
     main = cut(labels.groupBy("cluster", "label").count().groupBy("cluster")
                .agg(F.max_by("label", F.struct("count", "label")).alias("main")))
-    outside = cut(slots(labels.join(main, "cluster").where("label != main").select("cluster", "node", "label", "band"),
+    outside = cut(slots(labels.join(main, "cluster").where("label != main").select("cluster", "node", "label", "band", "n"),
                         "cluster").withColumnRenamed("tile", "chunk"))
     if outside.isEmpty():
         return reduce(DataFrame.unionByName, links)
@@ -343,7 +351,8 @@ def join_classes(docs: DataFrame, classes: DataFrame, n: int = WORDS, percent: i
 
 
 def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = WORDS,
-            percent: int = PERCENT, tile: int = TILE, k: int = COUNTERS, row_column: str | None = None) -> DataFrame:
+            percent: int = PERCENT, tile: int = TILE, members: int = MEMBERS, k: int = COUNTERS,
+            row_column: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, first, row.
 
     Rows link when ``100 * overlap >= percent * union`` of their sets of word n-grams; ``component_id`` is the
@@ -365,9 +374,9 @@ def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     heads = marked.where("key.row = node").select("node", "n", "digest", F.col("least").alias("id"))
     clusters = components(stars(profiles.select(F.col("key.row").alias("row"), "keys"), k))
     classes = cut(heads.join(clusters.select("node", F.col("component").alias("cluster")), "node"))
-    sizes = cut(classes.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1"))
-    wanted = cut(classes.join(sizes, "cluster"))
-    labels = components(join_classes(rows, wanted, n, percent, tile))
+    sizes = cut(classes.groupBy("cluster").agg(F.count("*").alias("size"), filled(tile, members).alias("tiles"))
+                .where("size > 1").drop("size"))
+    labels = components(join_classes(rows, classes.join(sizes, "cluster"), n, percent, tile, members))
     # The smallest id of each component: ids and rows of its classes, of which there is at least one.
     named = cut(_labels(heads.select("node", "id"), labels))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))

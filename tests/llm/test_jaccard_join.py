@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from passagework.llm import components as components_module
 from passagework.llm import jaccard_join as jj
 from passagework.llm.components import components
 from passagework.llm.queries import QUERIES
@@ -71,6 +72,10 @@ def test_like_brute_force(spark, rows, options):
     assert run(spark, rows, **options) == brute(rows)
 
 
+def test_tiles_by_members(spark, rows):
+    assert run(spark, rows, members=200) == brute(rows)
+
+
 def test_another_threshold(spark, rows):
     assert run(spark, rows, percent=80) == brute(rows, 80)
 
@@ -124,10 +129,12 @@ def test_odd_rows(spark):
     assert jj.similar(docs.limit(0)).count() == 0 == jj.drop_similar(docs.limit(0)).count()
 
 
+@pytest.mark.parametrize("links", [200_000, 4])
 @pytest.mark.parametrize("edges", [
     [], [(1, 1)], [(2, 1), (None, 3)], [(i, i + 1) for i in range(60)], [(99, i) for i in range(80)],
     [(i, (i * 7) % 50) for i in range(50)], [(i, 100 - i) for i in range(50)] + [(100, 7), (8, 93)]])
-def test_components(spark, edges):
+def test_components(spark, edges, links, monkeypatch):
+    monkeypatch.setattr(components_module, "LINKS", links)
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
     got = {r.node: r.component for r in components(df).collect()}
     want = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
