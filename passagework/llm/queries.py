@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm import byte_bpe, page_text, quality, secrets
+from passagework.llm.embedding_dedup import near_duplicates
 from passagework.llm.exact_dedup import mark_copies
 from passagework.llm.jaccard_join import similar
 from passagework.llm.packing import pack
@@ -77,6 +78,24 @@ def packing(spark, sf):
                          "sequence_id", "offset", "bucket")
 
 
+@register("op9_embedding_dedup", """with recursive valid as (select vec_id, label, embedding from embeddings
+        where label is not null and embedding is not null and len(embedding) > 0
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    units as (select vec_id, label, cast(embedding as double[]) as v from valid),
+    links as (select a.vec_id as a, b.vec_id as b from units a join units b
+        on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+        where list_cosine_similarity(a.v, b.v) >= 0.98),
+    reach as (select vec_id as node, vec_id as root from embeddings
+        union select l.b, r.root from reach r join links l on l.a = r.node),
+    counts as (select a, count(*) as n from links group by a)
+    select vec_id, coalesce(n, 0) as n_links, least as component_id, vec_id = least as kept
+    from (select node, min(root) as least from reach group by node) join embeddings on vec_id = node
+    left join counts on a = vec_id""")
+def embedding_dedup(spark, sf):
+    return near_duplicates(table(spark, sf, "embeddings"))
+
+
 @register("op10_byte_bpe")
 def byte_pairs(spark, sf):
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
