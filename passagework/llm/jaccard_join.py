@@ -282,7 +282,8 @@ def filled(tile: int, members: int) -> Column:
     return F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / members))
 
 
-def _labels(nodes: DataFrame, found: DataFrame) -> DataFrame:
+def labels_of(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Add ``label``: the component of the node, or itself."""
     return nodes.join(found.select("node", F.col("component").alias("label")), "node", "left") \
         .withColumn("label", F.coalesce("label", "node"))
 
@@ -320,13 +321,13 @@ def join_classes(docs: DataFrame, classes: DataFrame, n: int = WORDS, percent: i
     nodes = cut(slots(large.select("cluster", "node", "band", "n"), "cluster", "band").drop("many"))
     links.append(cut(_link(large.join(nodes.select("node", "tile"), "node"), percent, F.xxhash64("cluster", "tile"))))
     while True:
-        labels = cut(_labels(nodes, components(reduce(DataFrame.unionByName, links))))
+        labels = cut(labels_of(nodes, components(reduce(DataFrame.unionByName, links))))
         heads = cut(slots(labels.where("label = node").drop("tile"), "cluster"))
         links.append(cut(_link(large.join(heads.select("node", "tile", "label"), "node"), percent,
                                F.xxhash64("cluster", "tile"))))
         if heads.where("many > 1").isEmpty() or links[-1].isEmpty():
             break
-    labels = cut(_labels(nodes, components(reduce(DataFrame.unionByName, links))))
+    labels = cut(labels_of(nodes, components(reduce(DataFrame.unionByName, links))))
     main = cut(labels.groupBy("cluster", "label").count().groupBy("cluster")
                .agg(F.max_by("label", F.struct("count", "label")).alias("main")))
     outside = cut(slots(labels.join(main, "cluster").where("label != main").select("cluster", "node", "label", "band", "n"),
@@ -378,7 +379,7 @@ def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
                 .where("size > 1").drop("size"))
     labels = components(join_classes(rows, classes.join(sizes, "cluster"), n, percent, tile, members))
     # The smallest id of each component: ids and rows of its classes, of which there is at least one.
-    named = cut(_labels(heads.select("node", "id"), labels))
+    named = cut(labels_of(heads.select("node", "id"), labels))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))
     groups = cut(named.groupBy("label").agg(best.alias("best")))
     final = cut(named.join(groups, "label").select("node", F.col("best.id").alias("component_id"),

@@ -16,6 +16,8 @@ from passagework.llm.embedding_dedup import near_duplicates
 from passagework.llm.exact_dedup import mark_copies
 from passagework.llm.jaccard_join import similar
 from passagework.llm.packing import pack
+from passagework.llm.paragraph_dedup import repeats
+from passagework.llm.sharding import assign
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -43,6 +45,11 @@ def exact_dedup(spark, sf):
     return mark_copies(table(spark, sf, "documents"))
 
 
+@register("op2_sharding")
+def sharding(spark, sf):
+    return assign(table(spark, sf, "documents").select("doc_id"), "doc_id", shards=[f"shard-{i:03}" for i in range(100)])
+
+
 @register("op3_quality")
 def quality_scores(spark, sf):
     return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
@@ -78,6 +85,11 @@ def packing(spark, sf):
                          "sequence_id", "offset", "bucket")
 
 
+@register("op8_paragraph_dedup")
+def paragraph_dedup(spark, sf):
+    return repeats(table(spark, sf, "documents"))
+
+
 @register("op9_embedding_dedup", """with recursive valid as (select vec_id, label, embedding from embeddings
         where label is not null and embedding is not null and len(embedding) > 0
         and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
