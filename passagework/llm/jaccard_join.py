@@ -5,7 +5,9 @@
    n-grams. The hash range is cut into more than d parts, so they agree in a whole part, whose sum is the
    key. Parts with fewer than ``STRONG`` n-grams, which unlike sets may share by chance, are passed over
    as long as the number of parts allows for it. Small sets use the sums of the set without any one or two
-   of its members instead. Sets that share keys form clusters; no link leaves a cluster.
+   of its members instead. Below a threshold of ``PARTED`` percent parts would be too small to tell sets
+   apart; there the keys are a set's smallest hashes, as many as it may lack of another set, and one more.
+   Sets that share keys form clusters; no link leaves a cluster.
 3. A cluster is laid out in tiles of about ``TILE`` sets at most, by bands of size. Inside a tile, bitmaps of the
    hashes give an upper bound of each overlap, and pairs that pass it are intersected exactly. Pairs that
    other links have joined already need no look, as the result is components.
@@ -40,6 +42,8 @@ TILE, MEMBERS = 4096, 4_000_000
 #: Largest set that is keyed by leaving members out.
 SMALL = 27
 STRONG = 3
+#: Least threshold in percent for keys by parts.
+PARTED = 88
 
 U64 = np.uint64
 
@@ -83,7 +87,7 @@ class Keys:
     def __init__(self, percent: int = PERCENT) -> None:
         self.percent = percent
         small = SMALL
-        while any(t - 2 * least_overlap(t, percent) > 2 for t in range(2, 2 * small + 1)):
+        while percent >= PARTED and any(t - 2 * least_overlap(t, percent) > 2 for t in range(2, 2 * small + 1)):
             small -= 1
         self.edges = [small]  # the largest size of each band
         self.parts = [(0, 0)]  # number of parts, and of weak ones allowed
@@ -101,6 +105,9 @@ class Keys:
         n = len(found)
         if not n:
             return found
+        if self.percent < PARTED:
+            least = -(-self.percent * n // 100)  # members shared with any linked set
+            return found[:n - least + 1]
         self._grow(int(n * 100 / self.percent) + 2)
         values = mix(found ^ U64(0x9E3779B97F4A7C15))
         keys = []
