@@ -14,12 +14,12 @@ def _with_metadata(docs: DataFrame, chunks: Column, keep_empty: bool) -> DataFra
     listed = docs.select(
         "doc_id", chunks.alias("chunks"),
         F.coalesce("source", F.lit("unknown")).alias("source"),
-        F.coalesce("category", F.lit("uncategorized")).alias("category"),
+        F.coalesce(F.nullif("category", F.lit("")), F.lit("uncategorized")).alias("category"),
         F.coalesce("filename", F.lit("unknown")).alias("filename"))
     # Before a plain explode Spark would filter on the size of the array and so compute it twice.
     rows = listed.select(
         "doc_id", F.posexplode_outer("chunks").alias("chunk_index", "text"),
-        F.size("chunks").alias("total_chunks"), "source", "category", "filename",
+        F.array_size("chunks").alias("total_chunks"), "source", "category", "filename",
     ).select("doc_id", "chunk_index", "total_chunks", "text", "source", "category", "filename")
     return rows if keep_empty else rows.where("chunk_index is not null")
 

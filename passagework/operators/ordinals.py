@@ -42,7 +42,7 @@ def number_stored(scan: DataFrame, start: int = 0) -> DataFrame:
     Ordinal = rows in earlier files + position in the file. The shuffle moves one row per file;
     the rows themselves, with their text, stay where they are. The scan must cover whole files.
     """
-    rows = scan.select("*", F.col("_metadata.file_name").alias("file_name"),
+    rows = scan.select("*", _file_key().alias("file_name"),
                        F.col("_metadata.row_index").alias("row_index"))
     offsets = running_offsets(rows.groupBy("file_name").agg(F.count("*").alias("n")), "file_name")
     # One row per file of a job's output: bounded by the number of write tasks.
@@ -51,6 +51,13 @@ def number_stored(scan: DataFrame, start: int = 0) -> DataFrame:
         "file_name", "row_index", "offset")
 
 
+def _file_key():
+    """Name of a file of a job's output, so that names sort like task numbers of any length."""
+    name = F.col("_metadata.file_name")
+    number = F.regexp_extract(name, r"^part-(\d+)", 1)
+    return F.concat(F.lpad(number, 12, "0"), name)
+
+
 def _with_ids(df: DataFrame, ordinal) -> DataFrame:
     return df.withColumn("ordinal", ordinal.cast("long")).withColumn(
         "chunk_id", F.concat(F.lit("chunk_"), F.col("ordinal").cast("string")))

@@ -6,33 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagework.lineage import stage, widen
+from passagework.lineage import cut, stage
 from passagework.operators.chunks import process_documents
 from passagework.operators.embed import embed
 from passagework.operators.ordinals import number_stored
 from passagework.operators.stats import ingest_stats
-from passagework.schemas import CHUNK, STORED_CHUNK, Settings
+from passagework.schemas import CHUNK, Settings
 from passagework.sources import collection as store
+from passagework.sources.documents import split_unreadable
 
 # Rows handed to the embedder at a time.
 BATCH_RANGE = (10, 500)
+# Fixed value: the message of a finished ingest.
+DONE = "Ingestion completed successfully"
 
 _STAGED = T.StructType([*CHUNK.fields, T.StructField("empty", T.BooleanType())])
 
 
-def stage_chunks(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def stage_chunks(documents: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, str]:
     """Clean and chunk once, written to the shared folder: one row per chunk, and one with
-    ``empty`` set per document without chunks.
+    ``empty`` set per document without chunks. Returns the table and its folder.
 
-    Numbering and statistics read narrow columns of what is written instead of cleaning again, and
-    a lost executor costs a re-read. The folders split empty rows off, so the files of real chunks
-    number them without gaps.
+    Documents that could not be read (a null text) are skipped.
+
+    Documents are dealt out by ranges of (source, doc_id), so files and the rows in them are in that
+    order whatever the number of tasks, and so are the ordinals. The ranges come from a sample of
+    these two columns. Numbering and statistics read narrow columns of what is written instead of
+    cleaning again, and a lost executor costs a re-read. The folders split empty rows off, so the
+    files of real chunks number them without gaps.
     """
-    chunked = process_documents(widen(documents, "doc_id"), settings, keep_empty=True) \
+    readable, _ = split_unreadable(documents)
+    ranged = readable.repartitionByRange("source", "doc_id")
+    chunked = process_documents(ranged, settings, keep_empty=True) \
         .withColumn("empty", F.col("chunk_index").isNull())
     # Writing by folder sorts by it anyway; sorting here keeps each document's chunks in order.
-    path = stage(chunked.sortWithinPartitions("empty", "doc_id", "chunk_index"), ["empty"])
-    return documents.sparkSession.read.schema(_STAGED).parquet(path)
+    path = stage(chunked.sortWithinPartitions("empty", "source", "doc_id", "chunk_index"), ["empty"])
+    return documents.sparkSession.read.schema(_STAGED).parquet(path), path
 
 
 def numbered_chunks(staged: DataFrame, start: int = 0) -> DataFrame:
@@ -48,9 +57,14 @@ def ingest(documents: DataFrame, root: str, embedder, settings: Settings = Setti
            batch_size: int = 100) -> DataFrame:
     """Rebuild the collection at ``root`` from a document table; returns the statistics row."""
     _check_batch(batch_size)
-    staged = stage_chunks(documents, settings)
+    spark = documents.sparkSession
+    staged, path = stage_chunks(documents, settings)
     store.rebuild(embed(numbered_chunks(staged), embedder, batch_size=batch_size), root)
-    return ingest_stats(staged).withColumn("message", F.lit("Ingestion completed successfully"))
+    report = ingest_stats(staged).withColumn("message", F.lit(DONE))
+    # One row, taken now, so that the staged chunks can go.
+    report = spark.createDataFrame(report.collect(), report.schema)
+    store.remove(spark, path)
+    return report
 
 
 def add_documents(documents: DataFrame, root: str, embedder, settings: Settings = Settings(),
@@ -59,19 +73,16 @@ def add_documents(documents: DataFrame, root: str, embedder, settings: Settings
     """Append documents; ordinals go on after the largest one.
 
     Returns (filename, category, chunks_added) per document. Adding a source twice keeps both
-    copies; with ``replace`` its earlier chunks are left out, by writing a new snapshot.
+    copies; with ``replace`` its earlier chunks leave the collection, which is not rewritten for it.
+    A ``batch`` label that was added before is not added again.
     """
     _check_batch(batch_size)
-    current = store.open_collection(documents.sparkSession, root)
-    staged = stage_chunks(documents, settings)
-    start = store.next_ordinal(documents.sparkSession, root)
-    added = embed(numbered_chunks(staged, start), embedder, batch_size=batch_size)
-    if replace:
-        columns = STORED_CHUNK.fieldNames()
-        kept = store.without_sources(current, staged, settings)
-        store.rebuild(kept.select(columns).unionByName(added.select(columns)), root)
-    else:
-        store.append(added, root, batch)
+    spark = documents.sparkSession
+    staged, path = stage_chunks(documents, settings)
+    added = embed(numbered_chunks(staged, store.next_ordinal(spark, root)), embedder, batch_size=batch_size)
+    store.append(added, root, batch, staged.select("source") if replace else None)
     # The first row of a document says how many chunks it has.
-    return staged.where("empty or chunk_index = 0").select(
-        "filename", "category", F.coalesce("total_chunks", F.lit(0)).alias("chunks_added"))
+    report = cut(staged.where("empty or chunk_index = 0").select(
+        "filename", "category", F.coalesce("total_chunks", F.lit(0)).alias("chunks_added")))
+    store.remove(spark, path)
+    return report

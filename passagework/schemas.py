@@ -31,6 +31,7 @@ STORED_CHUNK = T.StructType([
     *[f for f in CHUNK.fields if f.name != "category"],
     T.StructField("embedding", T.ArrayType(T.FloatType())),
     T.StructField("category", T.StringType()),
+    T.StructField("block", T.LongType()),
 ])
 
 REQUEST = T.StructType([

@@ -1,123 +1,186 @@
-"""The stored passage collection: parquet folders partitioned by category.
+"""The stored passage collection: parquet folders and a manifest.
 
-Layout: ``root/snapshot=N/batch=M/category=.../*.parquet``. A batch counts once Spark has written
-its ``_SUCCESS`` file; the newest snapshot whose first batch is complete is the collection. A
-rebuild therefore never disturbs readers of the previous snapshot, and a batch that failed halfway
-is invisible until it is written again.
+Layout: ``root/snapshot=N/batch=M/category=.../block=.../*.parquet`` and ``root/manifest/V.json``. The manifest
+with the largest number names the current snapshot, its batches in order with their ordinals, the labels of
+all micro-batches ever added, and tables of replaced sources. It is written once and never changed, so a change
+of the collection is the appearance of one file: readers see the state before or after it, data that no
+manifest names does not exist, and no time stamps matter. Opening a collection lists one small folder.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import asdict, dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.schemas import STORED_CHUNK, Settings
-
-
-def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
-    """Labels of the sub-folders ``prefix=label``."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not fs.exists(where):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(where)]
-    return sorted(n[len(prefix) + 1:] for n in names if n.startswith(prefix + "="))
+from passagework.schemas import STORED_CHUNK
 
+#: Manifests and snapshots that stay behind the current one, for readers that began earlier.
+KEPT = 1
+#: Consecutive ordinals that share a folder, so that a few hits are fetched from a few folders.
+BLOCK_ROWS = 1_000_000
 
-def _next_number(labels: list[str]) -> int:
-    return max((int(n) for n in labels if n.isdigit()), default=-1) + 1
 
+@dataclass
+class Manifest:
+    version: int = -1
+    snapshot: int = -1
+    batches: list[dict] = field(default_factory=list)  # label, folder, first, rows
+    labels: list[str] = field(default_factory=list)
+    replaced: list[str] = field(default_factory=list)  # folders of (source, below)
 
-def _completed_at(spark: SparkSession, path: str) -> int | None:
-    """When the write of a folder was completed, or None."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = marker.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    return fs.getFileStatus(marker).getModificationTime() if fs.exists(marker) else None
+    @property
+    def next_ordinal(self) -> int:
+        return max((b["first"] + b["rows"] for b in self.batches), default=0)
 
 
-def snapshot_path(root: str, number: int) -> str:
-    return f"{root.rstrip('/')}/snapshot={number}"
+def _path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
 
 
-def batch_path(root: str, snapshot: int, label: int | str) -> str:
-    return f"{snapshot_path(root, snapshot)}/batch={label}"
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _path(spark, path)
+    fs.delete(where, True)
 
 
-def current_snapshot(spark: SparkSession, root: str) -> int | None:
-    complete = [int(n) for n in _folders(spark, root, "snapshot")
-                if _completed_at(spark, batch_path(root, int(n), 0)) is not None]
-    return max(complete, default=None)
+def _manifest_folder(root: str) -> str:
+    return f"{root.rstrip('/')}/manifest"
 
 
-def complete_batches(spark: SparkSession, root: str, snapshot: int) -> list[str]:
-    """Labels of the complete batches, oldest first."""
-    times = {b: _completed_at(spark, batch_path(root, snapshot, b))
-             for b in _folders(spark, snapshot_path(root, snapshot), "batch")}
-    return sorted((b for b, at in times.items() if at is not None), key=lambda b: times[b])
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    fs, where = _path(spark, _manifest_folder(root))
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+
+def read_manifest(spark: SparkSession, root: str) -> Manifest | None:
+    """The current manifest, or None where there is no collection."""
+    versions = _versions(spark, root)
+    if not versions:
+        return None
+    fs, where = _path(spark, f"{_manifest_folder(root)}/{versions[-1]}.json")
+    stream = fs.open(where)
+    try:
+        return Manifest(**json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+    finally:
+        stream.close()
+
+
+def _commit(spark: SparkSession, root: str, manifest: Manifest) -> None:
+    """Publish the next version; an error if another writer has published it before."""
+    manifest.version += 1
+    folder = _manifest_folder(root)
+    fs, draft = _path(spark, f"{folder}/.{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    stream.write(bytearray(json.dumps(asdict(manifest)).encode()))
+    stream.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    final = jvm.Path(f"{folder}/{manifest.version}.json")
+    none = spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 0)
+    # Fails if the file exists, unlike FileSystem.rename on some file systems.
+    jvm.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(fs.makeQualified(draft), fs.makeQualified(final), none)
+    for version in _versions(spark, root):
+        if version < manifest.version - KEPT:
+            fs.delete(jvm.Path(f"{folder}/{version}.json"), False)
 
 
-def _read(spark: SparkSession, root: str, snapshot: int, batches: list[str]) -> DataFrame:
-    return spark.read.schema(STORED_CHUNK).option("basePath", snapshot_path(root, snapshot)) \
-        .parquet(*[batch_path(root, snapshot, b) for b in batches]) \
-        .select(*STORED_CHUNK.fieldNames())
+def snapshot_path(root: str, number: int) -> str:
+    return f"{root.rstrip('/')}/snapshot={number}"
 
 
 def open_collection(spark: SparkSession, root: str) -> DataFrame:
-    """The current collection; an empty one of the same schema where there is none."""
-    snapshot = current_snapshot(spark, root)
-    if snapshot is None:
+    """The current collection; an empty one of the same schema where there is none.
+
+    One scan over all batches; filters on category and block prune folders. Chunks of replaced sources are
+    left out by a join with the replaced sources alone.
+    """
+    manifest = read_manifest(spark, root)
+    if manifest is None or not manifest.batches:
         return spark.createDataFrame([], STORED_CHUNK)
-    # One scan over all complete batches; filters on category prune folders.
-    return _read(spark, root, snapshot, complete_batches(spark, root, snapshot))
+    snapshot = snapshot_path(root, manifest.snapshot)
+    rows = spark.read.schema(STORED_CHUNK).option("basePath", snapshot) \
+        .parquet(*[f"{snapshot}/{b['folder']}" for b in manifest.batches]).select(*STORED_CHUNK.fieldNames())
+    if manifest.replaced:
+        old = spark.read.schema("source string, below long").parquet(*[f"{snapshot}/{r}" for r in manifest.replaced]) \
+            .groupBy("source").agg(F.max("below").alias("below"))
+        rows = rows.join(old.withColumnRenamed("source", "old"), (F.col("source") == F.col("old"))
+                         & (F.col("ordinal") < F.col("below")), "left_anti")
+    return rows
 
 
 def write_batch(chunks: DataFrame, path: str) -> None:
-    """Every task writes its rows straight into the category folders; nothing is shuffled."""
-    chunks.select(*STORED_CHUNK.fieldNames()).write.mode("overwrite") \
-        .partitionBy("category").parquet(path)
+    """Rows go to the folders of their category and block; Spark splits large folders over tasks, so neither
+    a busy category nor many small ones make too many or too large files."""
+    placed = chunks.withColumn("block", F.floor(F.col("ordinal") / BLOCK_ROWS).cast("long"))
+    placed.select(*STORED_CHUNK.fieldNames()).hint("rebalance", "category", "block") \
+        .write.mode("overwrite").partitionBy("category", "block").parquet(path)
+
+
+def _write(chunks: DataFrame, root: str, snapshot: int, label: str, first: int) -> dict:
+    """Write a batch under a name of its own, so that a repeated attempt never touches what is in use."""
+    folder = f"batch={uuid.uuid4().hex}"
+    path = f"{snapshot_path(root, snapshot)}/{folder}"
+    write_batch(chunks, path)
+    # Ordinals have no gaps, so the largest tells the number of rows; an empty batch has no files to ask.
+    last = chunks.sparkSession.read.schema(STORED_CHUNK).parquet(path).agg(F.max("ordinal")).first()[0]
+    return {"label": label, "folder": folder, "first": first, "rows": 0 if last is None else last + 1 - first}
 
 
 def rebuild(chunks: DataFrame, root: str) -> int:
-    """Write a new snapshot; it becomes the collection when complete. Returns its number."""
-    number = _next_number(_folders(chunks.sparkSession, root, "snapshot"))
-    write_batch(chunks, batch_path(root, number, 0))
+    """Write a new snapshot, publish it and drop what lies behind the previous one. Returns its number.
+
+    Labels of micro-batches are kept, so one that is delivered again after a rebuild is still known.
+    """
+    spark = chunks.sparkSession
+    old = read_manifest(spark, root) or Manifest()
+    number = old.snapshot + 1
+    batch = _write(chunks, root, number, "0", 0)
+    _commit(spark, root, Manifest(old.version, number, [batch], old.labels))
+    if number - KEPT - 1 >= 0:
+        remove(spark, snapshot_path(root, number - KEPT - 1))
     return number
 
 
-def append(chunks: DataFrame, root: str, label: int | str | None = None) -> str:
-    """Add a batch to the current snapshot. Writing the same label again replaces it."""
+def append(chunks: DataFrame, root: str, label: str | None = None, replaced: DataFrame | None = None) -> str:
+    """Add a batch to the current snapshot. A label that was added before is not added again.
+
+    ``chunks`` have the ordinals from ``next_ordinal`` on. With ``replaced`` (source), earlier chunks of these
+    sources leave the collection with the same commit; they are listed, not rewritten.
+    """
     spark = chunks.sparkSession
-    snapshot = current_snapshot(spark, root)
-    if snapshot is None:
+    manifest = read_manifest(spark, root)
+    if manifest is None:
         raise FileNotFoundError(f"no collection at {root}")
-    if label is None:
-        label = _next_number(_folders(spark, snapshot_path(root, snapshot), "batch"))
-    write_batch(chunks, batch_path(root, snapshot, label))
-    return str(label)
+    label = str(len(manifest.labels) + 1) if label is None else str(label)
+    if label in manifest.labels:
+        return label
+    first = manifest.next_ordinal
+    batch = _write(chunks, root, manifest.snapshot, label, first)
+    if replaced is not None:
+        folder = f"replaced/{uuid.uuid4().hex}"
+        replaced.select("source", F.lit(first).cast("long").alias("below")).distinct() \
+            .write.parquet(f"{snapshot_path(root, manifest.snapshot)}/{folder}")
+        manifest.replaced.append(folder)
+    manifest.batches.append(batch)
+    manifest.labels.append(label)
+    _commit(spark, root, manifest)
+    return label
 
 
 def next_ordinal(spark: SparkSession, root: str) -> int:
-    """One more than the largest ordinal; the count, as long as nothing was removed.
-
-    Ordinals grow from batch to batch, so the newest batch with rows has the largest.
-    """
-    snapshot = current_snapshot(spark, root)
-    if snapshot is None:
-        return 0
-    for batch in reversed(complete_batches(spark, root, snapshot)):
-        last = _read(spark, root, snapshot, [batch]).agg(F.max("ordinal")).first()[0]
-        if last is not None:
-            return last + 1
-    return 0
+    """One more than the largest ordinal ever given in the current snapshot."""
+    manifest = read_manifest(spark, root)
+    return 0 if manifest is None else manifest.next_ordinal
 
 
-def without_sources(collection: DataFrame, documents: DataFrame,
-                    settings: Settings = Settings()) -> DataFrame:
-    """The collection less every chunk of the given documents' sources.
-
-    Few sources are broadcast, so that the collection is filtered where it lies.
-    """
-    sources = documents.select("source").distinct()
-    if sources.count() <= settings.broadcast_hits:
-        sources = F.broadcast(sources)
-    return collection.join(sources, "source", "left_anti")
+def has_label(spark: SparkSession, root: str, label: str) -> bool:
+    manifest = read_manifest(spark, root)
+    if manifest is None:
+        raise FileNotFoundError(f"no collection at {root}")
+    return label in manifest.labels

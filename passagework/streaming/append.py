@@ -30,17 +30,14 @@ def append_stream(documents: DataFrame, root: str, embedder, checkpoint: str,
     """Write each micro-batch as one batch of the collection at ``root``.
 
     The batch is labelled by the stream's name and the micro-batch's number, both of which outlive
-    a restart. Spark may hand over a micro-batch again after a failure; one that is complete is
-    skipped and one that is not is replaced, so each file counts once. Documents do not depend on
+    a restart, and the collection remembers labels even when it is rebuilt. Spark may hand over a
+    micro-batch again after a failure; one that was added is skipped, so each file counts once. Documents do not depend on
     each other, so the stream keeps no state and needs no watermark.
     """
 
     def write(rows: DataFrame, number: int) -> None:
         session, label = rows.sparkSession, f"{name}-{number}"
-        snapshot = store.current_snapshot(session, root)
-        if snapshot is None:
-            raise FileNotFoundError(f"no collection at {root}")
-        if label not in store.complete_batches(session, root, snapshot):
+        if not store.has_label(session, root, label):
             add_documents(rows, root, embedder, settings, batch=label)
 
     writer = documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from passagework.functions.embedding import HashEmbedder
 from passagework.functions.paths import folder_category, path_category, plain_path
 from passagework.functions.chunking import split_text
+from passagework.lineage import shared_folder
+from passagework.operators.chunks import _with_metadata
 from passagework.operators.ordinals import running_offsets
 from passagework.operators.stats import collection_stats
 from passagework.plans.ingest import add_documents, ingest
@@ -146,12 +148,119 @@ def test_rebuild_append_replace_and_reopen(spark, tmp_path):
 def test_unfinished_writes_are_invisible(spark, tmp_path):
     root = str(tmp_path / "store")
     ingest(documents(spark, 5), root, EMBEDDER)
-    before = ids(spark, root)
-    snapshot = store.current_snapshot(spark, root)
+    before, manifest = ids(spark, root), store.read_manifest(spark, root)
     chunks = store.open_collection(spark, root)
-    store.write_batch(chunks, store.batch_path(root, snapshot + 1, 0))
-    os.unlink(f"{store.batch_path(root, snapshot + 1, 0)}/_SUCCESS")
-    assert store.current_snapshot(spark, root) == snapshot and ids(spark, root) == before
+    # Complete data that no manifest names, in this snapshot and in the next one.
+    store.write_batch(chunks, f"{store.snapshot_path(root, manifest.snapshot)}/batch=lost")
+    store.write_batch(chunks, f"{store.snapshot_path(root, manifest.snapshot + 1)}/batch=lost")
+    assert store.read_manifest(spark, root) == manifest and ids(spark, root) == before
+    # Another writer has published the same version first.
+    with pytest.raises(Exception, match="AlreadyExists"):
+        store._commit(spark, root, store.Manifest(manifest.version - 1))
+    assert store.read_manifest(spark, root) == manifest
+
+
+def names(root):
+    return sorted(os.listdir(root)), sorted(n for n in os.listdir(f"{root}/manifest") if n.endswith(".json"))
+
+
+def test_old_snapshots_manifests_and_stages_go(spark, tmp_path):
+    root, shared = str(tmp_path / "store"), shared_folder(spark)[len("file:"):]
+    stages = set(os.listdir(shared))
+    for _ in range(4):
+        ingest(documents(spark, 5), root, EMBEDDER)
+    folders, manifests = names(root)
+    assert folders == ["manifest", "snapshot=2", "snapshot=3"] and manifests == ["2.json", "3.json"]
+    for i in range(3):
+        add_documents(documents(spark, 1, 10 + i), root, EMBEDDER)
+    # Opening and appending read one small folder and one file, however many batches there are.
+    assert names(root)[1] == ["5.json", "6.json"]
+    left = [n for n in set(os.listdir(shared)) - stages for _ in os.walk(f"{shared}/{n}/empty=false")]
+    assert left == []
+
+
+def test_replacing_a_source_rewrites_nothing(spark, tmp_path):
+    root = str(tmp_path / "store")
+    ingest(documents(spark, 12), root, EMBEDDER)
+    snapshot = f"{root}/snapshot=0"
+    files = {os.path.join(d, n): os.path.getmtime(os.path.join(d, n)) for d, _, ns in os.walk(snapshot) for n in ns}
+    for word, gone in (("new", "word 5"), ("newer", "new 5")):
+        add_documents(documents(spark, 1, 5, word), root, EMBEDDER, replace=True)
+        rows = store.open_collection(spark, root)
+        assert rows.where("doc_id = 5").count() > 0
+        assert rows.where("doc_id = 5").where(F.col("text").contains(gone)).count() == 0
+    assert all(os.path.getmtime(f) == at for f, at in files.items())
+    assert store.open_collection(spark, root).select("doc_id").distinct().count() == 10
+
+
+def test_a_label_counts_once_even_after_a_rebuild(spark, tmp_path):
+    root = str(tmp_path / "store")
+    ingest(documents(spark, 5), root, EMBEDDER)
+    for batch in ("9", "10", "9", "10"):
+        add_documents(documents(spark, 1, int(batch)), root, EMBEDDER, batch=batch)
+    rows = ids(spark, root)
+    assert rows == [(i, f"chunk_{i}") for i in range(len(rows))]
+    ingest(documents(spark, 5), root, EMBEDDER)
+    n = len(ids(spark, root))
+    add_documents(documents(spark, 1, 10), root, EMBEDDER, batch="10")
+    assert len(ids(spark, root)) == n
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_unreadable_and_failed_documents_at_ingest(spark, tmp_path, ansi):
+    from passagework.operators.stats import ingest_stats
+
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        docs = documents(spark, 6).withColumn("text", F.when(F.col("doc_id") != 2, F.col("text"))) \
+            .withColumn("category", F.when(F.col("doc_id") != 3, F.col("category")).otherwise(""))
+        report = ingest(docs, str(tmp_path / "store"), EMBEDDER).first()
+        assert (report.documents_processed, report.errors) == (5, 0)
+        assert report.categories == {"c0": 1, "c1": 2, "c2": 1, "uncategorized": 1}
+        stored = store.open_collection(spark, str(tmp_path / "store"))
+        assert {r.category for r in stored.where("doc_id = 3").collect()} == {"uncategorized"}
+        failed = _with_metadata(docs, F.lit(None).cast("array<string>"), True)
+        row = ingest_stats(failed).first()
+        assert (row.documents_processed, row.errors) == (0, 6)
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_ordinals_do_not_depend_on_the_layout(spark, tmp_path):
+    seen = set()
+    for i, (cost, tasks, partitions) in enumerate((("1", 1, "8"), ("4m", 7, "8"), ("4m", 3, "2"), ("1", 5, "13"))):
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            root = str(tmp_path / f"store{i}")
+            ingest(documents(spark, 40).repartition(tasks), root, EMBEDDER)
+            rows = store.open_collection(spark, root).select("source", "doc_id", "chunk_index", "ordinal").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        order = [r[:3] for r in sorted(rows, key=lambda r: r.ordinal)]
+        assert order == sorted(order) and [r.ordinal for r in sorted(rows, key=lambda r: r.ordinal)] == list(range(len(rows)))
+        seen.add(tuple(order))
+    assert len(seen) == 1
+
+
+def test_hits_are_fetched_from_their_blocks(spark, tmp_path, monkeypatch):
+    from passagework.operators.embed import embed
+    from passagework.operators.search import search
+
+    monkeypatch.setattr(store, "BLOCK_ROWS", 10)
+    root = str(tmp_path / "store")
+    ingest(documents(spark, 60), root, EMBEDDER)
+    collection = store.open_collection(spark, root)
+    question = embed(spark.createDataFrame([(1, "word 5")], "query_id long, text string"), EMBEDDER).drop("text")
+    few = search(question, collection, Settings(top_k=2))
+    many = search(question, collection, Settings(top_k=2, broadcast_hits=1))
+    assert "dynamicpruning" in plan(few).lower()
+    for hits in (few, many):
+        rows = hits.collect()
+        assert len(rows) == 2 and all(r.content for r in rows)
+        assert "SortMergeJoin" not in plan(hits) and "ShuffledHashJoin" not in plan(hits)
+    assert sorted(few.collect()) == sorted(many.collect())
 
 
 def test_all_documents_blank(spark, tmp_path):

@@ -70,13 +70,13 @@ def page_assembly(spark, sf):
 
 
 @register("unreadable_documents", f"""{sq.with_views('partly_read')}
-    select doc_id, category, text is null as rejected, coalesce(length(text), 0)::bigint as n
-    from partly_read""")
+    select doc_id, category, case when text is null then 'unreadable' else 'readable' end as side,
+           coalesce(length(text), 0)::bigint as n from partly_read""")
 def unreadable_documents(spark, sf):
     good, bad = split_unreadable(spark_view(spark, sf, "partly_read"))
-    columns = ["doc_id", "category", F.col("text").isNull().alias("rejected"),
-               F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n")]
-    return good.select(columns).unionAll(bad.select(columns))
+    n = F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n")
+    return good.select("doc_id", "category", F.lit("readable").alias("side"), n).unionAll(
+        bad.select("doc_id", "category", F.lit("unreadable").alias("side"), n))
 
 
 _FILES_SQL = """files as (select doc_id, root, root || case doc_id % 3 when 0 then ''
@@ -390,7 +390,23 @@ def search_above_threshold(spark, sf):
         "query_id", "rank", "ordinal", _points("score").alias("score"))
 
 
-@register("search_approximately", None)
+_HASHER = search.HyperplaneHasher(64, 16, 4, 11)
+_PLANES = ", ".join(f"[{', '.join(repr(float(x)) for x in p)}]" for t in _HASHER.planes for p in t)
+
+
+@register("search_approximately", f"""{sq.with_views('vectors')},
+    planes as (select i, planes[i + 1] as p from (select [{_PLANES}] as planes), range(64) r(i)),
+    codes as (select ordinal, i // 4 as hash_table, sum(case when list_dot_product(
+        embedding::double[], p::double[]) > 0 then 1 << (i % 4) else 0 end) as code
+        from vectors, planes group by all),
+    pairs as (select distinct a.ordinal as query_id, b.ordinal from codes a join codes b
+        on a.hash_table = b.hash_table and a.code = b.code),
+    measured as (select query_id, p.ordinal, {sq.squared_l2('q.embedding', 'c.embedding')} as distance
+        from pairs p join vectors q on query_id = q.ordinal join vectors c on p.ordinal = c.ordinal),
+    placed as (select *, (row_number() over (partition by query_id order by distance, ordinal))::int
+        as rank from measured)
+    select query_id, rank, ordinal, {_points_sql(sq.score('distance'))} as score from placed
+    where rank <= 5""")
 def search_approximately(spark, sf):
     vectors = spark_view(spark, sf, "vectors")
     queries = vectors.select(F.col("ordinal").alias("query_id"), "embedding")
@@ -639,13 +655,13 @@ def _stored_chunks(spark, sf):
     return cut(embed(chunks, EMBEDDER, batch_size=256))
 
 
-@register("chunk_vectors", f"""{_STORED_SQL}
+_VECTORS_SQL = f"""{_STORED_SQL}
     select doc_id, chunk_index, len(list_filter(embedding, lambda x: x <> 0))::int as cells,
         cast(round(list_sum(list_transform(embedding, lambda x, i: x::double * i)) * 1000) as bigint)
-        as weighted from stored""")
-def chunk_vectors(spark, sf):
-    chunks = process_documents(widen(spark_view(spark, sf, "dirty"), "doc_id"))
-    vectors = embed(chunks.select("doc_id", "chunk_index", "text"), EMBEDDER, batch_size=256)
+        as weighted from stored"""
+
+
+def _vector_digest(vectors):
     # A sum in index order with the position as weight depends on every cell.
     placed = F.transform("embedding", lambda x, i: x.cast("double") * (i + 1))
     return vectors.select(
@@ -654,6 +670,12 @@ def chunk_vectors(spark, sf):
         .alias("weighted"))
 
 
+@register("chunk_vectors", _VECTORS_SQL)
+def chunk_vectors(spark, sf):
+    chunks = process_documents(widen(spark_view(spark, sf, "dirty"), "doc_id"))
+    return _vector_digest(embed(chunks.select("doc_id", "chunk_index", "text"), EMBEDDER, batch_size=256))
+
+
 def _flat_response(response: DataFrame) -> DataFrame:
     line = F.transform("sources", lambda s: F.concat_ws(
         "|", s["content"], s["source"], s["category"], s["filename"],
@@ -744,13 +766,33 @@ def ingest_report(spark, sf):
     return report.withColumn("categories", _flat_map("categories"))
 
 
-@register("stored_ordinals", f"""{_PROCESSED_SQL}
-    select range::bigint as ordinal, 'chunk_' || range as chunk_id
-    from range((select count(*) from chunks))""")
+@register("readable_report", """
+    select count(*) as documents_processed, 0::bigint as errors,
+           (select string_agg(category || '=' || n, ';' order by category) from (select lang as category,
+            count(*) as n from documents where doc_id % 9 <> 4 group by lang)) as categories
+    from documents where doc_id % 9 <> 4""")
+def readable_report(spark, sf):
+    docs = spark_view(spark, sf, "partly_read").withColumns(
+        {"source": F.col("doc_id").cast("string"), "filename": F.col("doc_id").cast("string")})
+    report = ingesting.ingest(docs, _new_root(spark), EMBEDDER, SETTINGS)
+    return report.select("documents_processed", "errors", _flat_map("categories").alias("categories"))
+
+
+@register("stored_vectors", _VECTORS_SQL)
+def stored_vectors(spark, sf):
+    root = _new_root(spark)
+    ingesting.ingest(spark_view(spark, sf, "dirty"), root, EMBEDDER, SETTINGS)
+    return _vector_digest(store.open_collection(spark, root))
+
+
+@register("stored_ordinals", f"""{_PROCESSED_SQL},
+    numbered as (select c.doc_id, chunk_index, row_number() over (order by d.source, c.doc_id, chunk_index) - 1
+        as ordinal from chunks c join dirty d on c.doc_id = d.doc_id)
+    select doc_id, chunk_index, ordinal, 'chunk_' || ordinal as chunk_id from numbered""")
 def stored_ordinals(spark, sf):
     root = _new_root(spark)
     ingesting.ingest(spark_view(spark, sf, "dirty"), root, EMBEDDER, SETTINGS)
-    return store.open_collection(spark, root).select("ordinal", "chunk_id")
+    return store.open_collection(spark, root).select("doc_id", "chunk_index", "ordinal", "chunk_id")
 
 
 @register("appended_documents", f"""{_PROCESSED_SQL},

@@ -78,7 +78,7 @@ VIEWS = {
     # Groups of documents as ranked hits of a question, long enough to overflow a context.
     "document_hits": """
         select cast(floor(doc_id / 6) as bigint) as query_id, cast(doc_id % 6 + 1 as int) as rank,
-               case when doc_id % 4 = 3 then substr(text, 1, 190) else text end as content,
+               text as content,
                'folder/' || source as source, lang as category, source || '.txt' as filename,
                0 as chunk_index, 1 as total_chunks,
                cast(0.9 - (doc_id % 6) / 10.0 as double) as score
