@@ -7,7 +7,9 @@
    as long as the number of parts allows for it. Small sets use the sums of the set without any one or two
    of its members instead. Below a threshold of ``PARTED`` percent parts would be too small to tell sets
    apart; there the keys are a set's smallest hashes, as many as it may lack of another set, and one more.
-   Sets that share keys form clusters; no link leaves a cluster.
+   Sets that share keys form clusters; no link leaves a cluster. Single hashes also tie together sets that
+   have a passage in common, so these clusters are laid out in tiles of bitmaps first, and only pairs that pass
+   the bound of step 3 stay together.
 3. A cluster is laid out in tiles of about ``TILE`` sets at most, by bands of size. Inside a tile, bitmaps of the
    hashes give an upper bound of each overlap, and pairs that pass it are intersected exactly. Pairs that
    other links have joined already need no look, as the result is components.
@@ -139,21 +141,37 @@ class Keys:
         return keys if parts - strong.sum() > weak else keys[strong]
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Bits of the hashes, at least four for each; the width is a power of two, so halves can be folded."""
+    width = 64
+    while width < 4 * len(found) and width < 1 << 16:
+        width *= 2
+    on = np.zeros(width, bool)
+    on[((found >> U64(40)) % U64(width)).astype(np.int64)] = True
+    return np.packbits(on, bitorder="little").view(U64)
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
 def _profiles(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = Keys(percent)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                sizes, digests, lists = [], [], []
+                sizes, digests, lists, maps = [], [], [], []
                 for text in batch.column("text").to_pylist():
                     found = shingles(text, n)
                     sizes.append(len(found))
                     digests.append(digest(found))
                     lists.append(keys.of(found).view(np.int64))
+                    maps.append(bitmap(found).tobytes() if percent < PARTED else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array(lists, pa.list_(pa.int64()))], ["key", "n", "digest", "keys"])
+                     pa.array(lists, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
+                    ["key", "n", "digest", "keys", "bits"])
 
     return run
 
@@ -241,6 +259,69 @@ class Tile:
         return out
 
 
+class BitTile(Tile):
+    """Bitmaps and sizes alone; pairs that pass the bound count as links."""
+
+    def __init__(self, sizes: list[int], bitmaps: list[np.ndarray], percent: int) -> None:
+        self.percent, self.sizes = percent, np.array(sizes, np.int64)
+        words = min(map(len, bitmaps))
+        self.bits = np.array([fold(b, words) for b in bitmaps])
+
+    def linked(self, i: int, j: int) -> bool:
+        return True
+
+
+def _bit_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        tiles: dict[int, list[tuple]] = {}
+        columns = [table.column(c).to_pylist() for c in ("tile", "node", "n", "side", "bits")]
+        for tile, *rest in zip(*columns, strict=True):
+            tiles.setdefault(tile, []).append(rest)
+        a, b = [], []
+        for rows in tiles.values():
+            nodes, sizes, sides, bits = zip(*sorted(rows, key=lambda r: r[0]), strict=True)
+            tile = BitTile(list(sizes), [np.frombuffer(x, U64) for x in bits], percent)
+            for i, j in tile.links(np.arange(len(nodes)), None if sides[0] is None else np.array(sides)):
+                a.append(nodes[i])
+                b.append(nodes[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def size_band(percent: int) -> Column:
+    """Bands of ``n`` that span the threshold: sets of bands that are not neighbours never link."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+
+
+def bounded(sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """(a, b): links that connect all sets (node, cluster, n, bits) of a cluster that may link by the bound.
+
+    A cluster of more than ``tile`` sets is cut into tiles of one band each; those of the same or neighbouring
+    bands meet in pairs. What moves is a bitmap of about half a byte for each member of a set.
+    """
+    sizes = cut(sets.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1"))
+    placed = cut(sets.join(sizes, "cluster").withColumn("band", size_band(percent)))
+    many = placed.where(F.col("size") <= tile).count() // tile + 1
+    side = F.lit(None).cast("boolean").alias("side")
+    small = placed.where(F.col("size") <= tile).select(
+        F.pmod(F.xxhash64("cluster"), F.lit(many)).alias("task"), F.col("cluster").alias("tile"), "node", "n", side, "bits")
+    large = placed.where(F.col("size") > tile)
+    counts = cut(large.groupBy("cluster", "band").agg(F.ceil(F.count("*") / tile).alias("slots")))
+    dealt = large.join(counts, ["cluster", "band"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")))
+    tiles = counts.select("cluster", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"))
+    one, two = (tiles.select("cluster", F.struct("band", "slot").alias(x)) for x in ("one", "two"))
+    # One row per pair of tiles.
+    pairs = cut(one.join(two, "cluster").where((F.col("one") <= F.col("two")) & (F.col("two.band") - F.col("one.band") <= 1)))
+    sides = pairs.select("cluster", "one", "two", F.explode(F.when(
+        F.col("one") == F.col("two"), F.array(F.struct(F.col("one").alias("at"), side)))
+        .otherwise(F.array(*(F.struct(F.col(x).alias("at"), F.lit(x == "two").alias("side")) for x in ("one", "two"))))).alias("x"))
+    sides = cut(sides.select("cluster", F.xxhash64("cluster", "one", "two").alias("tile"), F.col("x.at.band").alias("band"),
+                             F.col("x.at.slot").alias("slot"), F.col("x.side").alias("side")))
+    paired = dealt.join(sides, ["cluster", "band", "slot"]).select(F.col("tile").alias("task"), "tile", "node", "n", "side", "bits")
+    return small.unionByName(paired).groupBy("task").applyInArrow(_bit_links(percent), "a long, b long")
+
+
 def _tile_links(percent: int):
     """For sets grouped in tasks: links inside each tile."""
     def run(table: pa.Table) -> pa.Table:
@@ -302,9 +383,7 @@ def join_classes(docs: DataFrame, classes: DataFrame, n: int = WORDS, percent: i
     ``docs`` (id, text) is read once more, for the texts of these classes alone. ``tiles`` is the number of
     tiles that the sets of the cluster fill.
     """
-    # Sets of bands that are not neighbours never link: a band spans the threshold.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-    wanted = cut(classes.withColumn("band", band))
+    wanted = cut(classes.withColumn("band", size_band(percent)))
     # Classes of clusters are a steady share of all rows, so this join moves texts at any size of the input.
     texts = wanted.hint("merge").join(docs, wanted["id"].eqNullSafe(docs["id"])).select(
         "cluster", "node", "digest", "band", "tiles", "text")
@@ -376,11 +455,15 @@ def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     kind = docs.schema[id_column].dataType.simpleString()
     profiles = cut(docs.select(key.alias("key"), F.col(text_column).alias("text")).mapInArrow(
         _profiles(n, percent), f"key struct<none: boolean, id: {kind}, row: bigint>, n long, digest binary, "
-                               "keys array<long>"))
+                               "keys array<long>, bits binary"))
     marked = cut(settle(profiles.where("n > 0").select("key", "n", "digest"), k).select(
         "key", "n", "digest", F.col("first.row").alias("node"), F.col("first.id").alias("least")))
     heads = marked.where("key.row = node").select("node", "n", "digest", F.col("least").alias("id"))
     clusters = components(stars(profiles.select(F.col("key.row").alias("row"), "keys"), k))
+    if percent < PARTED:
+        sets = heads.select("node", "n").join(clusters.select("node", F.col("component").alias("cluster")), "node") \
+            .join(profiles.select(F.col("key.row").alias("node"), "bits"), "node")
+        clusters = components(bounded(sets, percent, tile))
     classes = cut(heads.join(clusters.select("node", F.col("component").alias("cluster")), "node"))
     sizes = cut(classes.groupBy("cluster").agg(F.count("*").alias("size"), filled(tile, members).alias("tiles"))
                 .where("size > 1").drop("size"))

@@ -76,8 +76,9 @@ def test_tiles_by_members(spark, rows):
     assert run(spark, rows, members=200) == brute(rows)
 
 
-def test_another_threshold(spark, rows):
-    assert run(spark, rows, percent=80) == brute(rows, 80)
+@pytest.mark.parametrize("options", [{}, {"tile": 5, "k": 2}])
+def test_another_threshold(spark, rows, options):
+    assert run(spark, rows, percent=80, **options) == brute(rows, 80)
 
 
 def test_one_large_family_over_many_tiles(spark):
@@ -112,9 +113,11 @@ def test_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64) << np.uint64(45)) for _ in range(40)]
     tile = jj.Tile(sets, 90)
+    bits = jj.BitTile([len(s) for s in sets], [jj.bitmap(s) for s in sets], 90)
     for i in range(40):
-        kept = set(tile.may_link(i, np.arange(40)).tolist())
-        assert kept >= {j for j in range(40) if tile.linked(i, j)}
+        links = {j for j in range(40) if tile.linked(i, j)}
+        assert set(tile.may_link(i, np.arange(40)).tolist()) >= links
+        assert set(bits.may_link(i, np.arange(40)).tolist()) >= links
 
 
 def test_odd_rows(spark):
@@ -129,7 +132,7 @@ def test_odd_rows(spark):
     assert jj.similar(docs.limit(0)).count() == 0 == jj.drop_similar(docs.limit(0)).count()
 
 
-@pytest.mark.parametrize("links", [200_000, 4])
+@pytest.mark.parametrize("links", [1_000_000, 4])
 @pytest.mark.parametrize("edges", [
     [], [(1, 1)], [(2, 1), (None, 3)], [(i, i + 1) for i in range(60)], [(99, i) for i in range(80)],
     [(i, (i * 7) % 50) for i in range(50)], [(i, 100 - i) for i in range(50)] + [(100, 7), (8, 93)]])
