@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from passagework.lineage import cut
 
 #: Links that one task holds together.
-LINKS = 200_000
+LINKS = 1_000_000
 
 
 class Forest:
