@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -15,27 +16,27 @@ from passagework.functions.text import is_blank
 PageReader = Callable[[bytes], Iterable[str]]
 
 
-def _load(spark: SparkSession, form: str, directory: str, suffix: str, recursive: bool,
-          **options) -> DataFrame:
+def _load(spark: SparkSession, directory: str, suffix: str, recursive: bool) -> DataFrame:
+    """(path, content) of the files."""
     root = directory.rstrip("/")
-    if not _exists(spark, root):
+    if qualified_root(spark, root) is None:
         raise FileNotFoundError(f"no such folder: {directory}")
-    reader = spark.read.format(form).options(**options).option("pathGlobFilter", f"*{suffix}")
-    below = reader.option("recursiveFileLookup", "true")
-    if recursive:
-        return below.load(root)
+    below = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}") \
+        .option("recursiveFileLookup", "true")
     try:
-        return spark.read.format(form).options(**options).load(f"{root}/*{suffix}")
+        files = below.load(root) if recursive else spark.read.format("binaryFile").load(f"{root}/*{suffix}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return below.load(root).limit(0)
+        files = below.load(root).limit(0)
+    return files.select(plain_path(F.col("_metadata.file_path")).alias("path"), "content")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    return jvm_path.getFileSystem(conf).exists(jvm_path)
+def qualified_root(spark: SparkSession, path: str) -> str | None:
+    """The absolute path as ``plain_path`` writes it, or None where there is nothing."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return re.sub(r"\Afile:/+", "/", fs.makeQualified(where).toString()) if fs.exists(where) else None
 
 
 def describe_files(files: DataFrame, root: str | Column, path: str = "path") -> DataFrame:
@@ -49,12 +50,14 @@ def scan_texts(spark: SparkSession, directory: str, recursive: bool = True,
                suffix: str = ".txt") -> DataFrame:
     """One document per text file: (doc_id, text, source, category, filename).
 
-    ``doc_id`` is a hash of the path, so it does not depend on how the files are split into tasks.
-    Spark does not read files of zero bytes; they give no document.
+    ``doc_id`` is a hash of the path, so it does not depend on how the files are split into tasks. A file
+    that is not UTF-8 has a null text, like any document that cannot be read. Spark passes over files of
+    zero bytes and files whose names begin with a dot or an underscore.
     """
-    files = _load(spark, "text", directory, suffix, recursive, wholetext=True).select(
-        F.col("value").alias("text"), plain_path(F.col("_metadata.file_path")).alias("path"))
-    described = describe_files(files, directory)
+    text = F.col("content").cast("string")
+    files = _load(spark, directory, suffix, recursive).select(
+        "path", F.when(F.is_valid_utf8(text), text).alias("text"))
+    described = describe_files(files, qualified_root(spark, directory))
     return described.select(F.xxhash64("path").alias("doc_id"), "text", "source", "category",
                             "filename")
 
@@ -65,8 +68,7 @@ def scan_pages(spark: SparkSession, directory: str, read_pages: PageReader, suff
 
     A file that cannot be read gives one row with a null text and the reason in ``problem``.
     """
-    files = _load(spark, "binaryFile", directory, suffix, recursive).select(
-        plain_path(F.col("path")).alias("path"), "content")
+    files = _load(spark, directory, suffix, recursive)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +108,7 @@ def assemble_pages(pages: DataFrame, key: str = "doc", page: str = "page", text:
 def documents_from_pages(pages: DataFrame, directory: str) -> DataFrame:
     """Documents of ``scan_pages`` rows; files that could not be read are left out."""
     texts = assemble_pages(pages.where("problem is null"), "path")
-    return describe_files(texts, directory).select(
+    return describe_files(texts, qualified_root(pages.sparkSession, directory)).select(
         F.xxhash64("path").alias("doc_id"), "text", "source", "category", "filename")
 
 

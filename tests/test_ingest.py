@@ -40,6 +40,10 @@ def test_scan_texts(spark, tmp_path):
     assert got["a.txt"].text == "one\ntwo"
     assert got["b +1%.txt"].source == os.path.join(root, "x/b +1%.txt")
     assert {r.filename for r in scan_texts(spark, root + "/", recursive=False).collect()} == {"a.txt"}
+    odd = folder(tmp_path / "odd", {"top.txt": " ", "x/bad.txt": b"\xff\xfe\x00", "x/ok.txt": "é"})
+    for name in (odd, "file:" + odd, os.path.relpath(odd)):
+        got = {r.filename: (r.text, r.category) for r in scan_texts(spark, name).collect()}
+        assert got == {"top.txt": (" ", "uncategorized"), "bad.txt": (None, "x"), "ok.txt": ("é", "x")}
     assert scan_texts(spark, root, suffix=".none").count() == 0
     assert scan_texts(spark, root, recursive=False, suffix=".none").count() == 0
     with pytest.raises(FileNotFoundError):

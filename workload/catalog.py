@@ -24,7 +24,8 @@ from passagework.operators.ordinals import number_by_document
 from passagework.plans import ask as asking
 from passagework.plans import ingest as ingesting
 from passagework.sources import collection as store
-from passagework.sources.documents import assemble_pages, describe_files, split_unreadable
+from passagework.sources.documents import assemble_pages, describe_files, scan_texts, single_documents, \
+    split_unreadable
 from workload import sql_parts as sq
 from workload.views import SETTINGS, spark_view
 
@@ -95,6 +96,26 @@ def _files(spark, sf):
         F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
 
 
+@register("scanned_texts", """select 'doc_id=' || doc_id as category, text || chr(10) as text,
+    'part' as filename from documents""")
+def scanned_texts(spark, sf):
+    """The documents as files, one each, and read back."""
+    root = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang", "doc_id").write.partitionBy(
+        "lang", "doc_id").text(root)
+    return scan_texts(spark, root).select("category", "text", F.substring("filename", 1, 4).alias("filename"))
+
+
+@register("single_documents", f"""{sq.with_views('corpus')}
+    select text, source, category, filename from corpus where doc_id % 2 = 0
+    union all select text, source, 'given' as category, filename from corpus where doc_id % 2 = 1""")
+def single_document_rows(spark, sf):
+    files = spark_view(spark, sf, "corpus").select("doc_id", "text", F.col("source").alias("path"))
+    columns = ["text", "source", "category", "filename"]
+    return single_documents(files.where("doc_id % 2 = 0")).select(columns).unionAll(
+        single_documents(files.where("doc_id % 2 = 1"), "given").select(columns))
+
+
 @register("folder_category", f"""with {_FILES_SQL}
     select doc_id, case when path = root || '/' || doc_id || '.txt' then 'uncategorized'
         else string_split(path, '/')[-2] end as category from files""")
