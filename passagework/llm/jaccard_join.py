@@ -66,16 +66,26 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     A text with fewer words has one, all of it; a text without words has none. Hashes have 64 bits: two
     n-grams of one pair of texts collide with a chance of about size squared in 2 ** 64.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, U64)
-    hashes = np.fromiter(map(WORD.__getitem__, words), U64, len(words))
-    k = min(n, len(words))
-    many = len(words) - k + 1
+    words = split(text)
+    return np.unique(grams(word_hashes(words), min(n, len(words)))) if words else np.zeros(0, U64)
+
+
+def split(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, with A-Z in lower case."""
+    return (text or "").encode().lower().split()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(WORD.__getitem__, words), U64, len(words))
+
+
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every run of ``k`` words."""
+    many = len(hashes) - k + 1
     found = np.full(many, k, U64)
     for i in range(k):
         found = mix(found + hashes[i:i + many])
-    return np.unique(found)
+    return found
 
 
 def least_overlap(total: int, percent: int) -> int:
@@ -350,17 +360,19 @@ def _link(sets: DataFrame, percent: int, task: Column) -> DataFrame:
         .groupBy("task").applyInArrow(_tile_links(percent), "a long, b long")
 
 
-def _sets(n: int):
+def _sets(n: int, check):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                found = [shingles(text, n) for text in batch.column("text").to_pylist()]
-                same = pa.array([digest(f) == d for f, d in zip(found, batch.column("digest").to_pylist(), strict=True)])
+                texts = batch.column("text").to_pylist()
+                found = [shingles(text, n) for text in texts]
+                same = pa.array([check(t, f) == d for t, f, d in
+                                 zip(texts, found, batch.column("digest").to_pylist(), strict=True)])
                 hashes = pa.array([f.tobytes() for f in found], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("cluster"), batch.column("node"), batch.column("band"), batch.column("tiles"), hashes],
-                    ["cluster", "node", "band", "tiles", "hashes"]).filter(same)
+                    [batch.column("cluster"), batch.column("node"), batch.column("tiles"), hashes],
+                    ["cluster", "node", "tiles", "hashes"]).filter(same)
 
     return run
 
@@ -377,18 +389,20 @@ def labels_of(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def join_classes(docs: DataFrame, classes: DataFrame, n: int = WORDS, percent: int = PERCENT,
-                 tile: int = TILE, members: int = MEMBERS) -> DataFrame:
+                 tile: int = TILE, members: int = MEMBERS, check=lambda text, found: digest(found)) -> DataFrame:
     """Links that connect the classes (cluster, node, id, digest, n, tiles) of clusters as all links would.
 
-    ``docs`` (id, text) is read once more, for the texts of these classes alone. ``tiles`` is the number of
-    tiles that the sets of the cluster fill.
+    ``docs`` (id, text) is read once more, for the texts of these classes alone; ``check`` (text, set) makes
+    the digest that tells texts with one id apart. ``tiles`` is the number of tiles that the sets of the cluster
+    fill, by ``n``, their sizes or a little more.
     """
-    wanted = cut(classes.withColumn("band", size_band(percent)))
+    wanted = cut(classes)
     # Classes of clusters are a steady share of all rows, so this join moves texts at any size of the input.
     texts = wanted.hint("merge").join(docs, wanted["id"].eqNullSafe(docs["id"])).select(
-        "cluster", "node", "digest", "band", "tiles", "text")
-    sets = cut(texts.mapInArrow(_sets(n), "cluster long, node long, band int, tiles long, hashes binary")
-               .withColumn("large", F.col("tiles") > 1).withColumn("n", (F.length("hashes") / 8).cast("long")))
+        "cluster", "node", "digest", "tiles", "text")
+    sets = cut(texts.mapInArrow(_sets(n, check), "cluster long, node long, tiles long, hashes binary")
+               .withColumn("large", F.col("tiles") > 1).withColumn("n", (F.length("hashes") / 8).cast("long"))
+               .withColumn("band", size_band(percent)))
     load = wanted.where("tiles = 1").agg(F.count("*"), F.sum("n")).first()
     tasks = max(load[0] // tile, (load[1] or 0) // members) * 2 + 1
     small = sets.where("not large").withColumn("tile", F.lit(0).cast("long"))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from passagework.lineage import cut
 from passagework.llm.components import components
 from passagework.llm.exact_dedup import COUNTERS, settle
-from passagework.llm.jaccard_join import MEMBERS, TILE, digest, filled, join_classes, labels_of, mix, shingles, stars
+from passagework.llm.jaccard_join import MEMBERS, TILE, filled, grams, join_classes, labels_of, mix, split, stars, word_hashes
 
 WORDS, PERCENT, LEAST = 5, 80, 25
 #: Chance that a pair at the threshold collides, and rows of a band.
@@ -36,44 +37,74 @@ def bands(percent: int, recall: float = RECALL, rows: int = ROWS) -> int:
     return n
 
 
-def band_keys(found: np.ndarray, n: int, rows: int = ROWS) -> np.ndarray:
-    """One key for each band, from the smallest values of the set under ``n * rows`` hash functions."""
+def band_keys(found: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, rows: int = ROWS) -> np.ndarray:
+    """A row of ``n`` keys for each run of hashes from a start to its end, from the smallest values of the run
+    under ``n * rows`` hash functions."""
     factors = mix(np.arange(1, n * rows + 1, dtype=U64)) | U64(1)
-    least = mix((found[None, :] * factors[:, None]).min(axis=1)).reshape(n, rows)
-    keys = np.arange(n, dtype=U64)
+    # Runs are not empty; the added column lets the last one end at the end.
+    values = np.pad(found, (0, 1))[None, :] * factors[:, None]
+    least = mix(np.minimum.reduceat(values, np.stack([starts, ends], axis=1).reshape(-1), axis=1)[:, ::2])
+    keys = np.repeat(np.arange(n, dtype=U64)[:, None], len(starts), axis=1)
     for i in range(rows):
-        keys = mix(keys + least[:, i])
-    return keys
+        keys = mix(keys + least.reshape(n, rows, -1)[:, i])
+    return keys.T
 
 
-def paragraphs(text: str | None, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(index, start, end) of the lines with at least ``least`` words, in code points."""
+def paragraphs(text: str | None, least: int = LEAST) -> list[tuple[int, int, int, list[bytes]]]:
+    """(index, start, end, words) of the lines with at least ``least`` words; places are code points."""
     out, at = [], 0
     for index, line in enumerate((text or "").split("\n")):
-        if len(line.split()) >= least:
-            out.append((index, at, at + len(line)))
+        words = split(line)
+        if len(words) >= least:
+            out.append((index, at, at + len(line), words))
         at += len(line) + 1
     return out
 
 
+def sequence_digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+#: Words whose n-grams are hashed together.
+AT_ONCE = 20_000
+
+
 def _profiles(n: int, many: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                rows, spans, sizes, digests, lists = [], [], [], [], []
+                rows, spans, sizes, digests, keys = [], [], [], [], []
+                waiting: list[np.ndarray] = []
+
+                def flush(waiting=waiting, keys=keys) -> None:
+                    if waiting:
+                        lengths = np.array([len(h) for h in waiting])
+                        starts = np.cumsum(lengths) - lengths
+                        found = grams(np.concatenate(waiting), n)
+                        keys.append(band_keys(found, starts, starts + lengths - n + 1, many))
+                        waiting.clear()
+
+                held = 0
                 for row, text in enumerate(batch.column("text").to_pylist()):
-                    for index, start, end in paragraphs(text, least):
-                        found = shingles(text[start:end], n)
+                    for index, start, end, words in paragraphs(text, least):
+                        hashes = word_hashes(words)
                         rows.append(row)
                         spans.append((index, start, end))
-                        sizes.append(len(found))
-                        digests.append(digest(found))
-                        lists.append(band_keys(found, many).view(np.int64))
+                        sizes.append(len(words) - n + 1)
+                        digests.append(sequence_digest(hashes))
+                        waiting.append(hashes)
+                        held += len(words)
+                        if held > AT_ONCE:
+                            flush()
+                            held = 0
+                flush()
                 columns = [pa.array([s[i] for s in spans], pa.int64()) for i in range(3)]
+                flat = np.concatenate([*keys, np.zeros((0, many), U64)]).reshape(-1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * many, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc").take(pa.array(rows, pa.int64())), *columns, pa.array(sizes, pa.int64()),
-                     pa.array(digests, pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
+                     pa.array(digests, pa.binary()), lists],
                     ["doc", "index", "start", "end", "n", "digest", "keys"])
 
     return run
@@ -86,7 +117,7 @@ def _texts(least: int):
                 batch = whole.slice(at, 500)
                 rows, indexes, texts = [], [], []
                 for row, text in enumerate(batch.column("text").to_pylist()):
-                    for index, start, end in paragraphs(text, least):
+                    for index, start, end, _ in paragraphs(text, least):
                         rows.append(row)
                         indexes.append(index)
                         texts.append(text[start:end])
@@ -125,7 +156,8 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
                 .where("size > 1").drop("size"))
     lines = rows.mapInArrow(_texts(least), f"doc {kind}, index long, text string").select(
         F.struct("doc", "index").alias("id"), "text")
-    labels = components(join_classes(lines, classes.join(sizes, "cluster"), n, percent, tile, members))
+    labels = components(join_classes(lines, classes.join(sizes, "cluster"), n, percent, tile, members,
+                                     lambda text, _: sequence_digest(word_hashes(split(text)))))
     named = cut(labels_of(heads, labels))
     groups = cut(named.groupBy("label").agg(F.min("first").alias("best"), F.sum("size").alias("copies"))
                  .where("copies > 1"))

@@ -84,5 +84,5 @@ def test_spans_and_removal(spark, rows):
 def test_bands_and_lines():
     n = pd.bands(80)
     assert 1 - (1 - 0.8 ** 3) ** n >= 0.999 > 1 - (1 - 0.8 ** 3) ** (n - 1)
-    assert pd.paragraphs(None) == [] and pd.paragraphs("a b\nc d e", 3) == [(1, 4, 9)]
+    assert pd.paragraphs(None) == [] and pd.paragraphs("a b\nc D e", 3) == [(1, 4, 9, [b"c", b"d", b"e"])]
     assert pd.cut_out("a\nb\nc", [(2, 3)]) == "a\nc" and pd.cut_out("a", [(0, 1)]) == ""
