@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.lineage import cut
+from passagework.llm.places import placed
 
 COUNTERS = 4096
 
@@ -99,13 +100,11 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                 k: int = COUNTERS) -> DataFrame:
     """The rows of ``docs`` that ``mark_copies`` keeps, with all their columns.
 
-    The table is written once with row numbers, so that equal rows can be told apart. Text is moved
-    only where Spark finds the list of dropped rows too large to broadcast.
+    Rows are told apart by their places. Text is moved only where Spark finds the list of dropped
+    rows too large to broadcast.
     """
-    wide = cut(docs.select(
-        F.struct("*").alias("doc"), _key(F.col(id_column)).alias("key"),
-        F.unhex(F.sha2(normalised(F.col(text_column)), 256)).alias("digest")))
-    dropped = settle(wide.select("key", "digest"), k).where(F.col("key") != F.col("first")) \
-        .select(F.col("key.row").alias("row"))
-    return wide.withColumn("row", F.col("key.row")).join(dropped, "row", "left_anti") \
-        .select("doc.*")
+    wide, doc_id = placed(docs), F.col(f"doc.{id_column}")
+    key = F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), "place")
+    rows = cut(wide.select(key.alias("key"), F.unhex(F.sha2(normalised(F.col(f"doc.{text_column}")), 256)).alias("digest")))
+    dropped = settle(rows, k).where(F.col("key") != F.col("first")).select(F.col("key.place").alias("place"))
+    return wide.join(dropped, "place", "left_anti").select("doc.*")

@@ -37,6 +37,7 @@ from passagework.lineage import cut
 from passagework.llm.remembered import Remembered
 from passagework.llm.components import Forest, components
 from passagework.llm.exact_dedup import COUNTERS, settle
+from passagework.llm.places import PLACE, placed
 
 WORDS, PERCENT = 3, 90
 #: Sets in a tile, and members of all its sets together.
@@ -152,9 +153,9 @@ class Keys:
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
-    """Bits of the hashes, at least four for each; the width is a power of two, so halves can be folded."""
+    """Bits of the hashes, at least two for each; the width is a power of two, so halves can be folded."""
     width = 64
-    while width < 4 * len(found) and width < 1 << 16:
+    while width < 2 * len(found) and width < 1 << 16:
         width *= 2
     on = np.zeros(width, bool)
     on[((found >> U64(40)) % U64(width)).astype(np.int64)] = True
@@ -222,27 +223,28 @@ def stars(rows: DataFrame, k: int = COUNTERS) -> DataFrame:
 
 
 class Tile:
-    """Sets side by side: ``sets`` is a list of sorted hash arrays."""
+    """Sets side by side, in order of size. ``sets`` is a list of sorted hash arrays."""
 
     def __init__(self, sets: list[np.ndarray], percent: int) -> None:
-        self.sets, self.percent = sets, percent
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        width = 64
-        while width < 2 * self.sizes.max(initial=1) and width < 1 << 16:
-            width *= 2
-        self.bits = np.zeros((len(sets), width // 64), U64)
-        for i, s in enumerate(sets):
-            spots = (s >> U64(40)) % U64(width)
-            np.bitwise_or.at(self.bits[i], (spots >> U64(6)).astype(np.int64), U64(1) << (spots & U64(63)))
-
-    def may_link(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Those of ``others`` that set i may link with: each bit that is on in one bitmap only stands for at
-        least one member that the other set lacks, which bounds the overlap from above."""
-        a, b = self.bits[i], self.bits[others]
-        mine, theirs = self.sizes[i], self.sizes[others]
-        bound = np.minimum(mine - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64),
-                           theirs - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
-        return others[(100 + self.percent) * bound >= self.percent * (mine + theirs)]
+        self.percent = percent
+        maps = [bitmap(s) for s in sets]
+        self._arrange([len(s) for s in sets], maps)
+        self.sets = [sets[i] for i in self.order]
+
+    def _arrange(self, sizes: list[int], maps: list[np.ndarray]) -> None:
+        self.order = np.argsort(sizes, kind="stable")
+        self.sizes = np.array(sizes, np.int64)[self.order]
+        words = min(map(len, maps))
+        self.bits = np.array([fold(maps[i], words) for i in self.order])
+        self.on = np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
+
+    def may_link(self, i: int, start: int, stop: int) -> np.ndarray:
+        """Those of the sets from ``start`` to ``stop`` that set i may link with: each bit that is on in one
+        bitmap only stands for at least one member that the other set lacks, which bounds the overlap."""
+        both = np.bitwise_count(self.bits[start:stop] & self.bits[i]).sum(axis=1, dtype=np.int64)
+        mine, theirs = self.sizes[i], self.sizes[start:stop]
+        bound = both + np.minimum(mine - self.on[i], theirs - self.on[start:stop])
+        return np.flatnonzero((100 + self.percent) * bound >= self.percent * (mine + theirs)) + start
 
     def linked(self, i: int, j: int) -> bool:
         a, b = self.sets[i], self.sets[j]
@@ -252,19 +254,15 @@ class Tile:
     def links(self, apart: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
         """Links that join components. ``apart`` has the component of each set so far; ``sides``, where given,
         is true for sets that are compared with the others only."""
-        order = np.argsort(self.sizes, kind="stable")
-        out, group = [], apart.copy()
-        for at, i in enumerate(order):
-            reach = np.searchsorted(self.sizes[order], self.sizes[i] * 100 // self.percent, "right")
-            others = order[at + 1:reach]
-            others = others[group[others] != group[i]]
-            if sides is not None:
-                others = others[sides[others] != sides[i]]
-            if not len(others):
+        out, group = [], apart[self.order]
+        sides = None if sides is None else sides[self.order]
+        stops = np.searchsorted(self.sizes, self.sizes * 100 // self.percent, "right").tolist()
+        for i, stop in enumerate(stops):
+            if stop == i + 1:
                 continue
-            for j in self.may_link(i, others):
-                if group[j] != group[i] and self.linked(i, j):
-                    out.append((int(i), int(j)))
+            for j in self.may_link(i, i + 1, stop).tolist():
+                if group[j] != group[i] and (sides is None or sides[j] != sides[i]) and self.linked(i, j):
+                    out.append((int(self.order[i]), int(self.order[j])))
                     group[group == group[j]] = group[i]
         return out
 
@@ -272,10 +270,9 @@ class Tile:
 class BitTile(Tile):
     """Bitmaps and sizes alone; pairs that pass the bound count as links."""
 
-    def __init__(self, sizes: list[int], bitmaps: list[np.ndarray], percent: int) -> None:
-        self.percent, self.sizes = percent, np.array(sizes, np.int64)
-        words = min(map(len, bitmaps))
-        self.bits = np.array([fold(b, words) for b in bitmaps])
+    def __init__(self, sizes: list[int], maps: list[np.ndarray], percent: int) -> None:
+        self.percent = percent
+        self._arrange(sizes, maps)
 
     def linked(self, i: int, j: int) -> bool:
         return True
@@ -308,7 +305,7 @@ def bounded(sets: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
     """(a, b): links that connect all sets (node, cluster, n, bits) of a cluster that may link by the bound.
 
     A cluster of more than ``tile`` sets is cut into tiles of one band each; those of the same or neighbouring
-    bands meet in pairs. What moves is a bitmap of about half a byte for each member of a set.
+    bands meet in pairs. What moves is a bitmap, of two to four bits for each member of a set.
     """
     sizes = cut(sets.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1"))
     placed = cut(sets.join(sizes, "cluster").withColumn("band", size_band(percent)))
@@ -453,22 +450,23 @@ def join_classes(docs: DataFrame, classes: DataFrame, n: int = WORDS, percent: i
 
 def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = WORDS,
             percent: int = PERCENT, tile: int = TILE, members: int = MEMBERS, k: int = COUNTERS,
-            row_column: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, first, row.
+            place_column: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, first, place.
 
     Rows link when ``100 * overlap >= percent * union`` of their sets of word n-grams; ``component_id`` is the
     smallest id reachable by links, null only where no row of the component has an id. ``first`` is true for
     one row of each component, one that has that id. Rows without words (null, empty or blank texts) have no
-    shingles, link with nothing, and are all first. Rows that repeat an id are rows of their own, with a number
-    ``row``, which is taken from ``row_column`` if given. Other columns are not read; an empty table gives an
-    empty table.
+    shingles, link with nothing, and are all first. Rows that repeat an id are rows of their own; ``place`` is
+    what ``place_column`` has for them (see ``places``), or null. Other columns are not read; an empty table gives
+    an empty table.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    number = F.monotonically_increasing_id() if row_column is None else F.col(row_column)
-    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), number.alias("row"))
+    place = (F.lit(None) if place_column is None else F.col(place_column)).cast(PLACE).alias("place")
+    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
+                   F.monotonically_increasing_id().alias("row"), place)
     kind = docs.schema[id_column].dataType.simpleString()
     profiles = cut(docs.select(key.alias("key"), F.col(text_column).alias("text")).mapInArrow(
-        _profiles(n, percent), f"key struct<none: boolean, id: {kind}, row: bigint>, n long, digest binary, "
+        _profiles(n, percent), f"key struct<none: boolean, id: {kind}, row: bigint, place: {PLACE}>, n long, digest binary, "
                                "keys array<long>, bits binary"))
     marked = cut(settle(profiles.where("n > 0").select("key", "n", "digest"), k).select(
         "key", "n", "digest", F.col("first.row").alias("node"), F.col("first.id").alias("least")))
@@ -490,16 +488,16 @@ def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
                                                    (F.col("best.node") == F.col("node")).alias("leads")))
     linked = marked.join(final, "node").select(
         F.col("key.id").alias(id_column), F.col("n").alias("n_shingles"), "component_id",
-        (F.col("leads") & (F.col("key.row") == F.col("node"))).alias("first"), F.col("key.row").alias("row"))
+        (F.col("leads") & (F.col("key.row") == F.col("node"))).alias("first"), F.col("key.place").alias("place"))
     alone = profiles.where("n = 0").select(
         F.col("key.id").alias(id_column), F.col("n").alias("n_shingles"), F.col("key.id").alias("component_id"),
-        F.lit(True).alias("first"), F.col("key.row").alias("row"))
+        F.lit(True).alias("first"), F.col("key.place").alias("place"))
     return linked.unionByName(alone)
 
 
 def drop_similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``similar`` finds first in their components, with all their columns."""
-    numbered = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
-    texts = numbered.select("row", F.col(f"doc.{id_column}").alias("id"), F.col(f"doc.{text_column}").alias("text"))
-    dropped = similar(texts, "id", "text", row_column="row", **options).where("not first").select("row")
-    return numbered.join(dropped, "row", "left_anti").select("doc.*")
+    wide = placed(docs)
+    texts = wide.select("place", F.col(f"doc.{id_column}").alias("id"), F.col(f"doc.{text_column}").alias("text"))
+    dropped = similar(texts, "id", "text", place_column="place", **options).where("not first").select("place")
+    return wide.join(dropped, "place", "left_anti").select("doc.*")

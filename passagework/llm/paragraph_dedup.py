@@ -21,6 +21,7 @@ from passagework.lineage import cut
 from passagework.llm.components import components
 from passagework.llm.exact_dedup import COUNTERS, settle
 from passagework.llm.jaccard_join import MEMBERS, TILE, filled, grams, join_classes, labels_of, mix, split, stars, word_hashes
+from passagework.llm.places import placed
 
 WORDS, PERCENT, LEAST = 5, 80, 25
 #: Chance that a pair at the threshold collides, and rows of a band.
@@ -186,9 +187,9 @@ def remove_repeats(docs: DataFrame, text_column: str = "text", **options) -> Dat
 
     A text without such paragraphs stays as it is, a null text null.
     """
-    wide = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+    wide = placed(docs).withColumnRenamed("place", "row")
     texts = wide.select("row", F.col(f"doc.{text_column}").alias("text"))
-    # Documents are told apart by their numbers here, so of equal paragraphs the first in the table stays.
+    # Documents are told apart by their places here, so of equal paragraphs the first by place stays.
     found = repeats(texts, "row", "text", **options).where("not kept")
     spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 

@@ -144,7 +144,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(measured: DataFrame, labels: DataFrame, id_column: str, label: str, rows: int = TRAIN_ROWS) -> Trees:
-    """Fit on at most ``rows`` of the labelled rows outside the held-out third.
+    """Fit on at most ``rows`` of the labelled rows outside the held-out third. ``measured`` has the statistics
+    in ``x``, or texts in ``text``.
 
     Rows are sorted before fitting, so the same tables always give the same trees. Null labels and
     labels without a document are left out.
@@ -154,8 +155,9 @@ def train(measured: DataFrame, labels: DataFrame, id_column: str, label: str, ro
                 F.xxhash64(F.col(id_column).cast("string")).alias("draw"))
     order = ["draw", "id", "label"]
     drawn = known.orderBy(*order).limit(rows)  # at most ``rows`` rows, which bounds the broadcast
-    found = measured.join(F.broadcast(drawn), F.col(id_column) == F.col("id")) \
-        .select(*order, "x").orderBy(*order, "x").limit(rows).toArrow()
+    x = F.col("x") if "x" in measured.columns else _statistics(F.col("text"))
+    found = measured.join(F.broadcast(drawn), F.col(id_column) == F.col("id")).select(*order, x.alias("x")) \
+        .orderBy(*order, "x").limit(rows).toArrow()
     x = np.array(found["x"].to_pylist(), np.float32).reshape(found.num_rows, len(STATISTICS))
     return fit(x, found["label"].to_numpy().astype(float))
 
@@ -186,10 +188,11 @@ def _rated(model: Trees):
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
               label: str = "quality", rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` with a score of 0.5 or more, with all their columns; see ``score``."""
-    wide = cut(docs.select(F.struct("*").alias("doc"), F.col(id_column).alias("id"),
-                           _statistics(F.coalesce(text_column, F.lit(""))).alias("x")))
-    rated = _rated(train(wide.select(F.col("id").alias(id_column), "x"), labels, id_column, label, rows))
-    return wide.where(rated(F.col("x")) >= 0.5).select("doc.*")
+    text = F.coalesce(text_column, F.lit(""))
+    # Statistics are cheap beside a copy of the table: those of labelled rows are taken first, then all.
+    measured = docs.select(F.col(id_column), text.alias("text"))
+    rated = _rated(train(measured, labels, id_column, label, rows))
+    return docs.where(rated(_statistics(text)) >= 0.5)
 
 
 def checksum_third(doc_id: int) -> int:
