@@ -56,7 +56,20 @@ def quality_scores(spark, sf):
     return quality.score(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
-@register("op4_jaccard_join")
+@register("op4_jaccard_join", r"""with recursive words as (select doc_id, regexp_extract_all(translate(
+        coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+        from documents),
+    sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+        end as s from words),
+    members as (select doc_id, len(s) as n, hash(unnest(s)) as gram from sets),
+    links as (select a.doc_id as a, b.doc_id as b from members a join members b on a.gram = b.gram
+        and a.doc_id <> b.doc_id and 100 * a.n >= 90 * b.n and 100 * b.n >= 90 * a.n
+        group by a.doc_id, b.doc_id having 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+    reach as (select doc_id as node, doc_id as root from documents
+        union select l.b, r.root from reach r join links l on l.a = r.node)
+    select doc_id, len(s) as n_shingles, least as component_id from sets
+    join (select node, min(root) as least from reach group by node) on doc_id = node""")
 def jaccard_join(spark, sf):
     return similar(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id")
 
