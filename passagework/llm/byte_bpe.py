@@ -83,12 +83,12 @@ class Merges:
         found = {ranks[token[:i]] << 32 | ranks[token[i:]]: rank for token, rank in ranks.items()
                  for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks}
         self.codes = np.array(sorted(found), np.int64)
-        self.ranks = np.array([found[c] for c in self.codes.tolist()], np.int64)
+        self.ranks = np.array([found[c] for c in self.codes.tolist()], np.int32)
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         if not len(self.codes):
-            return np.full(len(left), -1)
-        code = left << 32 | right
+            return np.full(len(left), -1, np.int32)
+        code = left.astype(np.int64) << 32 | right
         spot = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
         return np.where(self.codes[spot] == code, self.ranks[spot], -1)
 
@@ -126,15 +126,15 @@ def encode_pieces(pieces: list[bytes], single: np.ndarray, merges: Merges) -> li
     codes = np.frombuffer(b"".join(pieces), np.uint8)
     n = len(codes)
     starts = np.cumsum([0, *map(len, pieces)])
-    owner = np.repeat(np.arange(len(pieces)), np.diff(starts))
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), np.diff(starts))
     token, alive = single[codes], np.ones(n, bool)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     after[starts[1:] - 1] = before[starts[:-1]] = -1
-    current = np.full(n, -1)
+    current = np.full(n, -1, np.int32)
     inner = np.flatnonzero(after >= 0)
     current[inner] = merges.of(token[inner], token[inner + 1])
     queue = RankQueue()
-    queue.push(current, np.arange(n))
+    queue.push(current, np.arange(n, dtype=np.int32))
     while queue.top:
         rank, at = queue.pop()
         at = np.unique(at[current[at] == rank])
@@ -171,7 +171,7 @@ class ByteBpe:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.merges = Merges(self.ranks)
-        self.single = np.array([self.ranks.get(bytes((b,)), -1) for b in range(256)])
+        self.single = np.array([self.ranks.get(bytes((b,)), -1) for b in range(256)], np.int32)
         tokens = sorted(self.ranks, key=self.ranks.get)
         self.lengths = np.zeros(self.ranks[tokens[-1]] + 1, np.int64)
         self.lengths[[self.ranks[t] for t in tokens]] = [len(t) for t in tokens]
@@ -198,15 +198,15 @@ class ByteBpe:
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        lists = [(self.plain if PLAIN.fullmatch(x) else self.pieces)(x) for x in texts]
-        found = [[*map(self.known.get, pieces)] for pieces in lists]
-        fresh = set()
-        for pieces, values in zip(lists, found, strict=True):
-            fresh.update([p for p, v in zip(pieces, values, strict=True) if v is None])
+        get, found, fresh = self.known.get, [], set()
+        for text in texts:
+            pieces = (self.plain if PLAIN.fullmatch(text) else self.pieces)(text)
+            values = [*map(get, pieces, pieces)]  # ids, or the piece itself where it is not known yet
+            fresh.update([v for v in values if v.__class__ is str])
+            found.append(values)
         long = self._learn(fresh)
         known = self.known
-        out = [b"".join([known[p] if v is None else v for p, v in zip(pieces, values, strict=True)])
-               for pieces, values in zip(lists, found, strict=True)]
+        out = [b"".join([known[v] if v.__class__ is str else v for v in values]) for values in found]
         for piece in long:
             del known[piece]
         return out
