@@ -328,3 +328,19 @@ def test_single_documents(spark):
     df = spark.createDataFrame([("/d/raw/a/b/f.txt", "x")], "path string, text string")
     assert single_documents(df).first().category == "a"
     assert single_documents(df, "given").first().category == "given"
+
+
+@pytest.mark.parametrize(("master", "fails"), [("local[8]", False), ("local", False), ("spark://a:7077", True),
+                                               ("local-cluster[3,2,1024]", True), ("yarn", True)])
+def test_a_cluster_needs_a_shared_folder(master, fails):
+    from types import SimpleNamespace
+
+    made = []
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: made[-1] if made else None,
+                              setCheckpointDir=made.append)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    if fails:
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared_folder(session)
+    else:
+        assert os.path.isdir(shared_folder(session))
