@@ -42,6 +42,8 @@ from passagework.llm.places import PLACE, placed
 WORDS, PERCENT = 3, 90
 #: Sets in a tile, and members of all its sets together.
 TILE, MEMBERS = 4096, 4_000_000
+#: Bitmaps take about a twentieth of the room of their sets; a tile of them has so many times the sets.
+BITS_IN_A_TILE = 4
 #: Largest set that is keyed by leaving members out.
 SMALL = 27
 STRONG = 3
@@ -475,7 +477,7 @@ def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     if percent < PARTED:
         sets = heads.select("node", "n").join(clusters.select("node", F.col("component").alias("cluster")), "node") \
             .join(profiles.select(F.col("key.row").alias("node"), "bits"), "node")
-        clusters = components(bounded(sets, percent, tile))
+        clusters = components(bounded(sets, percent, BITS_IN_A_TILE * tile))
     classes = cut(heads.join(clusters.select("node", F.col("component").alias("cluster")), "node"))
     sizes = cut(classes.groupBy("cluster").agg(F.count("*").alias("size"), filled(tile, members).alias("tiles"))
                 .where("size > 1").drop("size"))
