@@ -4,6 +4,8 @@ A paragraph is a line with at least ``LEAST`` words. Its word n-grams get MinHas
 pairs at the threshold collide in some band almost surely. Colliding paragraphs form clusters, inside which exact
 Jaccard similarities are computed in tiles (see ``jaccard_join``); components of verified links keep their first
 paragraph and lose the others.
+
+Repeats that do not fill such lines are found word for word by ``passages``; ``remove_repeats`` cuts both.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from passagework.lineage import cut
 from passagework.llm.components import components
 from passagework.llm.exact_dedup import COUNTERS, settle
 from passagework.llm.jaccard_join import MEMBERS, TILE, filled, grams, join_classes, labels_of, mix, split, stars, word_hashes
+from passagework.llm.passages import cut_passages, passages
 from passagework.llm.places import placed
 
 WORDS, PERCENT, LEAST = 5, 80, 25
@@ -183,21 +186,29 @@ def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_repeats(docs: DataFrame, text_column: str = "text", **options) -> DataFrame:
-    """All rows and columns of ``docs``; paragraphs that ``repeats`` finds and does not keep are cut from the text.
+    """All rows and columns of ``docs``; paragraphs that ``repeats`` finds and does not keep are cut from the text,
+    and of what is left then all ``passages``.
 
-    A text without such paragraphs stays as it is, a null text null.
+    A text without such paragraphs and passages stays as it is, a null text null.
     """
     wide = placed(docs).withColumnRenamed("place", "row")
     texts = wide.select("row", F.col(f"doc.{text_column}").alias("text"))
     # Documents are told apart by their places here, so of equal paragraphs the first by place stays.
-    found = repeats(texts, "row", "text", **options).where("not kept")
+    lines = repeats(texts, "row", "text", **options).where("not kept")
+    # Lines are cut before passages are looked for, so that no two of them each rely on the other to stay.
+    left = cut(_without(wide.withColumn("text", F.col(f"doc.{text_column}")), lines, cut_out))
+    done = _without(left, passages(left, "row", "text"), cut_passages)
+    return done.select(*(F.col("text").alias(c) if c == text_column else F.col("doc").getField(c).alias(c)
+                         for c in docs.columns))
+
+
+def _without(rows: DataFrame, found: DataFrame, cutter) -> DataFrame:
+    """Rows (doc, row, text) with the spans (row, start, end) cut from their texts."""
     spans = found.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     @F.arrow_udf(T.StringType())
     def without(text: pa.Array, gone: pa.Array) -> pa.Array:
-        return pa.array([x if x is None or not s else cut_out(x, [(y["start"], y["end"]) for y in s])
+        return pa.array([x if x is None or not s else cutter(x, [(y["start"], y["end"]) for y in s])
                          for x, s in zip(text.to_pylist(), gone.to_pylist(), strict=True)], pa.string())
 
-    joined = wide.join(spans, "row", "left")
-    return joined.select(F.col("doc"), without(F.col(f"doc.{text_column}"), F.col("spans")).alias("cleaned")).select(
-        *(F.col("cleaned").alias(c) if c == text_column else F.col("doc").getField(c).alias(c) for c in docs.columns))
+    return rows.join(spans, "row", "left").select("doc", "row", without(F.col("text"), F.col("spans")).alias("text"))

@@ -18,6 +18,7 @@ from passagework.llm.exact_dedup import mark_copies
 from passagework.llm.jaccard_join import similar
 from passagework.llm.packing import pack
 from passagework.llm.paragraph_dedup import repeats
+from passagework.llm.passages import passages
 from passagework.llm.sharding import assign
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +105,11 @@ def paragraph_dedup(spark, sf):
     return repeats(table(spark, sf, "documents"))
 
 
+@register("op8_passage_dedup")
+def passage_dedup(spark, sf):
+    return passages(table(spark, sf, "documents"))
+
+
 @register("op9_embedding_dedup", """with recursive valid as (select vec_id, label, embedding from embeddings
         where label is not null and embedding is not null and len(embedding) > 0
         and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
