@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from passagework.lineage import cut
 from passagework.llm.components import Forest, components
 from passagework.llm.exact_dedup import COUNTERS, settle
-from passagework.llm.hnsw import BEAM, Graph, build
+from passagework.llm.hnsw import BATCH, BEAM, Graph, build
 
 COSINE = 0.98
 #: Classes in a shard.
@@ -76,27 +76,47 @@ class Shard:
         links = [np.frombuffer(x, np.int32).reshape(len(self.nodes), -1).astype(np.int64) for x in row["links"]]
         self.graph = Graph(self.near, links, row["entry"])
 
-    def search(self, other: Shard, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-        """(own point, point of ``other``) of all pairs found, each once; the recall of the last audit is at
-        least ``RECALL``, or the beam is as wide as the shard."""
-        queries, beam, slack = other.near, BEAM, 0.02
-        audited = np.arange(0, len(queries), AUDIT)
-        truth = set()
-        for a in range(0, len(audited), 256):
-            q, p = np.nonzero(other.units[audited[a:a + 256]] @ self.units.T >= cosine)
-            truth.update(zip((q + a).tolist(), p.tolist(), strict=True))
-        while True:
-            q, p = self.graph.within(queries, cosine - 1e-5, beam, slack)
-            spots = np.full(len(queries), -1)
-            spots[audited] = np.arange(len(audited))
-            seen = spots[q] >= 0
-            found = set(zip(spots[q[seen]].tolist(), p[seen].tolist(), strict=True)) & truth
-            if len(found) >= RECALL * len(truth) or beam >= len(self.nodes):
+    def width(self, other: Shard, cosine: float) -> tuple[int, float]:
+        """Beam and slack of a search whose recall in the audit is at least ``RECALL``, or a beam as wide as the shard."""
+        audited = np.arange(0, len(other.units), AUDIT)
+        beam, slack = BEAM, 0.02
+        while beam < len(self.nodes):
+            true = hits = 0
+            for a in range(0, len(audited), BATCH):
+                some = audited[a:a + BATCH]
+                truth = other.units[some] @ self.units.T >= cosine
+                found = np.zeros_like(truth)
+                for q, p in self.graph.blocks(other.near[some], cosine - 1e-5, beam, slack):
+                    found[q, p] = True
+                true += int(truth.sum())
+                hits += int((found & truth).sum())
+            if hits >= RECALL * true:
                 break
             beam, slack = min(4 * beam, len(self.nodes)), 2 * slack
-        exact = np.concatenate([np.einsum("kd,kd->k", other.units[q[a:a + 65_536]], self.units[p[a:a + 65_536]])
-                                for a in range(0, len(q), 65_536)] or [np.zeros(0)])
-        return p[exact >= cosine], q[exact >= cosine]
+        return beam, slack
+
+    def search(self, other: Shard, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(own point, point of ``other``) of all pairs found, a block of queries after another."""
+        for q, p in self.graph.blocks(other.near, cosine - 1e-5, *self.width(other, cosine)):
+            exact = np.concatenate([np.einsum("kd,kd->k", other.units[q[a:a + 65_536]], self.units[p[a:a + 65_536]])
+                                    for a in range(0, len(q), 65_536)])
+            yield p[exact >= cosine], q[exact >= cosine]
+
+
+class Pairs:
+    """Pairs of a shard with itself that were seen, as bits: each counts once, from whichever side it was found."""
+
+    def __init__(self, n: int) -> None:
+        self.bits = np.zeros((n, -(-n // 8)), np.uint8)
+
+    def new(self, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.minimum(p, q)[p != q], np.maximum(p, q)[p != q]
+        key = np.unique(low * len(self.bits) + high)
+        low, high = key // len(self.bits), key % len(self.bits)
+        bit = np.left_shift(1, high & 7).astype(np.uint8)
+        fresh = (self.bits[low, high >> 3] & bit) == 0
+        np.bitwise_or.at(self.bits, (low[fresh], high[fresh] >> 3), bit[fresh])
+        return low[fresh], high[fresh]
 
 
 def _searched(cosine: float):
@@ -106,24 +126,34 @@ def _searched(cosine: float):
                 one = Shard(row)
                 same = row["other"] is None
                 two = one if same else Shard(row["other"])
-                p, q = one.search(two, cosine)
-                a, b = one.nodes[p], two.nodes[q]
-                if same:  # each pair once, from whichever side it was found
-                    apart = a != b
-                    pair = np.unique(np.stack([np.minimum(p, q)[apart], np.maximum(p, q)[apart]]), axis=1)
-                    p, q = pair
-                    a, b = one.nodes[p], two.nodes[q]
-                forest = Forest()
-                joined = np.array([forest.join(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
-                weight_a = np.bincount(p, two.sizes[q], len(one.nodes)).astype(np.int64)
-                weight_b = np.bincount(q, one.sizes[p], len(two.nodes)).astype(np.int64)
+                seen = Pairs(len(one.nodes)) if same else None
+                weight_a, weight_b = np.zeros(len(one.nodes), np.int64), np.zeros(len(two.nodes), np.int64)
+                # The component of every point so far; those of ``two`` follow those of ``one``.
+                forest, shift = Forest(), 0 if same else len(one.nodes)
+                root = np.arange(shift + len(two.nodes))
+                a, b = [], []
+                for p, q in one.search(two, cosine):
+                    if same:
+                        p, q = seen.new(p, q)
+                    weight_a += np.bincount(p, two.sizes[q], len(one.nodes)).astype(np.int64)
+                    weight_b += np.bincount(q, one.sizes[p], len(two.nodes)).astype(np.int64)
+                    low, high = np.minimum(root[p], root[q + shift]), np.maximum(root[p], root[q + shift])
+                    # One pair for each two components that meet.
+                    apart = np.flatnonzero(low != high)
+                    apart = apart[np.unique(low[apart] * len(root) + high[apart], return_index=True)[1]]
+                    for i, x, y in zip(apart.tolist(), low[apart].tolist(), high[apart].tolist(), strict=True):
+                        if forest.join(x, y):
+                            a.append(one.nodes[p[i]])
+                            b.append(two.nodes[q[i]])
+                    if len(apart):
+                        root = np.array([forest.root(x) for x in range(len(root))])
                 for nodes, weight in ((one.nodes, weight_a), (two.nodes, weight_b)):
                     on = weight > 0
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(nodes[on]), pa.array(weight[on]), pa.nulls(int(on.sum()), pa.int64())],
                         ["node", "weight", "linked"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[joined]), pa.array(np.zeros(int(joined.sum()), np.int64)), pa.array(b[joined])],
+                    [pa.array(a, pa.int64()), pa.array(np.zeros(len(a), np.int64)), pa.array(b, pa.int64())],
                     ["node", "weight", "linked"])
 
     return run

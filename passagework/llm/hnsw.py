@@ -7,6 +7,7 @@ that are similar enough, so that the size of a group of near copies sets no limi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,8 +69,14 @@ class Graph:
     def within(self, queries: np.ndarray, least: float, beam: int = BEAM, slack: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) of all points found with a similarity of at least ``least``, for the exact check to
         follow. Points down to ``least - slack`` are passed through on the way."""
-        n, found_q, found_p = len(self.vectors), [], []
+        parts = list(self.blocks(queries, least, beam, slack))
+        return tuple(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in parts)]) for i in (0, 1))
+
+    def blocks(self, queries: np.ndarray, least: float, beam: int = BEAM, slack: float = 0.02) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for ``BATCH`` queries after another, so that no more pairs are held than they have points."""
+        n = len(self.vectors)
         for first in range(0, len(queries), BATCH):
+            found_q, found_p = [], []
             part = queries[first:first + BATCH]
             ids, sims = self._beam(part, self._descend(part, 0), 0, beam)
             seen = np.zeros(len(part) * n, bool)
@@ -94,9 +101,8 @@ class Graph:
                     next_p.append(kp[keep])
                     next_s.append(ks[keep])
                 q, p, s = map(np.concatenate, (next_q, next_p, next_s))
-        if not found_q:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(found_q), np.concatenate(found_p)
+            if found_q:
+                yield np.concatenate(found_q), np.concatenate(found_p)
 
 
 def _diverse(sims: np.ndarray, ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
