@@ -20,6 +20,7 @@ from passagework.llm.packing import pack
 from passagework.llm.paragraph_dedup import repeats
 from passagework.llm.passages import passages
 from passagework.llm.sharding import assign
+from passagework.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -138,6 +139,11 @@ def byte_pairs(spark, sf):
         F.sha2(byte_bpe.decode(F.col("ids"), *vocabulary), 256).alias("decoded_sha256"))
 
 
+@register("op11_whitening")
+def whitening(spark, sf):
+    return whiten(table(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf.rstrip("/"))
