@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from passagework.llm import byte_bpe, page_text, quality, secrets
+from passagework.llm.chat_format import INSTRUCTIONS, format_turns, read_back
 from passagework.llm.embedding_dedup import near_duplicates
 from passagework.llm.exact_dedup import mark_copies
 from passagework.llm.jaccard_join import similar
@@ -144,6 +145,36 @@ def whitening(spark, sf):
     return whiten(table(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def _escaped_length(x: str) -> str:
+    """Each escape character and each mark costs one character more; no mark begins another or overlaps itself."""
+    found = [f"(length({x}) - length(replace({x}, '{m}', ''))) // {len(m)}" for m in ["\\", *INSTRUCTIONS.marks]]
+    return f"(length({x}) + {' + '.join(found)})"
+
+
+def _formatted_length() -> str:
+    known = " ".join(f"when '{role}' then {len(turn.before + turn.after)}" for role, turn in INSTRUCTIONS.turns.items())
+    marks = len("".join(INSTRUCTIONS.other))
+    return f"{_escaped_length('text')} + case role {known} else {marks} + {_escaped_length('role')} end"
+
+
+#: A conversation whose texts hold control strings.
+STRICT = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@register("op13_chat_format", f"""with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+        from (select conv_id, turn, role, text from conversations union all select * from (values {", ".join(map(str, STRICT))}))),
+    placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text)) as place from turns)
+    select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+        cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+        sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by place)) as loss_sha256,
+        cast(sum({_formatted_length()}) as bigint) as formatted_chars
+    from placed group by conv_id""")
+def chat_format(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    strict = spark.createDataFrame(STRICT, "conv_id long, turn long, role string, text string")
+    return read_back(format_turns(turns.unionByName(strict))).drop("valid", "first_broken")
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf.rstrip("/"))
