@@ -16,6 +16,7 @@ from passagework.llm import byte_bpe, page_text, quality, secrets
 from passagework.llm.chat_format import INSTRUCTIONS, format_turns, read_back
 from passagework.llm.embedding_dedup import near_duplicates
 from passagework.llm.exact_dedup import mark_copies
+from passagework.llm.hard_negatives import mine
 from passagework.llm.jaccard_join import similar
 from passagework.llm.packing import pack
 from passagework.llm.paragraph_dedup import repeats
@@ -145,6 +146,26 @@ def whitening(spark, sf):
     return whiten(table(spark, sf, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+@register("op12_hard_negatives", """with rows as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda c: cast(floor(256 * cast(c as double)) as double)) as x from embeddings
+        where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+    scores as (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+        cast(list_inner_product(a.x, b.x) as bigint) as score
+        from rows a join rows b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.x) = len(b.x)),
+    positives as (select anchor_id, other_id as positive_id, score as positive_score from scores where same
+        qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+    negatives as (select p.*, other_id as negative_id, score as negative_score, row_number() over (
+        partition by p.anchor_id, positive_id order by score desc, other_id) as rank
+        from positives p join scores s on s.anchor_id = p.anchor_id and not same
+        and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+    select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score
+    from negatives where rank <= 3""")
+def hard_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 def _escaped_length(x: str) -> str:
     """Each escape character and each mark costs one character more; no mark begins another or overlaps itself."""
     found = [f"(length({x}) - length(replace({x}, '{m}', ''))) // {len(m)}" for m in ["\\", *INSTRUCTIONS.marks]]

@@ -1,0 +1,96 @@
+"""Strassen products against plain ones, and mined negatives against brute force."""
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from passagework.llm.hard_negatives import Heaps, mine
+from passagework.llm.strassen import multiply
+
+SCHEMA = "vec_id long, embedding array<double>, label int"
+
+
+@given(st.integers(0, 40), st.integers(0, 40), st.integers(0, 40), st.integers(1, 9), st.sampled_from([3, 2 ** 20, 2 ** 28]), st.integers(0, 9))
+@settings(max_examples=150, deadline=None)
+def test_products_are_exact(m, k, n, leaf, most, seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(-most, most, (m, k)), rng.integers(-most, most, (k, n))
+    assert (multiply(a, b, leaf) == a @ b).all()
+
+
+def test_large_entries_wrap_in_between_only():
+    a = np.full((4, 2), 2 ** 31 - 1, np.int64)
+    b = np.array([[2 ** 31] * 4, [-(2 ** 31)] * 4])
+    assert (multiply(a, b, 1) == 0).all()
+
+
+def test_heaps_merge_in_any_order():
+    rng = np.random.default_rng(3)
+    slot, score, id_ = rng.integers(0, 5, 400), rng.integers(-4, 4, 400), rng.permutation(400)
+    want = sorted(zip(slot, -score, id_))
+    want = [(s, -v, i) for n in range(5) for s, v, i in [w for w in want if w[0] == n][:7]]
+    for step in (1, 33, 400):
+        heaps = Heaps(5, 7)
+        for at in range(0, 400, step):
+            part = slice(at, at + step)
+            heaps.add(slot[part], score[part], id_[part], id_[part])
+        assert list(zip(heaps.slot, heaps.score, heaps.id)) == want
+
+
+def brute(rows, positives=5, negatives=3):
+    """Rows are (id, vector, label) in table order."""
+    kept = [(i, [int(np.floor(min(max(256 * c, -2 ** 26), 2 ** 26))) for c in v], label, at) for at, (i, v, label) in enumerate(rows)
+            if i is not None and label is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    out = []
+    for i, x, label, at in kept:
+        if i % 5:
+            continue
+        scored = [(-sum(a * b for a, b in zip(x, y)), j, there, other) for j, y, other, there in kept if there != at and len(x) == len(y)]
+        for p, pid, _, _ in sorted(s for s in scored if s[3] == label)[:positives]:
+            fit = sorted(s for s in scored if s[3] != label and 50 * -p <= 100 * -s[0] <= 95 * -p)[:negatives]
+            out += [(i, pid, r + 1, s[1], -p, -s[0]) for r, s in enumerate(fit)]
+    return sorted(out)
+
+
+def sample(seed, n, dim, copies):
+    rng = np.random.default_rng(seed)
+    v = np.round(rng.normal(0.2, 0.3, (n, dim)) * 16) / 16
+    v[: int(n * copies)] = v[0]
+    return [(int(i), v[i].tolist(), int(rng.integers(4)) if i % 3 else 1) for i in range(n)]
+
+
+def mined(table, **options):
+    got = mine(table, F.col("vec_id") % 5 == 0, **options)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    return sorted(map(tuple, got.collect()))
+
+
+@pytest.mark.parametrize("copies", [0.0, 0.4])
+@pytest.mark.parametrize("tile", [(512, 4096), (7, 11)])
+def test_agrees_with_brute_force(spark, copies, tile):
+    rows = sample(1, 240, 12, copies)
+    table = spark.createDataFrame(rows, SCHEMA).coalesce(1).repartitionByRange(4, "vec_id")
+    assert mined(table, anchors=tile[0], candidates=tile[1]) == brute(rows)
+
+
+def test_shuffled_blocks(spark):
+    rows = sample(4, 120, 40, 0.1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert mined(spark.createDataFrame(rows, SCHEMA).repartition(3), anchors=5, candidates=16) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_odd_rows(spark):
+    rows = sample(2, 60, 4, 0.2) + [
+        (65, None, 1), (70, [0.5, None, 0.1, 0.2], 1), (75, [float("nan")] * 4, 1), (80, [float("inf"), 0.0, 0.0, 0.0], 1),
+        (85, [0.5] * 4, None), (None, [0.5] * 4, 1), (90, [0.5, 0.5], 1), (95, [0.5, 0.4], 1), (100, [0.25, 0.25], 2), (105, [], 1), (110, [], 2),
+        (115, [1e30, 0.0, 0.0, 0.0], 3), (5, [0.5] * 4, 1), (5, [0.5] * 4, 1)]
+    table = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert mined(table) == brute(rows)
+    clash = table.selectExpr("*", *(f"'?' as `{c}`" for c in ("id", "row", "x", "anchor", "group", "key", "data", "rank")))
+    assert mined(clash) == brute(rows)
+    assert mined(table.limit(0)) == []
