@@ -34,3 +34,8 @@ def cosine(a: Column, b: Column) -> Column:
 def score(distance: Column) -> Column:
     """Squared distance as a similarity between 0 and 1, at four decimals."""
     return F.round(F.greatest(F.lit(0.0), F.lit(1.0) - distance / F.lit(2.0)), 4)
+
+
+def radius_of(threshold: float) -> float:
+    """A squared distance that no hit with a rounded score of at least ``threshold`` exceeds."""
+    return float("inf") if threshold <= 0 else 2 * (1 - threshold) + 2e-4

@@ -703,7 +703,7 @@ def _flat_response(response: DataFrame) -> DataFrame:
         F.round(s["score"] * 10000).cast("bigint").cast("string")))
     return response.withColumn("sources", F.array_join(line, "\n")) \
         .withColumn("system", F.col("messages")[0]["content"]) \
-        .withColumn("user", F.col("messages")[1]["content"]).drop("messages")
+        .withColumn("user", F.col("messages")[1]["content"]).drop("messages", "rejected")
 
 
 @register("answers", _response_sql(_hits_sql(), _EXCERPT_SQL, None))
@@ -736,7 +736,19 @@ def search_results(spark, sf):
         "|", (i + 1).cast("string"), h["filename"], h["chunk_index"].cast("string"),
         h["total_chunks"].cast("string"),
         F.round(h["score"] * 10000).cast("bigint").cast("string")))
-    return found.withColumn("results", F.array_join(line, ";"))
+    return found.withColumn("results", F.array_join(line, ";")).drop("rejected")
+
+
+@register("refused_questions", f"""{sq.with_views('requests')}
+    select query_id, category as category_filter,
+        case when category not in ({sq.category_list()}) then 'unknown category' end as rejected,
+        category is null or category in ({sq.category_list()}) as asked
+    from requests where length(question) between 3 and 1000 and top_k between 1 and 20""")
+def refused_questions(spark, sf):
+    questions = spark_view(spark, sf, "requests").where(
+        "length(question) between 3 and 1000 and top_k between 1 and 20")
+    return asking.ask(questions, _stored_chunks(spark, sf), EMBEDDER, settings=SETTINGS, ties=_TIES).select(
+        "query_id", "category_filter", "rejected", F.col("messages").isNotNull().alias("asked"))
 
 
 def _echo(messages, temperature, max_tokens):
