@@ -33,7 +33,8 @@ BYTES = str.maketrans({b: chr(256 + i) for i, b in enumerate(sorted(set(range(25
 class WordEncoder:
     """A tokenizer that lower-cases, drops white space and never joins words, used word by word.
 
-    Words and their parts are remembered with their ids. Texts outside ``SIMPLE`` are encoded as a whole.
+    Words and their parts are remembered with their ids. Texts outside ``SIMPLE`` and those with the string of a special
+    token, which has an id of its own, are encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -41,7 +42,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts with one of these are cut there, before they are lower-cased.
+        self.special = regex.compile("|".join(map(regex.escape, special)) or "(?!)")
         split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
         self.parts = regex.compile(split["pattern"]["Regex"]).findall
         self.model = self.tokenizer.model
@@ -59,7 +62,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers."""
-        if SIMPLE.fullmatch(text):
+        if SIMPLE.fullmatch(text) and not self.special.search(text):
             return b"".join(map(self.word_ids.__getitem__, text.lower().replace("\xa0", " ").split()))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 

@@ -16,7 +16,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["", " ", "\n\n  \t", "Hello, world! It's 2024.", "aaaaaaaaaaaaaaaaaaaa", "naïve façade ÀÉÎ ß ŒUVRE",
          "данные Ёлка", "ΟΔΥΣΣΕΥΣ ΣΑΣ", "日本語のテキスト", "é Å Å", "İstanbul I", "a\x1cb\x85c\xa0d e",
-         "<|endoftext|> <|startoftext|>", "'s 'LL don't''ve", "\U0001f600!!", "x" * 5000, "ab" * 4000 + "c", "ﬁn",
+         "<|endoftext|> <|startoftext|>", "see <|endoftext|> here", "a<|ENDOFTEXT|>b", "'s 'LL don't''ve", "\U0001f600!!", "x" * 5000, "ab" * 4000 + "c", "ﬁn",
          "١٢٣ ½ ²", "a\u200bb", "word_word a1b2 ªº xʰ ,,--!!", "…—–“”‘’", "word\x00word", "Ⅷ ǅ ŉ"]
 
 
@@ -28,9 +28,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
 
 
 @pytest.fixture(scope="module")
