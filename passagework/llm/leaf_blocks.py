@@ -11,8 +11,7 @@ from dataclasses import dataclass
 
 #: Text of these is never shown as part of the page. Without an end tag, those in RAW reach to its end.
 RAW = ("script", "style", "textarea", "title", "xmp")
-HIDDEN = ("script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "math", "select",
-          "object", "xmp", "noembed", "noframes")
+HIDDEN = ("script", "style", "template", "textarea", "title", "select", "iframe", "xmp")
 BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog div dl dt
     fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav
     ol option p pre section summary table tbody td tfoot th thead tr ul""".split())

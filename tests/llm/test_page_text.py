@@ -30,6 +30,18 @@ def test_blocks(page, want):
     assert [b.text for b in leaf_blocks(page)] == want
 
 
+def test_formulas_and_fallbacks_of_an_article_stay(spark):
+    """What is not rendered as plain paragraphs is still the article's; the chain labels it like any other block."""
+    words = "The committee measured the height of every tree along the river and wrote the results down in a long table."
+    page = (f"<html><body><nav><a href=/>Home</a> <a href=/n>News</a></nav><article><h1>Trees</h1><p>{words}</p>"
+            f"<p>The area is <math><mi>r</mi><mo>=</mo><mn>5</mn></math> in all cases, as {words}</p>"
+            f"<object><p>Inside the object. {words}</p></object><noscript><p>Inside the noscript. {words}</p></noscript>"
+            f"<p>{words}</p></article><footer><p>Copyright 2020</p></footer></body></html>")
+    text = page_text.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().text
+    assert "area is r=5 in all cases" in text and "Inside the object." in text and "Inside the noscript." in text
+    assert "Home" not in text and "Copyright" not in text
+
+
 def test_paths_and_links():
     a, b, c = leaf_blocks('<body><article class="post-body"><p>t <a href=x>link</a></p></article><footer id=foot>f</footer><ul><li>'
                           "<a>all</a>")
