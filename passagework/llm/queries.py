@@ -52,7 +52,8 @@ def exact_dedup(spark, sf):
 
 @register("op2_sharding")
 def sharding(spark, sf):
-    return assign(table(spark, sf, "documents").select("doc_id"), "doc_id", shards=[f"shard-{i:03}" for i in range(100)])
+    placed = assign(table(spark, sf, "documents"), "doc_id", shards=[f"shard-{i:03}" for i in range(100)])
+    return placed.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
 
 
 @register("op3_quality")

@@ -54,27 +54,39 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(slots).cast("long"))
 
 
+def free(name: str, taken: Sequence[str]) -> str:
+    """``name``, with underscores behind it until no column is called so (Spark's names differ by more than case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def assign(docs: DataFrame, key: str, shards: Sequence[str], slots: int = SLOTS, slot_column: str = "slot",
            shard_column: str = "shard") -> DataFrame:
-    """All rows and columns of ``docs`` with ``slot_column`` and ``shard_column`` added (or replaced).
+    """All rows and columns of ``docs`` with ``slot_column`` and ``shard_column`` added.
 
-    Rows with equal keys, so rows that repeat an id, share a shard. Placement depends on the key and the set
-    of names only, not on the text, so copies and busy sources spread like all other rows.
+    Where ``docs`` has a column of such a name it stays, and the new one gets underscores behind its name. Rows with
+    equal keys, so rows that repeat an id, share a shard; a null key is placed like an empty text. Placement depends on
+    the key and the set of names only, not on the text, so copies, busy sources and very long texts spread like all
+    other rows. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    slot_column = free(slot_column, docs.columns)
+    shard_column = free(shard_column, [*docs.columns, slot_column])
     table = spark.createDataFrame([(i, shards[x]) for i, x in enumerate(fill(shards, slots))],
                                   f"`{slot_column}` long, `{shard_column}` string")
-    kept = docs.drop(shard_column).withColumn(slot_column, slot(F.col(key), slots))
+    placed = docs.withColumn(slot_column, slot(F.col(f"`{key}`"), slots))
     # ``slots`` rows, whatever the size of ``docs``.
-    return kept.join(F.broadcast(table), slot_column, "left").select(
-        *(c for c in docs.columns if c not in (slot_column, shard_column)), slot_column, shard_column)
+    return placed.join(F.broadcast(table), slot_column, "left").select(*(f"`{c}`" for c in docs.columns), slot_column, shard_column)
 
 
 def write_shards(docs: DataFrame, path: str, key: str, shards: Sequence[str], slots: int = SLOTS) -> None:
-    """Write a folder of parquet files for each shard. Rows go straight to their shards' tasks; Spark may split a
-    shard over several tasks, and no shard depends on another."""
+    """Write a folder of parquet files for each shard, named by the column that ``assign`` adds. Rows go straight to their
+    shards' tasks; Spark may split a shard over several tasks, and no shard depends on another."""
     placed = assign(docs, key, shards, slots)
-    placed.hint("rebalance", "shard").write.mode("errorifexists").partitionBy("shard").parquet(path)
+    shard = placed.columns[-1]
+    placed.hint("rebalance", shard).write.mode("errorifexists").partitionBy(shard).parquet(path)
 
 
 def moved(before: Sequence[str], after: Sequence[str], slots: int = SLOTS) -> float:

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from passagework.llm import sharding
 from passagework.llm.queries import QUERIES
@@ -56,9 +57,26 @@ def test_query(spark):
 def test_odd_rows_and_files(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (None, None, None), (2, "", "z")], "doc_id long, text string, shard string")
     got = sharding.assign(docs, "doc_id", ["a", "b"], 7)
-    assert got.columns == ["doc_id", "text", "slot", "shard"] and got.count() == 4
-    assert len({r.shard for r in got.where("doc_id = 1").collect()}) == 1
-    assert got.where("shard is null").count() == 0
+    assert got.columns == ["doc_id", "text", "shard", "slot", "shard_"] and got.count() == 4
+    assert sorted(r.shard or "" for r in got.collect()) == ["", "x", "y", "z"]
+    assert len({r.shard_ for r in got.where("doc_id = 1").collect()}) == 1
+    assert got.where("shard_ is null").count() == 0
     assert sharding.assign(docs.limit(0), "doc_id", ["a"], 7).count() == 0
     sharding.write_shards(docs, f"{tmp_path}/out", "doc_id", ["a", "b"], 7)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+
+
+def test_a_hot_shard_is_written_by_several_tasks(spark, tmp_path):
+    """One key has most of the rows: its folder gets several files, and nothing is lost."""
+    docs = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"),
+                                      F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        sharding.write_shards(docs, f"{tmp_path}/out", "doc_id", ["a", "b", "c"], 7)
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 30_000 and back.select("text").distinct().count() == 30_000
+    hot = back.where("doc_id = 7").select("shard").distinct().collect()
+    assert len(hot) == 1 and back.where(F.col("shard") == hot[0].shard).select(F.input_file_name()).distinct().count() > 1
