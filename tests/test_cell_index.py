@@ -1,0 +1,122 @@
+"""The inverted-file index: exact and range searches equal a scan, recall is measured, folders and row groups are skipped."""
+
+import numpy as np
+import pytest
+from conftest import plan
+from pyspark.sql import functions as F
+
+from passagework.operators.cell_index import build_index, open_index, pivot_bounds, search_cells, search_exactly, search_range
+from passagework.operators.search import search, search_above
+from passagework.schemas import Settings
+
+
+def clustered(seed, n, dim, centres, copies=0.0):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(0, 1, (centres, dim))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    v = c[rng.integers(0, centres, n)] + rng.normal(0, 0.03, (n, dim))
+    v[: int(n * copies)] = v[0]
+    return [(i, (v[i] / np.linalg.norm(v[i])).astype(np.float32).tolist(), "ab"[i % 2], f"text {i}") for i in range(n)]
+
+
+SCHEMA = "ordinal long, embedding array<float>, category string, text string"
+
+
+def rows(found):
+    return sorted((r.query_id, r["rank"], r.ordinal, r.score, r.content) for r in found.collect())
+
+
+def asked(table, step=7):
+    k = F.when(F.col("ordinal") % 3 == 0, 3).otherwise(F.lit(None)).cast("int")
+    category = F.when(F.col("ordinal") % 2 == 0, F.lit("b"))
+    return table.where(F.col("ordinal") % step == 0).select(F.col("ordinal").alias("query_id"), "embedding", category.alias("category"), k.alias("top_k"))
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("index"))
+    table = spark.createDataFrame(clustered(1, 1500, 16, 40, 0.2) + [(9000, None, "a", "none")], SCHEMA).repartition(4)
+    table.write.parquet(f"{root}/table")
+    table = spark.read.parquet(f"{root}/table")
+    return table, build_index(table, f"{root}/index")
+
+
+def test_exact_and_range_searches_equal_a_scan(spark, stored):
+    table, index = stored
+    again = open_index(spark, index.root)
+    assert (again.probes, again.recall) == (index.probes, index.recall) and np.array_equal(again.centres, index.centres)
+    queries = asked(table)
+    assert rows(search_exactly(queries, table, again)) == rows(search(queries, table))
+    for threshold in (0.0, 0.5, 0.97):
+        got = rows(search_range(queries, table, again, threshold, 8))
+        assert got == rows(search_above(queries, table, threshold, 8)), threshold
+
+
+def test_few_cells_find_nearly_all(spark, stored):
+    table, index = stored
+    queries = asked(table).drop("category", "top_k")
+    want = {x[:4] for x in rows(search(queries, table))}
+    got = {x[:4] for x in rows(search_cells(queries, table, index))}
+    true = {(q, s) for q, _, _, s in want}
+    hit = sum((q, s) in true for q, _, _, s in got)  # equal vectors stand for each other
+    assert index.recall >= 0.9 and hit >= 0.9 * len(want)
+    # Where vectors have neighbours, a small part of the rows is read.
+    share = np.sort(index.rows)[::-1][: index.probes].sum() / index.rows.sum()
+    assert index.probes <= 4 and share < 0.45 and index.rows.sum() == 1500
+
+
+def test_folders_and_row_groups_are_skipped(spark, stored):
+    table, index = stored
+    queries = asked(table, 1499).drop("category", "top_k")
+    found = search_cells(queries, table, index)
+    assert "dynamicpruning" in plan(found)
+    wanted = queries.withColumn("category", F.lit(None).cast("string")).withColumn("top_k", F.lit(5))
+    bounds = pivot_bounds(wanted, index, 0.01)
+    scan = index.vectors(spark).where(bounds)
+    assert "pivot_0" in plan(scan).split("PushedFilters")[1]
+    kept = scan.count()
+    assert 0 < kept < 1000
+
+
+def test_row_groups_outside_the_range_are_not_read(spark, tmp_path):
+    """Files are sorted by the first pivot's distance, so the statistics of row groups rule most of them out."""
+    import pyarrow.parquet as pq
+
+    table = spark.createDataFrame(clustered(3, 4000, 8, 12), SCHEMA).coalesce(1)
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.row.count.limit", "100")
+    try:
+        index = build_index(table, f"{tmp_path}/index", cells=1)
+    finally:
+        hadoop.unset("parquet.block.row.count.limit")
+    files = [pq.ParquetFile(f) for f in (tmp_path / "index/vectors").rglob("*.parquet")]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.metadata.num_row_groups)]
+    column = files[0].schema_arrow.names.index("pivot_0")
+    column = next(i for i in range(groups[0].num_columns) if groups[0].column(i).path_in_schema == "pivot_0")
+    low, high = (np.array([getattr(g.column(column).statistics, x) for g in groups]) for x in ("min", "max"))
+    query = table.where("ordinal = 5").select("embedding")
+    far = float(np.linalg.norm(np.array(query.first()[0]) - index.pivots[0]))
+    reach = 0.05
+    assert len(groups) >= 20 and ((high >= far - reach) & (low <= far + reach)).mean() < 0.5
+    assert index.vectors(spark).where(pivot_bounds(query, index, reach ** 2)).count() < 2000
+
+
+def test_empty_and_tiny_tables(spark, tmp_path):
+    table = spark.createDataFrame(clustered(2, 1, 4, 1), SCHEMA)
+    index = build_index(table, f"{tmp_path}/one")
+    queries = asked(table)
+    assert rows(search_exactly(queries.drop("category"), table, index)) == rows(search(queries.drop("category"), table))
+    assert search_cells(queries.limit(0), table, index).count() == 0
+    empty = build_index(table.limit(0), f"{tmp_path}/none")
+    assert empty.rows.sum() == 0 and search_exactly(queries, table.limit(0), empty).count() == 0
+
+
+def test_other_keys(spark, tmp_path):
+    table = spark.createDataFrame(clustered(4, 300, 6, 5), SCHEMA).withColumn("doc", F.col("ordinal") % 50).withColumn("part", F.col("ordinal") / 50)
+    table = table.withColumn("part", F.col("part").cast("long")).drop("ordinal")
+    index = build_index(table, f"{tmp_path}/index", ties=("doc", "part"))
+    queries = table.where("part = 0").select(F.col("doc").alias("query_id"), "embedding")
+    got = search_exactly(queries, table, index, Settings(top_k=4), ("doc", "part"))
+    want = search(queries, table, Settings(top_k=4), ("doc", "part"))
+    key = ["query_id", "rank", "doc", "part", "score"]
+    assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))

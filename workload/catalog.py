@@ -16,7 +16,7 @@ from passagework.functions import text as tx
 from passagework.functions.embedding import HashEmbedder
 from passagework.functions.prompts import clipped_excerpt, excerpt, plain_prompt, system_and_user
 from passagework.lineage import cut, shared_folder, widen
-from passagework.operators import context, filters, requests, search, stats
+from passagework.operators import cell_index, context, filters, requests, search, stats
 from passagework.operators.chunks import chunk_documents, process_documents, window_documents
 from passagework.operators.cleaning import extract_sections
 from passagework.operators.embed import embed, text_similarity
@@ -435,6 +435,47 @@ def search_approximately(spark, sf):
         "query_id", "rank", "ordinal", _points("score").alias("score"))
 
 
+def _indexed(spark, sf):
+    vectors = spark_view(spark, sf, "vectors")
+    return vectors, cell_index.build_index(vectors, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+
+
+@register("indexed_nearest", f"""{sq.with_views('vectors')},
+    queries as (select ordinal as query_id, embedding, null::varchar as category, 5 as top_k
+        from vectors), {sq.ranked('queries', 'vectors', 'hits')}
+    select query_id, rank, ordinal, {_points_sql(sq.score('distance'))} as score from hits""")
+def indexed_nearest(spark, sf):
+    vectors, index = _indexed(spark, sf)
+    queries = vectors.select(F.col("ordinal").alias("query_id"), "embedding")
+    return cell_index.search_exactly(queries, vectors, index, SETTINGS).select(
+        "query_id", "rank", "ordinal", _points("score").alias("score"))
+
+
+@register("indexed_range", f"""{sq.with_views('vectors')},
+    queries as (select ordinal as query_id, embedding, null::varchar as category, 10 as top_k
+        from vectors), {sq.ranked('queries', 'vectors', 'hits')}
+    select query_id, rank, ordinal, {_points_sql(sq.score('distance'))} as score
+    from hits where {sq.score('distance')} >= 0.4""")
+def indexed_range(spark, sf):
+    vectors, index = _indexed(spark, sf)
+    queries = vectors.select(F.col("ordinal").alias("query_id"), "embedding")
+    return cell_index.search_range(queries, vectors, index, 0.4, settings=SETTINGS).select(
+        "query_id", "rank", "ordinal", _points("score").alias("score"))
+
+
+# Which rows an approximate search finds depends on fitted centres; how many it must find does not.
+@register("indexed_recall", f"""{sq.with_views('vectors')}
+    select count(*) as queries, count(*) * 5 as hits, true as found_enough from vectors""")
+def indexed_recall(spark, sf):
+    vectors, index = _indexed(spark, sf)
+    queries = vectors.select(F.col("ordinal").alias("query_id"), "embedding")
+    near = cell_index.search_cells(queries, vectors, index, settings=SETTINGS).select("query_id", "ordinal")
+    true = search.rank_hits(queries, vectors, SETTINGS)[0].select("query_id", "ordinal", F.lit(1).alias("true"))
+    both = near.withColumn("near", F.lit(1)).join(true, ["query_id", "ordinal"], "full")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("true").alias("hits"),
+                    (F.count_if(F.col("near") + F.col("true") == 2) >= 0.9 * F.count("true")).alias("found_enough"))
+
+
 # --- statistics ----------------------------------------------------------------------------------
 
 def _flat_map(x: str):
