@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from passagework.lineage import cut, stage
 from passagework.operators.chunks import process_documents
-from passagework.operators.embed import embed
+from passagework.operators.embed import embed, embed_distinct
 from passagework.operators.ordinals import number_stored
 from passagework.operators.stats import ingest_stats
 from passagework.schemas import CHUNK, Settings
@@ -54,12 +54,16 @@ def _check_batch(batch_size: int) -> None:
 
 
 def ingest(documents: DataFrame, root: str, embedder, settings: Settings = Settings(),
-           batch_size: int = 100) -> DataFrame:
-    """Rebuild the collection at ``root`` from a document table; returns the statistics row."""
+           batch_size: int = 100, distinct: bool = False) -> DataFrame:
+    """Rebuild the collection at ``root`` from a document table; returns the statistics row.
+
+    With ``distinct`` the embedder sees equal chunks once, at the price of moving chunks by their digest.
+    """
     _check_batch(batch_size)
     spark = documents.sparkSession
     staged, path = stage_chunks(documents, settings)
-    store.rebuild(embed(numbered_chunks(staged), embedder, batch_size=batch_size), root)
+    vectors = embed_distinct if distinct else embed
+    store.rebuild(vectors(numbered_chunks(staged), embedder, batch_size=batch_size), root)
     report = ingest_stats(staged).withColumn("message", F.lit(DONE))
     # One row, taken now, so that the staged chunks can go.
     report = spark.createDataFrame(report.collect(), report.schema)

@@ -16,10 +16,10 @@ from passagework.functions import text as tx
 from passagework.functions.embedding import HashEmbedder
 from passagework.functions.prompts import clipped_excerpt, excerpt, plain_prompt, system_and_user
 from passagework.lineage import cut, shared_folder, widen
-from passagework.operators import cell_index, context, filters, requests, search, stats
+from passagework.operators import cell_index, completion, context, filters, requests, search, stats
 from passagework.operators.chunks import chunk_documents, process_documents, window_documents
 from passagework.operators.cleaning import extract_sections
-from passagework.operators.embed import embed, text_similarity
+from passagework.operators.embed import embed, embed_distinct, text_similarity
 from passagework.operators.ordinals import number_by_document
 from passagework.plans import ask as asking
 from passagework.plans import ingest as ingesting
@@ -738,6 +738,12 @@ def chunk_vectors(spark, sf):
     return _vector_digest(embed(chunks.select("doc_id", "chunk_index", "text"), EMBEDDER, batch_size=256))
 
 
+@register("distinct_vectors", _VECTORS_SQL)
+def distinct_vectors(spark, sf):
+    chunks = process_documents(widen(spark_view(spark, sf, "dirty"), "doc_id"))
+    return _vector_digest(embed_distinct(chunks.select("doc_id", "chunk_index", "text"), EMBEDDER, batch_size=256))
+
+
 def _flat_response(response: DataFrame) -> DataFrame:
     line = F.transform("sources", lambda s: F.concat_ws(
         "|", s["content"], s["source"], s["category"], s["filename"],
@@ -800,19 +806,32 @@ def _echo(messages, temperature, max_tokens):
     return f"{len(messages)} messages, {size} characters, {temperature}, {max_tokens}"
 
 
-@register("completed_answers", f"""{_HITS_SQL}, j as (select q.query_id, question, context,
+_COMPLETED_SQL = f"""{_HITS_SQL}, j as (select q.query_id, question, context,
         source_list, documents_retrieved, filename_count from hit_questions q
         left join s on q.query_id = s.query_id),
     u as (select query_id, {sq.user_message()} as user from j)
     select query_id, case when length(user) > 4000
         then 'Error generating response: prompt too long'
-        else '2 messages, ' || length(user) || ' characters, 0.1, 1024' end as answer from u""")
+        else '2 messages, ' || length(user) || ' characters, 0.1, 1024' end as answer from u"""
+
+
+@register("completed_answers", _COMPLETED_SQL)
 def completed_answers(spark, sf):
     from passagework.operators.completion import complete
     built = context.build_messages(spark_view(spark, sf, "hit_questions"), _summary(spark, sf))
     return built.select("query_id", complete(F.col("messages"), _echo).alias("answer"))
 
 
+@register("answered_once", _COMPLETED_SQL)
+def answered_once(spark, sf):
+    """Asked in rounds and read from the table of answers; the second run calls nobody."""
+    built = context.build_messages(spark_view(spark, sf, "hit_questions"), _summary(spark, sf))
+    answers = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    completion.complete_once(built, _echo, answers, concurrency=4, retries=0)
+    # What failed, long prompts, would be asked again; all else is known.
+    return completion.complete_once(built, _echo, answers, retries=0).select("query_id", "answer")
+
+
 # --- ingest --------------------------------------------------------------------------------------
 
 def _new_root(spark: SparkSession) -> str:
