@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from passagework.llm import byte_bpe, page_text, quality, secrets
+from passagework.llm.anchored_runs import runs
 from passagework.llm.chat_format import INSTRUCTIONS, format_turns, read_back
 from passagework.llm.embedding_dedup import near_duplicates
 from passagework.llm.exact_dedup import mark_copies
@@ -106,7 +107,10 @@ def packing(spark, sf):
 
 @register("op8_paragraph_dedup")
 def paragraph_dedup(spark, sf):
-    return repeats(table(spark, sf, "documents"))
+    """Lines that repeat nearly or exactly, and runs of words that repeat inside or across lines."""
+    docs = table(spark, sf, "documents")
+    lines = repeats(docs).withColumn("kind", F.lit("line"))
+    return lines.unionByName(runs(docs).withColumn("kind", F.lit("run")), allowMissingColumns=True)
 
 
 @register("op8_passage_dedup")
