@@ -109,9 +109,10 @@ def _stretches(reach: int):
 
 
 def runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", reach: int = REACH) -> DataFrame:
-    """One row per repeated run of words: id, start, end (code points), keep_id, copies, kept.
+    """One row per run of words that documents share: id, start, end (code points), keep_id, copies, kept.
 
-    A run is what repeated stretches of ``STRETCH`` words cover together; it may lie in one line or go over several.
+    A run is what stretches of ``STRETCH`` words that another document has too cover together; it may lie in one line or go
+    over several. What a document repeats in itself alone is none.
     ``keep_id`` is the smallest id with one of its stretches, ``copies`` the largest number of places of one, and
     ``kept`` tells that it is this document's first place. A null or empty text, and one without repeated stretches, gives no
     row; a null id counts as the largest; rows that repeat an id are documents of their own; other columns are not
@@ -120,9 +121,9 @@ def runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
     found = cut(rows.mapInArrow(_stretches(reach), f"row long, doc {kind}, start long, end long, d1 long, d2 long"))
-    places = found.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("doc").alias("keep"), F.min("row").alias("first"))
+    places = found.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("doc").alias("keep"), F.min("row").alias("first"), F.max("row").alias("last"))
     # Copies are counted where they lie first, so a stretch that very many documents share is one row of each task.
-    shared = cut(places.where("copies > 1"))
+    shared = cut(places.where("first < last").drop("last"))
     hits = cut(found.join(shared, ["d1", "d2"]).select("row", "doc", "start", "end", "copies", "keep", "first"))
     order = Window.partitionBy("row").orderBy("start", "end")
     before = order.rowsBetween(Window.unboundedPreceding, -1)

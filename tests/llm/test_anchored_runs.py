@@ -62,7 +62,8 @@ def test_planted_passages_are_found_and_clean_documents_left_alone(spark):
             broken = [w + ("\n" if rng.random() < 0.1 else " ") for w in passage]
             rows[copy] = (copy, " ".join(words[:at]) + " " + "".join(broken).upper() + " ".join(words[at:]))
             planted.add(copy)
-    rows += [(200, None), (201, ""), (202, "too short")]
+    again = " ".join(prose(rng, 60))
+    rows += [(200, None), (201, ""), (202, "too short"), (203, f"{again}\n{again}\n{again}")]  # the last repeats itself alone
     got = ar.runs(spark.createDataFrame([(i, t, "?", 0) for i, t in rows], "doc_id long, text string, doc string, row int").repartition(4)).collect()
     found = {r.doc_id for r in got}
     assert found <= planted and len(found) >= 0.9 * len(planted)
