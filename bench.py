@@ -1,7 +1,8 @@
 """Headline queries, timed. Prints one JSON line.
 
 Reads ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on ``local[$BENCH_CPUS]`` (default 8). Each
-query runs once to warm up at the same scale and is then timed; results go to Spark's no-op sink.
+query runs once to warm up at the same scale and then three times, of which the median counts; results go to Spark's
+no-op sink.
 """
 
 from __future__ import annotations
