@@ -1,31 +1,38 @@
 """Near-duplicate vectors: a navigable small-world graph per shard, every shard searched, exact cosines.
 
 Equal vectors of a label are one class. The classes of a label are dealt over shards of bounded size, and
-each shard gets a graph. Pairs of shards of a label are tasks: the vectors of one are searched in the graph of
-the other, so every vector meets every shard once. Each task audits its recall on a part of its queries
-against all pairs and widens its search until the audit passes; found pairs are verified in double precision.
+each shard gets a graph, written once. Every shard is searched by itself and, where a label has several, in rounds:
+a block of shards of bounded size is broadcast, and the vectors of all later shards of its labels are searched
+in its graphs. So every vector meets every shard once, and no table of pairs of shards is ever written. Each search
+audits its recall against all pairs of a part of its queries, of more where few pairs are seen, and widens until the
+audit passes; found pairs are verified in double precision.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from passagework.lineage import cut
+from passagework.lineage import cut, shared_folder, stage
 from passagework.llm.components import Forest, components
 from passagework.llm.exact_dedup import COUNTERS, settle
-from passagework.llm.hnsw import BATCH, BEAM, Graph, build
+from passagework.llm.hnsw import BATCH, BEAM, LINKS, Graph, build
+from passagework.operators.ordinals import running_offsets
 
 COSINE = 0.98
 #: Classes in a shard.
 SHARD = 8192
-#: Each so-manieth query is audited, and an audit passes from this recall on.
-AUDIT, RECALL = 16, 0.995
+#: Each so-manieth query is audited, then the ones beside them until so many pairs are seen or no query is left.
+#: An audit passes from this recall on.
+AUDIT, ENOUGH, RECALL = 16, 256, 0.995
+#: Bytes of graphs that are broadcast in a round, about.
+ROUND = 64 << 20
 
 
 def unit(values: list | None) -> np.ndarray | None:
@@ -66,6 +73,7 @@ def _graphs(table: pa.Table) -> pa.Table:
 
 
 GRAPH = "family string, shard long, entry long, nodes binary, units binary, sizes binary, links array<binary>"
+OTHER = "nodes: binary, units: binary, sizes: binary, entry: bigint, links: array<binary>"
 
 
 class Shard:
@@ -76,20 +84,35 @@ class Shard:
         links = [np.frombuffer(x, np.int32).reshape(len(self.nodes), -1).astype(np.int64) for x in row["links"]]
         self.graph = Graph(self.near, links, row["entry"])
 
-    def width(self, other: Shard, cosine: float) -> tuple[int, float]:
-        """Beam and slack of a search whose recall in the audit is at least ``RECALL``, or a beam as wide as the shard."""
-        audited = np.arange(0, len(other.units), AUDIT)
-        beam, slack = BEAM, 0.02
-        while beam < len(self.nodes):
-            true = hits = 0
+    def audit(self, other: Shard, cosine: float, beam: int, slack: float) -> tuple[int, int]:
+        """Pairs that the search finds, and all pairs, of the audited queries. A vector's match with itself is none."""
+        true = hits = 0
+        for start in range(AUDIT):
+            audited = np.arange(start, len(other.units), AUDIT)
             for a in range(0, len(audited), BATCH):
                 some = audited[a:a + BATCH]
                 truth = other.units[some] @ self.units.T >= cosine
+                if other is self:
+                    truth[np.arange(len(some)), some] = False
+                # Queries without a pair tell nothing about recall, so they need not be searched.
+                asked = np.flatnonzero(truth.any(axis=1))
+                if not len(asked):
+                    continue
+                truth = truth[asked]
                 found = np.zeros_like(truth)
-                for q, p in self.graph.blocks(other.near[some], cosine - 1e-5, beam, slack):
+                for q, p in self.graph.blocks(other.near[some[asked]], cosine - 1e-5, beam, slack):
                     found[q, p] = True
                 true += int(truth.sum())
                 hits += int((found & truth).sum())
+            if true >= ENOUGH:
+                break
+        return hits, true
+
+    def width(self, other: Shard, cosine: float) -> tuple[int, float]:
+        """Beam and slack of a search whose recall in the audit is at least ``RECALL``, or a beam as wide as the shard."""
+        beam, slack = BEAM, 0.02
+        while beam < len(self.nodes):
+            hits, true = self.audit(other, cosine, beam, slack)
             if hits >= RECALL * true:
                 break
             beam, slack = min(4 * beam, len(self.nodes)), 2 * slack
@@ -159,9 +182,50 @@ def _searched(cosine: float):
     return run
 
 
+FOUND = "node long, weight long, linked long"
+
+
+def _rounds(graphs: DataFrame, round_bytes: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The graphs of labels with several shards, in folders by round, and for each round the last one that its
+    labels reach. A label's shards follow each other, so a round reads the folders from its own to that one alone."""
+    place = F.concat_ws("|", "family", F.lpad(F.col("shard").cast("string"), 20, "0")).alias("place")
+    several = graphs.select("family", "shard").groupBy("family").agg(F.count("*").alias("n")).where("n > 1").select("family")
+    sizes = graphs.select("family", place, (F.octet_length("nodes") + F.octet_length("units")
+                                            + F.octet_length("nodes") * LINKS).alias("bytes")).join(several, "family")
+    offsets = cut(running_offsets(sizes, "place", "bytes").select(
+        "place", F.floor(F.col("offset") / round_bytes).cast("long").alias("round")))
+    placed = graphs.withColumn("place", place).join(offsets, "place").drop("place")
+    path = stage(placed, ["round"])
+    stored = graphs.sparkSession.read.schema(f"{GRAPH}, round long").parquet(path)
+    ends = Window.partitionBy("family")
+    reach = stored.select("family", "round").distinct().withColumn("last", F.max("round").over(ends)) \
+        .groupBy("round").agg(F.max("last").alias("last")).orderBy("round")
+    return stored, [(r["round"], r["last"]) for r in reach.toLocalIterator()]
+
+
+def _all_found(graphs: DataFrame, spark: SparkSession, cosine: float, round_bytes: int) -> DataFrame:
+    """Weights and links that the searches of all shards found.
+
+    Disk holds each graph twice, whatever the number of pairs of shards. A round joins its broadcast block,
+    about ``round_bytes`` and one shard large, with a scan of later shards, and rows of two graphs go straight to the search.
+    """
+    folder = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    alone = graphs.withColumn("other", F.lit(None).cast(f"struct<{OTHER}>"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    alone.repartition(tasks, "family", "shard").mapInArrow(_searched(cosine), FOUND).write.parquet(folder)
+    stored, rounds = _rounds(graphs, round_bytes)
+    for number, last in rounds:
+        block = stored.where(F.col("round") == number).select("family", F.col("shard").alias("next"), F.struct(
+            "nodes", "units", "sizes", "entry", "links").alias("other"))
+        later = stored.where(F.col("round").between(number, last)).drop("round")
+        later.join(F.broadcast(block), "family").where("shard > next").drop("next") \
+            .mapInArrow(_searched(cosine), FOUND).write.mode("append").parquet(folder)
+    return spark.read.schema(FOUND).parquet(folder)
+
+
 def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding",
                     label_column: str = "label", cosine: float = COSINE, shard: int = SHARD,
-                    k: int = COUNTERS) -> DataFrame:
+                    k: int = COUNTERS, round_bytes: int = ROUND) -> DataFrame:
     """One row per row of ``vectors``: id, n_links, component_id, kept.
 
     Two rows link when their labels are equal and not null and their cosine is at least ``cosine``. Rows
@@ -187,13 +251,7 @@ def near_duplicates(vectors: DataFrame, id_column: str = "vec_id", vector_column
     dealt = classes.join(parts, "family").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("parts")))
     graphs = cut(dealt.select("family", "shard", "node", "unit", "size").groupBy("family", "shard")
                  .applyInArrow(_graphs, GRAPH))
-    other = graphs.select("family", F.col("shard").alias("next"), F.struct("nodes", "units", "sizes", "entry", "links").alias("other"))
-    alone = graphs.withColumn("other", F.lit(None).cast(other.schema["other"].dataType))
-    pairs = graphs.join(other, "family").where("shard < next")
-    # Rows are pairs of whole shards. Text and other columns are long gone, so few bytes move for each search.
-    tasks = cut(alone.withColumn("next", F.col("shard")).unionByName(pairs))
-    found = cut(tasks.repartition(4 * vectors.sparkSession.sparkContext.defaultParallelism, "family", "shard", "next")
-                .mapInArrow(_searched(cosine), "node long, weight long, linked long"))
+    found = _all_found(graphs, vectors.sparkSession, cosine, round_bytes)
     counts = found.groupBy("node").agg(F.sum("weight").alias("weight"))
     groups = components(found.where("linked is not null"), "node", "linked")
     named = cut(heads.join(groups.withColumnRenamed("component", "label"), "node", "left")

@@ -43,9 +43,9 @@ def run(spark, rows, **options):
     return df, ed.near_duplicates(df, **options)
 
 
-@pytest.mark.parametrize("shard", [8192, 40])
-def test_like_brute_force(spark, rows, shard):
-    got = run(spark, rows, shard=shard)[1].collect()
+@pytest.mark.parametrize("shard, round_bytes", [(8192, ed.ROUND), (40, ed.ROUND), (40, 10_000)])
+def test_like_brute_force(spark, rows, shard, round_bytes):
+    got = run(spark, rows, shard=shard, round_bytes=round_bytes)[1].collect()
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == brute(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
@@ -96,3 +96,42 @@ def test_a_hot_shard_never_holds_all_pairs():
     tracemalloc.stop()
     assert sum(x for b in out for x in b.column("weight").to_pylist()) == 2400 * 2399
     assert len(out[-1]) == 2399 and peak < 180e6
+
+
+def as_shard(vectors):
+    table = ed.pa.table({"family": ["x"] * len(vectors), "shard": [0] * len(vectors), "node": np.arange(len(vectors)),
+                         "unit": [v.tobytes() for v in vectors], "size": np.ones(len(vectors), np.int64)})
+    return ed.Shard(ed._graphs(table).to_pylist()[0])
+
+
+def test_sparse_links_between_shards():
+    """Five of 2,000 vectors have a partner in the other shard; the first sixteenth of the queries has none."""
+    rng = np.random.default_rng(8)
+    one, two = (v / np.linalg.norm(v, axis=1)[:, None] for v in rng.normal(size=(2, 2000, 32)))
+    partners = np.array([1, 401, 803, 1205, 1999])
+    v = two[partners] + 0.01 * rng.normal(size=(5, 32))
+    one[[7, 70, 700, 1400, 1998]] = v / np.linalg.norm(v, axis=1)[:, None]
+    a, b = as_shard(one), as_shard(two)
+    assert not (partners % ed.AUDIT == 0).any()
+    assert a.audit(b, 0.98, ed.BEAM, 0.02)[1] == 5
+    found = {(int(x), int(y)) for p, q in a.search(b, 0.98) for x, y in zip(p, q, strict=True)}
+    assert found == {(7, 1), (70, 401), (700, 803), (1400, 1205), (1998, 1999)}
+
+
+def test_audit_does_not_count_a_vector_as_its_own_pair():
+    v = np.random.default_rng(9).normal(size=(500, 32))
+    shard = as_shard(v / np.linalg.norm(v, axis=1)[:, None])
+    assert shard.audit(shard, 0.98, ed.BEAM, 0.02) == (0, 0)
+
+
+def test_graphs_are_stored_once_for_any_number_of_pairs_of_shards(spark):
+    """18 shards have 153 pairs. Each graph lies in one folder, and rounds cover every pair once."""
+    rng = np.random.default_rng(10)
+    rows = [("x", s, 0, b"n" * 8, bytes(rng.bytes(1000)), b"s" * 8, [b"l"]) for s in range(18)] + [
+        ("y", 0, 0, b"n" * 8, bytes(1000), b"s" * 8, [b"l"])]
+    stored, rounds = ed._rounds(spark.createDataFrame(rows, ed.GRAPH), 4000)
+    got = stored.select("family", "shard", "round").collect()
+    assert sorted((r.family, r.shard) for r in got) == [("x", s) for s in range(18)]
+    place = {r.shard: r["round"] for r in got}
+    assert len(rounds) > 3 and all(last == rounds[-1][0] for _, last in rounds)
+    assert all(place[a] <= place[b] for a in range(18) for b in range(a, 18))
