@@ -12,15 +12,19 @@ from pyspark.sql import functions as F
 
 from passagework.functions.paths import basename, folder_category, path_category, plain_path
 from passagework.functions.text import is_blank
+from passagework.sources.listing import list_files, read_files
 
 PageReader = Callable[[bytes], Iterable[str]]
 
 
-def _load(spark: SparkSession, directory: str, suffix: str, recursive: bool) -> DataFrame:
+def _load(spark: SparkSession, directory: str, suffix: str, recursive: bool, every: bool) -> DataFrame:
     """(path, content) of the files."""
     root = directory.rstrip("/")
-    if qualified_root(spark, root) is None:
+    place = qualified_root(spark, root)
+    if place is None:
         raise FileNotFoundError(f"no such folder: {directory}")
+    if every:
+        return read_files(list_files(spark, place, suffix, recursive), place)
     below = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}") \
         .option("recursiveFileLookup", "true")
     try:
@@ -47,15 +51,16 @@ def describe_files(files: DataFrame, root: str | Column, path: str = "path") ->
 
 
 def scan_texts(spark: SparkSession, directory: str, recursive: bool = True,
-               suffix: str = ".txt") -> DataFrame:
+               suffix: str = ".txt", every: bool = False) -> DataFrame:
     """One document per text file: (doc_id, text, source, category, filename).
 
     ``doc_id`` is a hash of the path, so it does not depend on how the files are split into tasks. A file
     that is not UTF-8 has a null text, like any document that cannot be read. Spark passes over files of
-    zero bytes and files whose names begin with a dot or an underscore.
+    zero bytes and files whose names begin with a dot or an underscore; with ``every`` tasks list and read the
+    files instead (see ``sources.listing``), on file systems that pyarrow knows, and none is passed over.
     """
     text = F.col("content").cast("string")
-    files = _load(spark, directory, suffix, recursive).select(
+    files = _load(spark, directory, suffix, recursive, every).select(
         "path", F.when(F.is_valid_utf8(text), text).alias("text"))
     described = describe_files(files, qualified_root(spark, directory))
     return described.select(F.xxhash64("path").alias("doc_id"), "text", "source", "category",
@@ -63,17 +68,20 @@ def scan_texts(spark: SparkSession, directory: str, recursive: bool = True,
 
 
 def scan_pages(spark: SparkSession, directory: str, read_pages: PageReader, suffix: str = ".pdf",
-               recursive: bool = True) -> DataFrame:
+               recursive: bool = True, every: bool = False) -> DataFrame:
     """Page rows (path, page, text) of binary files, read by a function bytes -> page texts.
 
-    A file that cannot be read gives one row with a null text and the reason in ``problem``.
+    A file that cannot be read gives one row with a null text and the reason in ``problem``. With ``every``
+    no file is passed over for its name or for being empty, as in ``scan_texts``.
     """
-    files = _load(spark, directory, suffix, recursive)
+    files = _load(spark, directory, suffix, recursive, every)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 try:
+                    if not content.is_valid:
+                        raise FileNotFoundError(f"cannot open {path}")
                     texts, problem = list(read_pages(content.as_py())), None
                     if not texts:
                         texts = [""]

@@ -18,6 +18,7 @@ from passagework.schemas import STORED_CHUNK, Settings
 from passagework.sources import collection as store
 from passagework.sources.documents import assemble_pages, documents_from_pages, scan_pages, \
     scan_texts, single_documents, split_unreadable
+from passagework.sources.listing import list_files, read_files
 from passagework.streaming.append import append_stream, watch_texts
 
 EMBEDDER = HashEmbedder(16)
@@ -52,6 +53,50 @@ def test_scan_texts(spark, tmp_path):
         scan_texts(spark, root + "/missing", recursive=False)
 
 
+def test_every_file_is_listed_by_tasks(spark, tmp_path):
+    files = {"a.txt": "one", ".hidden.txt": "two", "_made.txt": "three", "x/empty.txt": "", "x/.y/_z/deep +%.txt": "é",
+             "x/bad.txt": b"\xff\xfe", "x/.txt": "suffix", "x/no.csv": "no", "x/a.TXT": "no"}
+    root = folder(tmp_path, files)
+    (tmp_path / "void").mkdir()
+    os.symlink(tmp_path, tmp_path / "x" / "back")
+    want = {os.path.join(root, k): None if "bad" in k else v for k, v in files.items() if k.endswith(".txt")}
+    for name in (root, "file:" + root, os.path.relpath(root)):
+        got = scan_texts(spark, name, every=True).collect()
+        assert len(got) == len(want) and {r.source: r.text for r in got} == want
+    assert {r.category for r in got} == {"uncategorized", "x", "_z"}
+    flat = scan_texts(spark, root, recursive=False, every=True)
+    assert {r.filename for r in flat.collect()} == {"a.txt", ".hidden.txt", "_made.txt"}
+    # Where Spark sees a file too, both give the same row. Spark follows links to folders round and round.
+    os.remove(tmp_path / "x" / "back")
+    rows = {tuple(r) for r in scan_texts(spark, root, every=True).collect()}
+    assert {tuple(r) for r in scan_texts(spark, root).collect()} <= rows
+    assert scan_texts(spark, root + "/void", every=True).count() == 0
+    with pytest.raises(FileNotFoundError):
+        scan_texts(spark, root + "/missing", every=True)
+
+
+def test_files_that_go_between_listing_and_reading(spark, tmp_path):
+    root = folder(tmp_path, {"a.txt": "one", "b.txt": "two"})
+    found = list_files(spark, root, ".txt")
+    os.remove(tmp_path / "b.txt")
+    assert {os.path.basename(r.path): r.content for r in read_files(found, root).collect()} == {"a.txt": b"one", "b.txt": None}
+    assert sorted(r.length for r in found.collect()) == [3, 3]
+
+
+def test_scan_pages_of_every_file(spark, tmp_path):
+    root = folder(tmp_path, {"a.pdf": "p", "_b.pdf": "", ".c.pdf": "q"})
+    pages = scan_pages(spark, root, lambda content: [content.decode()], every=True)
+    assert {(os.path.basename(r.path), r.text, r.problem) for r in pages.collect()} == {
+        ("a.pdf", "p", None), ("_b.pdf", "", None), (".c.pdf", "q", None)}
+
+
+def test_many_folders_take_one_job_a_depth(spark, tmp_path):
+    root = folder(tmp_path, {f"{a}/_{b}/{c}.txt": str(c) for a in range(20) for b in range(10) for c in range(3)})
+    found = list_files(spark, root, ".txt")
+    assert found.count() == 600 and found.distinct().count() == 600
+    assert len(found.inputFiles()) > 3
+
+
 def test_scan_pages_leaves_out_broken_files(spark, tmp_path):
     def read(content):
         if content.startswith(b"broken"):

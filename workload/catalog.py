@@ -5,6 +5,7 @@ Each query reads whole tables. ``QUERIES[name] = (function(spark, sf_dir), sql o
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -26,6 +27,7 @@ from passagework.plans import ingest as ingesting
 from passagework.sources import collection as store
 from passagework.sources.documents import assemble_pages, describe_files, scan_texts, single_documents, \
     split_unreadable
+from passagework.sources.listing import open_filesystem
 from workload import sql_parts as sq
 from workload.views import SETTINGS, spark_view
 
@@ -106,6 +108,36 @@ def scanned_texts(spark, sf):
     return scan_texts(spark, root).select("category", "text", F.substring("filename", 1, 4).alias("filename"))
 
 
+# Names of which Spark's readers pass over half, and empty files among the others.
+_NAMED = ["case doc_id % 4 when 0 then '.' when 1 then '_' else '' end || doc_id || '.txt' as filename",
+          "case doc_id % 4 when 3 then '' else coalesce(text, '') end as text"]
+
+
+def _write_files(root: str):
+    """Tasks that write each row of (folder, filename, text) as a file."""
+    def run(batches):
+        where, prefix = open_filesystem(root)
+        for batch in batches:
+            for folder, name, text in zip(*(batch.column(c).to_pylist() for c in ("folder", "filename", "text"))):
+                place = f"{root[len(prefix):]}/{folder}"
+                where.create_dir(place, recursive=True)
+                with where.open_output_stream(f"{place}/{name}") as out:
+                    out.write(text.encode())
+            yield batch.select(["filename"])
+
+    return run
+
+
+@register("every_text", f"select source as category, {', '.join(_NAMED)} from documents")
+def every_text(spark, sf):
+    """The documents as files of any name, listed and read by tasks."""
+    folder = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    files = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("concat_ws('/', lang, source) as folder", *_NAMED)
+    root = re.sub(r"\Afile:/+", "/", folder)
+    files.mapInArrow(_write_files(root), "filename string").write.format("noop").mode("overwrite").save()
+    return scan_texts(spark, folder, every=True).select("category", "filename", "text")
+
+
 @register("single_documents", f"""{sq.with_views('corpus')}
     select text, source, category, filename from corpus where doc_id % 2 = 0
     union all select text, source, 'given' as category, filename from corpus where doc_id % 2 = 1""")
