@@ -1,0 +1,48 @@
+"""Parts of names through the trigram index, against a plain filter."""
+
+import pytest
+from conftest import plan
+from pyspark.sql import functions as F
+
+from passagework.operators.name_index import grams_of, open_grams, places_with, where_contains, write_grams
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("names"))
+    rows = [(i, None if i % 50 == 7 else f"/data/raw/soil/réport_{i:04d}.txt" if i % 3 else "/hot/a%_b.txt", "xy"[i % 2], i // 100)
+            for i in range(1000)] + [(1000, "ab", "x", 3), (1001, "", "y", 3), (1002, "ab😀cd", "x", 9)]
+    spark.createDataFrame(rows, "ordinal long, source string, category string, block long") \
+        .write.partitionBy("category", "block").parquet(f"{root}/rows")
+    table = spark.read.schema("ordinal long, source string, category string, block long").parquet(f"{root}/rows")
+    write_grams(table, f"{root}/grams", "source")
+    return table, open_grams(spark, f"{root}/grams", table)
+
+
+@pytest.mark.parametrize("part", ["_0123", "soil", "a%_b", "ab", "", "b😀c", "é", "réport_09", "none such", "/hot/a%_b.txt", "ttt",
+                                  "_0123_0456"])
+def test_like_a_plain_filter(stored, part):
+    table, grams = stored
+    got = where_contains(table, grams, "source", part).select("ordinal", "source", "category", "block").collect()
+    want = table.where(F.col("source").contains(part)).select("ordinal", "source", "category", "block").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_few_folders_are_read(stored):
+    table, grams = stored
+    assert table.select("category", "block").distinct().count() == 20
+    assert [tuple(r) for r in places_with(grams, "_0124").collect()] == [("x", 1)]
+    text = plan(where_contains(table, grams, "source", "_0124"))
+    assert "dynamicpruning" in text and "Python" not in text
+
+
+def test_a_hot_name_has_one_posting_a_folder(stored):
+    _, grams = stored
+    assert grams.where("gram = '/ho'").count() == grams.where("gram = '/ho'").distinct().count() == 20
+
+
+def test_empty_table_and_grams(spark, tmp_path):
+    empty = spark.createDataFrame([], "source string, category string, block long")
+    write_grams(empty, f"{tmp_path}/g", "source")
+    assert where_contains(empty, open_grams(spark, f"{tmp_path}/g", empty), "source", "abc").count() == 0
+    assert grams_of("aaaa") == ["aaa"] and grams_of("ab") == []

@@ -17,7 +17,7 @@ from passagework.functions import text as tx
 from passagework.functions.embedding import HashEmbedder
 from passagework.functions.prompts import clipped_excerpt, excerpt, plain_prompt, system_and_user
 from passagework.lineage import cut, shared_folder, widen
-from passagework.operators import cell_index, completion, context, filters, requests, search, stats
+from passagework.operators import cell_index, completion, context, filters, name_index, requests, search, stats
 from passagework.operators.chunks import chunk_documents, process_documents, window_documents
 from passagework.operators.cleaning import extract_sections
 from passagework.operators.embed import embed, embed_distinct, text_similarity
@@ -349,6 +349,27 @@ _filter_query("filename_filter", "contains(filename, '7.')", filename="7.")
 _filter_query("combined_filter",
               "category = 'en' and contains(source, 'src1') and contains(filename, '3')",
               category="en", source="src1", filename="3")
+
+
+def _indexed_query(name: str, condition: str, column: str, part: str) -> None:
+    """The same through a trigram index of rows that are stored in folders."""
+    def run(spark, sf):
+        root = f"{shared_folder(spark).rstrip('/')}/names-{uuid.uuid4().hex}"
+        # Folders by source, as ordinals follow the sources in a collection.
+        rows = spark_view(spark, sf, "corpus").select("doc_id", "source", "filename", "category").withColumn(
+            "block", F.pmod(F.xxhash64(F.regexp_replace("source", r"/[^/]*\z", "")), F.lit(16)))
+        rows.repartition("category", "block").write.partitionBy("category", "block").parquet(f"{root}/rows")
+        stored = spark.read.schema(rows.schema).parquet(f"{root}/rows")
+        name_index.write_grams(stored, f"{root}/grams", column)
+        grams = name_index.open_grams(spark, f"{root}/grams", stored)
+        return name_index.where_contains(stored, grams, column, part).select("doc_id", "category", "source", "filename")
+
+    register(name, f"{sq.with_views('corpus')} "
+                   f"select doc_id, category, source, filename from corpus where {condition}")(run)
+
+
+_indexed_query("source_by_grams", "contains(source, '/src1')", "source", "/src1")
+_indexed_query("filename_by_grams", "contains(filename, '77.')", "filename", "77.")
 _filter_query("empty_filter", "true", category="", source=None)
 
 
