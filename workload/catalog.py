@@ -358,7 +358,7 @@ def _indexed_query(name: str, condition: str, column: str, part: str) -> None:
         # Folders by source, as ordinals follow the sources in a collection.
         rows = spark_view(spark, sf, "corpus").select("doc_id", "source", "filename", "category").withColumn(
             "block", F.pmod(F.xxhash64(F.regexp_replace("source", r"/[^/]*\z", "")), F.lit(16)))
-        rows.repartition("category", "block").write.partitionBy("category", "block").parquet(f"{root}/rows")
+        rows.hint("rebalance", "category", "block").write.partitionBy("category", "block").parquet(f"{root}/rows")
         stored = spark.read.schema(rows.schema).parquet(f"{root}/rows")
         name_index.write_grams(stored, f"{root}/grams", column)
         grams = name_index.open_grams(spark, f"{root}/grams", stored)
