@@ -57,13 +57,15 @@ def ingest(documents: DataFrame, root: str, embedder, settings: Settings = Setti
            batch_size: int = 100, distinct: bool = False) -> DataFrame:
     """Rebuild the collection at ``root`` from a document table; returns the statistics row.
 
-    With ``distinct`` the embedder sees equal chunks once, at the price of moving chunks by their digest.
+    Texts move once, when documents are dealt out: staged chunks are in order, and stay where they are when they are
+    numbered, embedded and written. With ``distinct`` the embedder sees equal chunks once, at the price of moving
+    chunks by their digest and to their folders.
     """
     _check_batch(batch_size)
     spark = documents.sparkSession
     staged, path = stage_chunks(documents, settings)
     vectors = embed_distinct if distinct else embed
-    store.rebuild(vectors(numbered_chunks(staged), embedder, batch_size=batch_size), root)
+    store.rebuild(vectors(numbered_chunks(staged), embedder, batch_size=batch_size), root, in_order=not distinct)
     report = ingest_stats(staged).withColumn("message", F.lit(DONE))
     # One row, taken now, so that the staged chunks can go.
     report = spark.createDataFrame(report.collect(), report.schema)
@@ -72,19 +74,21 @@ def ingest(documents: DataFrame, root: str, embedder, settings: Settings = Setti
 
 
 def add_documents(documents: DataFrame, root: str, embedder, settings: Settings = Settings(),
-                  replace: bool = False, batch: int | str | None = None,
+                  replace: bool = False, batch: int | store.Label | None = None,
                   batch_size: int = 100) -> DataFrame:
     """Append documents; ordinals go on after the largest one.
 
     Returns (filename, category, chunks_added) per document. Adding a source twice keeps both
     copies; with ``replace`` its earlier chunks leave the collection, which is not rewritten for it.
-    A ``batch`` label that was added before is not added again.
+    A ``batch`` label that was added before is not added again; of a stream, (name, number), nothing up to the
+    last number is.
     """
     _check_batch(batch_size)
     spark = documents.sparkSession
     staged, path = stage_chunks(documents, settings)
     added = embed(numbered_chunks(staged, store.next_ordinal(spark, root)), embedder, batch_size=batch_size)
-    store.append(added, root, batch, staged.select("source") if replace else None)
+    label = str(batch) if isinstance(batch, int) else batch
+    store.append(added, root, label, staged.select("source") if replace else None, in_order=True)
     # The first row of a document says how many chunks it has.
     report = cut(staged.where("empty or chunk_index = 0").select(
         "filename", "category", F.coalesce("total_chunks", F.lit(0)).alias("chunks_added")))

@@ -1,10 +1,10 @@
 """The stored passage collection: parquet folders and a manifest.
 
 Layout: ``root/snapshot=N/batch=M/category=.../block=.../*.parquet`` and ``root/manifest/V.json``. The manifest
-with the largest number names the current snapshot, its batches in order with their ordinals, the labels of
-all micro-batches ever added, and tables of replaced sources. It is written once and never changed, so a change
-of the collection is the appearance of one file: readers see the state before or after it, data that no
-manifest names does not exist, and no time stamps matter. Opening a collection lists one small folder.
+with the largest number names the current snapshot, its batches in order with their ordinals, the last number of
+every stream and the labels that callers gave, and tables of replaced sources. It is written once and never
+changed, so a change of the collection is the appearance of one file: readers see the state before or after it,
+data that no manifest names does not exist, and no time stamps matter. Opening a collection lists one small folder.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ KEPT = 1
 #: Consecutive ordinals that share a folder, so that a few hits are fetched from a few folders.
 BLOCK_ROWS = 1_000_000
 
+#: What names a batch: a text of the caller's, or a stream and the number of its micro-batch.
+Label = str | tuple[str, int]
+
 
 @dataclass
 class Manifest:
@@ -31,6 +34,19 @@ class Manifest:
     batches: list[dict] = field(default_factory=list)  # label, folder, first, rows
     labels: list[str] = field(default_factory=list)
     replaced: list[str] = field(default_factory=list)  # folders of (source, below)
+    marks: dict[str, int] = field(default_factory=dict)  # stream -> its last micro-batch
+
+    def has(self, label: Label) -> bool:
+        """Whether a batch of this label was added. Micro-batches of a stream come in order, so its last tells."""
+        if isinstance(label, tuple):
+            return label[1] <= self.marks.get(label[0], -1) or f"{label[0]}-{label[1]}" in self.labels
+        return label in self.labels
+
+    def note(self, label: Label) -> None:
+        if isinstance(label, tuple):
+            self.marks[label[0]] = label[1]
+        else:
+            self.labels.append(label)
 
     @property
     def next_ordinal(self) -> int:
@@ -114,63 +130,76 @@ def open_collection(spark: SparkSession, root: str) -> DataFrame:
     return rows
 
 
-def write_batch(chunks: DataFrame, path: str) -> None:
-    """Rows go to the folders of their category and block; Spark splits large folders over tasks, so neither
-    a busy category nor many small ones make too many or too large files."""
-    placed = chunks.withColumn("block", F.floor(F.col("ordinal") / BLOCK_ROWS).cast("long"))
-    placed.select(*STORED_CHUNK.fieldNames()).hint("rebalance", "category", "block") \
-        .write.mode("overwrite").partitionBy("category", "block").parquet(path)
+def write_batch(chunks: DataFrame, path: str, in_order: bool = False) -> None:
+    """Rows go to the folders of their category and block. Spark moves them there and splits large folders over
+    tasks, so neither a busy category nor many small ones make too many or too large files.
+
+    With ``in_order`` tasks hold runs of ordinals: each has rows of few blocks as it is and writes one file for
+    each of its categories, and nothing is moved.
+    """
+    placed = chunks.withColumn("block", F.floor(F.col("ordinal") / BLOCK_ROWS).cast("long")) \
+        .select(*STORED_CHUNK.fieldNames())
+    if not in_order:
+        placed = placed.hint("rebalance", "category", "block")
+    placed.write.mode("overwrite").partitionBy("category", "block").parquet(path)
 
 
-def _write(chunks: DataFrame, root: str, snapshot: int, label: str, first: int) -> dict:
+def _write(chunks: DataFrame, root: str, snapshot: int, label: Label | None, first: int, in_order: bool) -> dict:
     """Write a batch under a name of its own, so that a repeated attempt never touches what is in use."""
     folder = f"batch={uuid.uuid4().hex}"
     path = f"{snapshot_path(root, snapshot)}/{folder}"
-    write_batch(chunks, path)
+    write_batch(chunks, path, in_order)
     # Ordinals have no gaps, so the largest tells the number of rows; an empty batch has no files to ask.
     last = chunks.sparkSession.read.schema(STORED_CHUNK).parquet(path).agg(F.max("ordinal")).first()[0]
     return {"label": label, "folder": folder, "first": first, "rows": 0 if last is None else last + 1 - first}
 
 
-def rebuild(chunks: DataFrame, root: str) -> int:
+def rebuild(chunks: DataFrame, root: str, in_order: bool = False) -> int:
     """Write a new snapshot, publish it and drop what lies behind the previous one. Returns its number.
 
-    Labels of micro-batches are kept, so one that is delivered again after a rebuild is still known.
+    For ``in_order`` see ``write_batch``. What was added stays known, so a micro-batch that is delivered again after a
+    rebuild is not added.
     """
     spark = chunks.sparkSession
     old = read_manifest(spark, root) or Manifest()
     number = old.snapshot + 1
-    batch = _write(chunks, root, number, "0", 0)
-    _commit(spark, root, Manifest(old.version, number, [batch], old.labels))
+    batch = _write(chunks, root, number, None, 0, in_order)
+    _commit(spark, root, Manifest(old.version, number, [batch], old.labels, marks=old.marks))
     if number - KEPT - 1 >= 0:
         remove(spark, snapshot_path(root, number - KEPT - 1))
     return number
 
 
-def append(chunks: DataFrame, root: str, label: str | None = None, replaced: DataFrame | None = None) -> str:
-    """Add a batch to the current snapshot. A label that was added before is not added again.
+def append(chunks: DataFrame, root: str, label: Label | None = None, replaced: DataFrame | None = None,
+           in_order: bool = False) -> bool:
+    """Add a batch to the current snapshot. A label that was added before is not added again: returns whether it was new.
 
     ``chunks`` have the ordinals from ``next_ordinal`` on. With ``replaced`` (source), earlier chunks of these
     sources leave the collection with the same commit; they are listed, not rewritten.
     """
     spark = chunks.sparkSession
-    manifest = read_manifest(spark, root)
-    if manifest is None:
-        raise FileNotFoundError(f"no collection at {root}")
-    label = str(len(manifest.labels) + 1) if label is None else str(label)
-    if label in manifest.labels:
-        return label
+    manifest = _existing(spark, root)
+    if label is not None and manifest.has(label):
+        return False
     first = manifest.next_ordinal
-    batch = _write(chunks, root, manifest.snapshot, label, first)
+    batch = _write(chunks, root, manifest.snapshot, label, first, in_order)
     if replaced is not None:
         folder = f"replaced/{uuid.uuid4().hex}"
         replaced.select("source", F.lit(first).cast("long").alias("below")).distinct() \
             .write.parquet(f"{snapshot_path(root, manifest.snapshot)}/{folder}")
         manifest.replaced.append(folder)
     manifest.batches.append(batch)
-    manifest.labels.append(label)
+    if label is not None:
+        manifest.note(label)
     _commit(spark, root, manifest)
-    return label
+    return True
+
+
+def _existing(spark: SparkSession, root: str) -> Manifest:
+    manifest = read_manifest(spark, root)
+    if manifest is None:
+        raise FileNotFoundError(f"no collection at {root}")
+    return manifest
 
 
 def next_ordinal(spark: SparkSession, root: str) -> int:
@@ -179,8 +208,5 @@ def next_ordinal(spark: SparkSession, root: str) -> int:
     return 0 if manifest is None else manifest.next_ordinal
 
 
-def has_label(spark: SparkSession, root: str, label: str) -> bool:
-    manifest = read_manifest(spark, root)
-    if manifest is None:
-        raise FileNotFoundError(f"no collection at {root}")
-    return label in manifest.labels
+def has_label(spark: SparkSession, root: str, label: Label) -> bool:
+    return _existing(spark, root).has(label)

@@ -19,7 +19,8 @@ from passagework.sources import collection as store
 from passagework.sources.documents import assemble_pages, documents_from_pages, scan_pages, \
     scan_texts, single_documents, split_unreadable
 from passagework.sources.listing import list_files, read_files
-from passagework.streaming.append import append_stream, watch_texts
+from passagework.streaming import append as streaming
+from passagework.streaming.append import append_stream, replace_stream, watch_texts
 
 EMBEDDER = HashEmbedder(16)
 
@@ -369,6 +370,115 @@ def test_stream_appends_each_file_once(spark, tmp_path):
     assert ids(spark, root) == [(i, f"chunk_{i}") for i in range(n + 3)]
 
 
+SCHEMA = "doc_id long, text string, source string, category string, filename string, arrived timestamp"
+
+
+def deliver(spark, inbox, *rows):
+    """Rows of (source, text, arrived in seconds)."""
+    spark.createDataFrame([(len(s), t, s, "c", s) + (at,) for s, t, at in rows],
+                          "doc_id long, text string, source string, category string, filename string, at long") \
+        .withColumn("arrived", F.timestamp_seconds("at")).drop("at").coalesce(1).write.mode("append").parquet(inbox)
+
+
+def test_a_stream_keeps_the_last_content_of_each_source(spark, tmp_path, monkeypatch):
+    root, inbox = str(tmp_path / "store"), str(tmp_path / "inbox")
+    ingest(documents(spark, 5), root, EMBEDDER)
+    start, shown = len(ids(spark, root)), []
+    add = streaming.add_documents
+    monkeypatch.setattr(streaming, "add_documents", lambda rows, *a, **k: (
+        shown.extend(r.source for r in rows.collect()), add(rows, *a, **k))[1])
+
+    def drain(*rows):
+        shown.clear()
+        deliver(spark, inbox, *rows)
+        stream = replace_stream(spark.readStream.schema(SCHEMA).parquet(inbox), root, EMBEDDER, str(tmp_path / "progress"))
+        stream.awaitTermination(240)
+        assert stream.exception() is None
+        stored = store.open_collection(spark, root).where(f"ordinal >= {start}")
+        return sorted(shown), {r.source: r.text for r in stored.collect()}
+
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    # Several deliveries of a source in one micro-batch: the last counts. Nulls are passed over, empty texts are not.
+    assert drain(("a", "one", 5), ("a", "two", 6), ("a", "two", 6), ("a", "old", 1), ("b", "b", 1), ("d", None, 1), ("e", "", 1)) \
+        == (["a", "b", "e"], {"a": "two", "b": "b"})
+    # After a restart: unchanged, changed, older than the last, and first seen.
+    assert drain(("a", "two", 7), ("b", "B", 2), ("a", "old", 3), ("d", "d", 1)) == (["b", "d"], {"a": "two", "b": "B", "d": "d"})
+    # Emptied, and back to a content that was there before.
+    assert drain(("a", "", 8), ("b", "b", 3)) == (["a", "b"], {"b": "b", "d": "d"})
+    assert drain(("a", "one", 7)) == ([], {"b": "b", "d": "d"})
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+    manifest = store.read_manifest(spark, root)
+    assert manifest.labels == [] and list(manifest.marks) == ["changes"]
+
+
+def test_a_micro_batch_that_fails_or_comes_again(spark, tmp_path, monkeypatch):
+    root, inbox, progress = (str(tmp_path / n) for n in ("store", "inbox", "progress"))
+    ingest(documents(spark, 1), root, EMBEDDER)
+    deliver(spark, inbox, ("a", "one", 1), ("b", "two", 1))
+    add, fails = streaming.add_documents, ["before", "after"]
+
+    def broken(*a, **k):
+        when = fails.pop(0) if fails else None
+        if when == "before":
+            raise RuntimeError("lost before the batch was added")
+        out = add(*a, **k)
+        if when == "after":
+            raise RuntimeError("lost after the batch was added")
+        return out
+
+    monkeypatch.setattr(streaming, "add_documents", broken)
+    for attempt in range(3):
+        stream = replace_stream(spark.readStream.schema(SCHEMA).parquet(inbox), root, EMBEDDER, progress)
+        try:
+            stream.awaitTermination(240)
+        except Exception as error:
+            assert attempt < 2 and "lost" in str(error)
+    rows = store.open_collection(spark, root).collect()
+    assert fails == [] and sorted((r.source, r.text) for r in rows) == [("a", "one"), ("b", "two")]
+
+
+def test_streams_leave_one_number_in_the_manifest(spark, tmp_path):
+    root = str(tmp_path / "store")
+    ingest(documents(spark, 2), root, EMBEDDER)
+    for number in (0, 1, 1, 0, 2):
+        add_documents(documents(spark, 1, 10 + number), root, EMBEDDER, batch=("inbox", number))
+    add_documents(documents(spark, 1, 20), root, EMBEDDER)
+    manifest = store.read_manifest(spark, root)
+    assert manifest.marks == {"inbox": 2} and manifest.labels == [] and len(manifest.batches) == 5
+    assert store.has_label(spark, root, ("inbox", 1)) and not store.has_label(spark, root, ("inbox", 3))
+    # Labels of micro-batches that an earlier version listed as text are still known.
+    manifest.labels.append("old-4")
+    assert manifest.has(("old", 4)) and not manifest.has(("old", 3))
+
+
+def test_texts_move_once_at_ingest(spark, tmp_path, monkeypatch):
+    from passagework.plans import ingest as plans
+
+    moved = []
+    for name in ("stage", "write_batch"):
+        where = plans if name == "stage" else store
+        def spy(df, *a, real=getattr(where, name), **k):
+            moved.append(sum("Exchange" in line and "Broadcast" not in line for line in plan(df).splitlines()))
+            hinted = not (a[1:] and a[1]) and real.__name__ == "write_batch"
+            return (real(df, *a, **k), moved.append("moved") if hinted else None)[0]
+        monkeypatch.setattr(where, name, spy)
+    ingest(documents(spark, 40), str(tmp_path / "store"), EMBEDDER)
+    add_documents(documents(spark, 4), str(tmp_path / "store"), EMBEDDER)
+    assert "moved" not in moved and moved[0] == moved[2] == 1, moved
+
+
+def test_files_of_a_batch_written_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "BLOCK_ROWS", 50)
+    root = str(tmp_path / "store")
+    ingest(documents(spark, 400).repartition(7), root, EMBEDDER)
+    rows = store.open_collection(spark, root).select("ordinal", "block", "category", F.input_file_name().alias("file")).collect()
+    assert all(r.block == r.ordinal // 50 for r in rows) and sorted(r.ordinal for r in rows) == list(range(len(rows)))
+    # No more files than folders and, for each task, its categories in the blocks at its ends.
+    folders = {(r.category, r.block) for r in rows}
+    tasks = {r.file.rsplit("/", 1)[1].split("-")[1] for r in rows}
+    assert len({r.file for r in rows}) <= len(folders) + 3 * len(tasks)
+
+
 def test_single_documents(spark):
     df = spark.createDataFrame([("/d/raw/a/b/f.txt", "x")], "path string, text string")
     assert single_documents(df).first().category == "a"

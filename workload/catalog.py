@@ -24,10 +24,12 @@ from passagework.operators.embed import embed, embed_distinct, text_similarity
 from passagework.operators.ordinals import number_by_document
 from passagework.plans import ask as asking
 from passagework.plans import ingest as ingesting
+from passagework.schemas import DOCUMENT
 from passagework.sources import collection as store
 from passagework.sources.documents import assemble_pages, describe_files, scan_texts, single_documents, \
     split_unreadable
 from passagework.sources.listing import open_filesystem
+from passagework.streaming.append import replace_stream
 from workload import sql_parts as sq
 from workload.views import SETTINGS, spark_view
 
@@ -966,3 +968,42 @@ def appended_ordinals(spark, sf):
         (F.col("category") != "en").alias("added")).agg(
         F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"),
         F.count_distinct("ordinal").alias("chunks"))
+
+
+_REVISED_SQL = f"""{sq.with_views('revised').replace('with', 'with recursive', 1)},
+    {sq.clean_steps('revised', 'cleaned', 'doc_id, source, category, filename')},
+    {sq.recursive_chunks('cleaned', 'chunks')}
+    select doc_id, chunk_index, total_chunks, text, doc_id % 3 = 0 as later from chunks"""
+
+
+def _with_later(spark, root: str, first: int):
+    """Stored chunks, and whether they came after the first ``first``."""
+    return store.open_collection(spark, root).select(
+        "doc_id", "chunk_index", "total_chunks", "text", (F.col("ordinal") >= first).alias("later"))
+
+
+@register("replaced_documents", _REVISED_SQL)
+def replaced_documents(spark, sf):
+    """All documents, then those that changed once more in place of their earlier text."""
+    root = _new_root(spark)
+    ingesting.ingest(spark_view(spark, sf, "corpus"), root, EMBEDDER, SETTINGS)
+    first = store.next_ordinal(spark, root)
+    changed = spark_view(spark, sf, "revised").where("doc_id % 3 = 0 or doc_id % 3 = 1 and doc_id % 5 = 0")
+    ingesting.add_documents(changed, root, EMBEDDER, SETTINGS, replace=True)
+    return _with_later(spark, root, first)
+
+
+@register("latest_deliveries", _REVISED_SQL)
+def latest_deliveries(spark, sf):
+    """All documents delivered to a stream, and after a restart all of them again, some of them changed."""
+    root, inbox = _new_root(spark), f"{shared_folder(spark).rstrip('/')}/inbox-{uuid.uuid4().hex}"
+    ingesting.ingest(spark.createDataFrame([], DOCUMENT), root, EMBEDDER, SETTINGS)
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in DOCUMENT)}, arrived timestamp"
+    first = 0
+    for hour, view in enumerate(("corpus", "revised")):
+        spark_view(spark, sf, view).withColumn("arrived", F.timestamp_seconds(F.lit(3600 * hour))) \
+            .write.mode("append").parquet(inbox)
+        first = store.next_ordinal(spark, root)
+        stream = replace_stream(spark.readStream.schema(schema).parquet(inbox), root, EMBEDDER, f"{inbox}-progress", SETTINGS)
+        stream.awaitTermination()
+    return _with_later(spark, root, first)

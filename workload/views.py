@@ -36,6 +36,14 @@ VIEWS = {
                  when 6 then 'oﬃce ﬁle ‘a’ “b” –—… x{NBSP}y{ZWSP}z ' || text
                  else 'wait......' || '{BEL}' || ' -------- ' || text end as text
         from {{documents}}""",
+    # The corpus after some documents changed and some became empty; the rest stayed.
+    "revised": """
+        select doc_id, case when doc_id % 3 = 0 then 'Second edition. ' || text
+                            when doc_id % 3 = 1 and doc_id % 5 = 0 then '' else text end as text,
+               lang as category, 'doc_' || cast(doc_id as string) || '.txt' as filename,
+               '/data/raw/' || lang || '/' || source || '/doc_' || cast(doc_id as string) || '.txt'
+                   as source
+        from {documents}""",
     # Long lines broken up and headings put in between, for section extraction.
     "sectioned": """
         select doc_id, case doc_id % 4
