@@ -248,10 +248,10 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
 
 def decode(ids: Column, path: str, pattern: str) -> Column:
-    """The bytes that ids stand for; null and empty arrays give empty bytes."""
+    """The bytes that ids stand for; null and empty arrays give empty bytes, and so does a null among the ids."""
     @F.arrow_udf(T.BinaryType())
     def joined(lists: pa.Array) -> pa.Array:
         bpe = codec(path, pattern)
-        return pa.array([bpe.decode(x.values.to_numpy()) if x.is_valid else b"" for x in lists], pa.binary())
+        return pa.array([bpe.decode(x.values.drop_null().to_numpy()) if x.is_valid else b"" for x in lists], pa.binary())
 
     return joined(ids)

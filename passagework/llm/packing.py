@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.remembered import Remembered
+from passagework.llm.sharding import free
 
 LENGTH = 2048
 END = 1  # follows the ids of every document
@@ -85,7 +86,8 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
     ``length`` is a power of two. ``start`` counts the ids of the same row's text before the piece,
     ``bucket`` is the binary logarithm of ``length``, and ``offset`` is always 0, as each sequence holds
     one piece. A null or empty text has the end id alone. Rows that repeat an id are packed each for
-    themselves; other columns are not read; an empty table gives an empty table. Sequence ids follow the
+    themselves; other columns are not read; an empty table gives an empty table. Where the id has the name of a column
+    that is added, the new one gets underscores behind its name. Sequence ids follow the
     input's partitions, so no row is moved, and a repeated task gives the same ids again.
     """
     if length & length - 1 or length < 1:
@@ -111,11 +113,13 @@ def pack(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()),
                      pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())],
-                    [id_column, "start", "length", "ids", "doc_tokens"])
+                    ["key", "start", "length", "ids", "doc_tokens"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    pieces = docs.select(id_column, text_column).mapInArrow(
-        run, f"`{id_column}` {kind}, start long, length long, ids binary, doc_tokens long")
-    return pieces.select(
-        "*", F.log2("length").cast("int").alias("bucket"),
-        F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    # The text may be the id as well, so both get names of their own.
+    pieces = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text")).mapInArrow(
+        run, f"key {kind}, start long, length long, ids binary, doc_tokens long")
+    added = {"start": F.col("start"), "length": F.col("length"), "ids": F.col("ids"), "doc_tokens": F.col("doc_tokens"),
+             "bucket": F.log2("length").cast("int"), "sequence_id": F.monotonically_increasing_id(),
+             "offset": F.lit(0).cast("long")}
+    return pieces.select(F.col("key").alias(id_column), *(c.alias(free(n, [id_column])) for n, c in added.items()))

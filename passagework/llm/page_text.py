@@ -141,5 +141,9 @@ def main_text(page: Column, chain: Chain | None = None) -> Column:
 
 
 def extract(pages: DataFrame, html_column: str = "html", out: str = "text", chain: Chain | None = None) -> DataFrame:
-    """``pages`` with the column ``out`` added (a column of that name is replaced); all rows stay."""
+    """``pages`` with the column ``out`` added (a column of that name is replaced); all rows stay.
+
+    A null, empty or textless page has an empty text, pages of any length are read whole, equal pages get equal texts,
+    and an empty table gives an empty table.
+    """
     return pages.withColumn(out, main_text(F.col(html_column), chain))

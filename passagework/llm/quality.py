@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.lineage import cut
+from passagework.llm.sharding import free
 
 #: Most labelled rows that are fitted on; beyond it, those with the smallest hash of their id.
 TRAIN_ROWS = 20_000
@@ -144,22 +145,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(measured: DataFrame, labels: DataFrame, id_column: str, label: str, rows: int = TRAIN_ROWS) -> Trees:
-    """Fit on at most ``rows`` of the labelled rows outside the held-out third. ``measured`` has the statistics
-    in ``x``, or texts in ``text``.
+    """Fit on at most ``rows`` of the labelled rows outside the held-out third. ``measured`` has the id
+    in ``key`` and the statistics in ``x``, or texts in ``text``.
 
     Rows are sorted before fitting, so the same tables always give the same trees. Null labels and
-    labels without a document are left out.
+    labels without a document are left out. Empty tables give a model without trees.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(F.col(id_column))) \
-        .select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("label"),
+        .select(F.col(id_column).alias("key"), F.col(label).cast("int").alias("target"),
                 F.xxhash64(F.col(id_column).cast("string")).alias("draw"))
-    order = ["draw", "id", "label"]
+    order = ["draw", "key", "target"]
     drawn = known.orderBy(*order).limit(rows)  # at most ``rows`` rows, which bounds the broadcast
     x = F.col("x") if "x" in measured.columns else _statistics(F.col("text"))
-    found = measured.join(F.broadcast(drawn), F.col(id_column) == F.col("id")).select(*order, x.alias("x")) \
+    found = measured.join(F.broadcast(drawn), "key").select(*order, x.alias("x")) \
         .orderBy(*order, "x").limit(rows).toArrow()
     x = np.array(found["x"].to_pylist(), np.float32).reshape(found.num_rows, len(STATISTICS))
-    return fit(x, found["label"].to_numpy().astype(float))
+    return fit(x, found["target"].to_numpy().astype(float))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -168,12 +169,15 @@ def score(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
 
     Only the text enters the score. Null counts as empty; empty texts are scored like any other, equal
     texts get equal scores. Without labels of both kinds every row gets the share of label 1, or 0.5.
-    Other columns are not read.
+    Texts of any length are measured whole, rows that repeat stay, and an empty table gives an empty table. Other columns
+    are not read. Where the id has the name of a column that is added, the new one gets underscores behind its name.
     """
-    measured = cut(docs.select(id_column, _statistics(F.coalesce(text_column, F.lit(""))).alias("x")))
+    held, rating, guess = (free(name, [id_column]) for name in ("held_out", "score", "predicted"))
+    measured = cut(docs.select(F.col(id_column).alias("key"), _statistics(F.coalesce(text_column, F.lit(""))).alias("x")))
     rated = _rated(train(measured, labels, id_column, label, rows))
-    return measured.select(id_column, held_out(F.col(id_column)).alias("held_out"), rated(F.col("x")).alias("score")) \
-        .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = measured.select("key", rated(F.col("x")).alias("y"))
+    return scored.select(F.col("key").alias(id_column), held_out(F.col("key")).alias(held), F.col("y").alias(rating),
+                         (F.col("y") >= 0.5).cast("int").alias(guess))
 
 
 def _rated(model: Trees):
@@ -190,7 +194,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", tex
     """The rows of ``docs`` with a score of 0.5 or more, with all their columns; see ``score``."""
     text = F.coalesce(text_column, F.lit(""))
     # Statistics are cheap beside a copy of the table: those of labelled rows are taken first, then all.
-    measured = docs.select(F.col(id_column), text.alias("text"))
+    measured = docs.select(F.col(id_column).alias("key"), text.alias("text"))
     rated = _rated(train(measured, labels, id_column, label, rows))
     return docs.where(rated(_statistics(text)) >= 0.5)
 

@@ -67,3 +67,14 @@ def test_odd_rows_and_the_bound(spark):
     assert kept.columns == docs.columns and kept.count() <= 5
     assert {r.score for r in quality.score(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.score(docs.limit(0), labels).count() == 0 == quality.keep_good(docs.limit(0), labels).count()
+
+
+@pytest.mark.parametrize("name", ["id", "label", "draw", "key", "target", "x", "y", "text_", "score", "held_out", "Predicted"])
+def test_ids_of_any_name(spark, name):
+    docs = spark.createDataFrame([(i, "good words here. " * i, 1, 2) for i in range(12)], f"{name} long, body string, other int, source int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], f"{name} long, quality int")
+    got = quality.score(docs, labels, name, "body")
+    assert got.columns[0] == name and len({c.lower() for c in got.columns}) == 4
+    assert sorted(r[0] for r in got.collect()) == list(range(12))
+    assert all(r[1] == (quality.checksum_third(r[0]) == 1) and r[3] == (r[2] >= 0.5) for r in got.collect())
+    assert quality.keep_good(docs, labels, name, "body").columns == docs.columns

@@ -136,6 +136,24 @@ def test_odd_rows(spark):
         packing.pack(docs, WORDS, length=1000)
 
 
+@pytest.mark.parametrize("name", ["start", "Length", "ids", "doc_tokens", "bucket", "sequence_id", "offset", "key", "id", "text"])
+def test_ids_of_any_name(spark, name):
+    docs = spark.createDataFrame([("7", "a b"), (None, "c")], f"`{name}` string, body string")
+    got = packing.pack(docs, WORDS, name, "body")
+    assert got.columns[0] == name and len({c.lower() for c in got.columns}) == 8
+    # The first two columns behind the id are always start and length, whatever their names.
+    assert sorted((str(r[0]), r[1], r[2]) for r in got.collect()) == [("7", 0, 2), ("7", 2, 1), ("None", 0, 2)]
+    same = packing.pack(docs, WORDS, name, name)
+    assert same.count() == 2 + docs.where(docs[name].isNull()).count() - 1
+
+
+def test_null_ids_have_no_bytes(spark):
+    ids = spark.createDataFrame([([64, None, 65],), ([None],), ([],), (None,)], "x array<int>")
+    both = byte_bpe.codec(RANKS, public_tokenizers.PATTERN).decode([64, 65])
+    got = [bytes(r.y) for r in ids.select(byte_bpe.decode(ids.x, RANKS, public_tokenizers.PATTERN).alias("y")).collect()]
+    assert got == [both, b"", b"", b""]
+
+
 def test_piece_lengths():
     assert packing.piece_lengths(5000, 2048) == [2048, 2048, 512, 256, 128, 8]
     assert packing.piece_lengths(2048, 2048) == [2048] and packing.piece_lengths(1, 2048) == [1]
