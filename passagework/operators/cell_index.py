@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.functions.knn import HITS, RunningHits, matrix
+from passagework.functions.knn import HITS, QueryBlock, RunningHits, matrix
 from passagework.functions.vectors import radius_of
 from passagework.lineage import cut
-from passagework.operators.grid import folded, packed
-from passagework.operators.search import normalised, vectors_of, fetch_hits, found_schema, rank_hits, ranked_hits
+from passagework.operators.grid import dealt, folded, gathered, meet, packed, unpacked
+from passagework.operators.search import CODEC, TOGETHER, fetch_hits, found_schema, normalised, rank_hits, ranked_hits, vectors_of
 from passagework.schemas import Settings
 
 #: Most cells of an index; centres are kept by the driver and sent to tasks, so this bounds them.
@@ -206,66 +206,89 @@ def _audited(index: CellIndex, stored: DataFrame, ties: list[str], recall: float
     return 1, 1.0
 
 
-def _probing(index: CellIndex, probes: int | None, radius: str | None):
-    """Queries with the number of each cell they read: the nearest ``probes``, or all that may hold a vector within the
-    squared distance in column ``radius``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches if len(index.cells) else ():
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                x = matrix(batch.column("embedding"))
-                apart = distances(x, index.centres)
-                if probes is not None:
-                    wanted = np.zeros(apart.shape, bool)
-                    near = np.argsort(apart, axis=1, kind="stable")[:, :probes]
-                    np.put_along_axis(wanted, near, True, axis=1)
-                else:
-                    reach = np.sqrt(np.maximum(batch.column(radius).to_numpy(zero_copy_only=False), 0))
-                    bound = apart - index.radius
-                    for j, far in enumerate(distances(x, index.pivots).T):
-                        bound = np.maximum(bound, np.maximum(index.low[:, j] - far[:, None], far[:, None] - index.high[:, j]))
-                    wanted = bound <= (reach + SLACK * (1 + np.where(np.isfinite(reach), reach, 0)))[:, None]
-                query, cell = np.nonzero(wanted)
-                part = batch.select(["query_id", "embedding", "category", "top_k"]).take(pa.array(query))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(index.cells[cell])], [*part.schema.names, "cell"])
-
-    return run
-
+def _reads(block: QueryBlock, index: CellIndex, probes: int | None) -> Iterator[np.ndarray]:
+    """For some queries of the block after the other, whether they read each cell: the nearest ``probes``, or all that may
+    hold a vector within the squared distance ``reach`` of the query."""
+    for at in range(0, len(block.ids), 1024):
+        x = block.vectors[at:at + 1024]
+        apart = distances(x, index.centres)
+        if probes is not None:
+            wanted = np.zeros(apart.shape, bool)
+            np.put_along_axis(wanted, np.argsort(apart, axis=1, kind="stable")[:, :probes], True, axis=1)
+        else:
+            reach = np.sqrt(np.maximum(block.reach[at:at + 1024], 0))
+            bound = apart - index.radius
+            for j, far in enumerate(distances(x, index.pivots).T):
+                bound = np.maximum(bound, np.maximum(index.low[:, j] - far[:, None], far[:, None] - index.high[:, j]))
+            wanted = bound <= (reach + SLACK * (1 + np.where(np.isfinite(reach), reach, 0)))[:, None]
+        yield wanted
+
+
+class CellHits(RunningHits):
+    """Like ``RunningHits`` for blocks of rows of one cell each: only the queries that read a cell meet its vectors."""
+
+    def __init__(self, queries: pa.RecordBatch, default_k: int, ties: list[str], index: CellIndex, probes: int | None, radius: float):
+        super().__init__(queries, default_k, ties, None, radius)
+        self.place = {cell: i for i, cell in enumerate(index.cells.tolist())}
+        # A bit for each cell and query.
+        self.reads = [np.concatenate([np.packbits(r.T, axis=1) for r in _reads(t.block, index, probes)], axis=1) for t in self.tops]
+
+    def among(self, number: int, stored: pa.RecordBatch) -> np.ndarray:
+        bits = self.reads[number][self.place[stored.column("cell")[0].as_py()]]
+        return np.unpackbits(bits, count=len(self.tops[number].block.ids)).astype(bool)
+
+
+def _hits_in_cells(wanted: DataFrame, count: int, index: CellIndex, ties: list[str], settings: Settings, most: int,
+                   probes: int | None = None, radius: float = float("inf"), only=None) -> DataFrame:
+    """Ranked hits of queries (query_id, embedding, category, top_k[, reach]) among the vectors of the cells they read.
+
+    Blocks of queries meet blocks of cells; which queries of a block read a cell is found where they meet, so that no
+    query is copied for each of its cells. The driver sees no more than which cells a part of the queries reads.
+    """
+    if not len(index.cells):
+        return wanted.sparkSession.createDataFrame([], found_schema(ties)).select(
+            "query_id", F.lit(1).alias("rank"), *ties, "distance")
+    limit = max(1, min(settings.query_block, HITS // max(most, 1)))
+    blocks, parts, slices = gathered(*dealt(wanted, "query_id", limit, count, CODEC), TOGETHER)
+    default_k = settings.top_k
 
-def _hits_in_cells(probed: DataFrame, index: CellIndex, ties: list[str], settings: Settings, most: int,
-                   radius: float = float("inf"), only=None) -> DataFrame:
-    """Ranked hits of queries (query_id, embedding, category, top_k, cell) among the vectors of their cells."""
-    stored = index.vectors(probed.sparkSession)
+    def reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, query in zip(batch.column("part").to_pylist(), batch.column("query"), strict=True):
+                block = QueryBlock.from_arrow(pa.Table.from_batches([unpacked(query.as_buffer())]), default_k)
+                some = np.zeros(len(index.cells), bool)
+                for reads in _reads(block, index, probes):
+                    some |= reads.any(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(index.cells[some], pa.int32()), pa.array([part] * int(some.sum()), pa.int32())],
+                                                 ["key", "part"])
+
+    # At most CELLS rows for each part.
+    pairs = cut(blocks.mapInArrow(reading, "key int, part int").distinct())
+    stored = index.vectors(wanted.sparkSession)
     stored = stored if only is None else stored.where(only)
     # Numbers of cells, at most CELLS of them: Spark reads their folders alone.
-    cells = probed.where("cell >= 0").select("cell").distinct()
+    cells = pairs.where("key >= 0").select(F.col("key").alias("cell")).distinct()
     stored = stored.join(F.broadcast(cells), "cell", "left_semi").select(*ties, "category", "embedding", "cell")
-    limit = max(1, min(settings.query_block, HITS // max(most, 1)))
-    queries = cut(packed(probed.repartition("cell", F.pmod("query_id", F.lit(16))), limit, key="cell").select(
-        "key", F.monotonically_increasing_id().alias("number"), F.col("data").alias("query")))
-    met = packed(stored, key="cell").join(queries, "key").select("number", "query", "data")
-    default_k = settings.top_k
-    found = folded(met, lambda block: RunningHits(block, default_k, ties, None, radius), found_schema(ties))
+    met = meet(packed(stored, key="cell", codec=CODEC), blocks, parts, slices, pairs)
+    found = folded(met, lambda block: CellHits(block, default_k, ties, index, probes, radius), found_schema(ties))
     return ranked_hits(found, ties, most)
 
 
-_PROBED = "query_id long, embedding array<float>, category string, top_k int, cell int"
-
-
-def _wanted(queries: DataFrame, settings: Settings) -> tuple[DataFrame, int, int]:
+def _wanted(queries: DataFrame, settings: Settings) -> tuple[DataFrame, int, int, int]:
+    """Queries, written, how many there are, how many hits they want together, and the most that one wants."""
     wanted = cut(normalised(queries).where("embedding is not null").withColumn("embedding", F.col("embedding").cast("array<float>")))
     k = F.greatest(F.coalesce(F.nullif("top_k", F.lit(0)), F.lit(settings.top_k)), F.lit(0)).cast("long")
-    bound, most = wanted.agg(F.sum(k), F.max(k)).first()
-    return wanted, bound or 0, max(most or 0, 1)
+    count, bound, most = wanted.agg(F.count("*"), F.sum(k), F.max(k)).first()
+    return wanted, count, bound or 0, max(most or 0, 1)
 
 
 def search_cells(queries: DataFrame, collection: DataFrame, index: CellIndex, probes: int | None = None,
                  settings: Settings = Settings(), ties: Sequence[str] = ("ordinal",)) -> DataFrame:
     """Like ``search``, in the ``probes`` cells nearest to each query (as many as the index was measured with).
     Scores are exact; hits in other cells are missed. A folder is read once, whatever the number of queries."""
-    wanted, bound, most = _wanted(queries, settings)
-    probed = cut(wanted.mapInArrow(_probing(index, probes or index.probes, None), _PROBED))
-    return fetch_hits(_hits_in_cells(probed, index, list(ties), settings, most), bound, collection, settings, ties)
+    wanted, count, bound, most = _wanted(queries, settings)
+    ranked = _hits_in_cells(wanted, count, index, list(ties), settings, most, probes or index.probes)
+    return fetch_hits(ranked, bound, collection, settings, ties)
 
 
 def search_range(queries: DataFrame, collection: DataFrame, index: CellIndex, threshold: float | None = None,
@@ -277,10 +300,9 @@ def search_range(queries: DataFrame, collection: DataFrame, index: CellIndex, th
     """
     threshold = settings.threshold if threshold is None else threshold
     limit, radius = max_results or settings.threshold_candidates, radius_of(threshold)
-    wanted, bound, most = _wanted(queries.withColumn("top_k", F.lit(limit)), settings)
+    wanted, count, bound, most = _wanted(queries.withColumn("top_k", F.lit(limit)), settings)
     only = pivot_bounds(wanted, index, radius) if np.isfinite(radius) else None
-    probed = cut(wanted.withColumn("radius", F.lit(radius)).mapInArrow(_probing(index, None, "radius"), _PROBED))
-    ranked = _hits_in_cells(probed, index, list(ties), settings, most, radius, only)
+    ranked = _hits_in_cells(wanted.withColumn("reach", F.lit(radius)), count, index, list(ties), settings, most, None, radius, only)
     return fetch_hits(ranked, bound, collection, settings, ties, threshold)
 
 
@@ -308,12 +330,10 @@ def search_exactly(queries: DataFrame, collection: DataFrame, index: CellIndex,
     """Like ``search``, with the same rows: the nearest cells give each query a distance that its hits cannot exceed,
     and then all cells are read that may hold a vector so near."""
     ties = list(ties)
-    wanted, bound, most = _wanted(queries, settings)
-    near = cut(wanted.mapInArrow(_probing(index, max(1, min(index.probes, len(index.cells) // 8)), None), _PROBED))
-    first = _hits_in_cells(near, index, ties, settings, most)
+    wanted, count, bound, most = _wanted(queries, settings)
+    first = _hits_in_cells(wanted, count, index, ties, settings, most, max(1, min(index.probes, len(index.cells) // 8)))
     full = F.greatest(F.coalesce(F.nullif("top_k", F.lit(0)), F.lit(settings.top_k)), F.lit(0))
     last = first.groupBy("query_id").agg(F.max("distance").alias("last"), F.count("*").alias("found"))
     reach = F.when(F.col("found") >= full, F.col("last")).otherwise(F.lit(float("inf")))
-    probed = cut(wanted.join(last, "query_id", "left").withColumn("radius", reach).drop("last", "found")
-                 .mapInArrow(_probing(index, None, "radius"), _PROBED))
-    return fetch_hits(_hits_in_cells(probed, index, ties, settings, most), bound, collection, settings, ties)
+    bounded = cut(wanted.join(last, "query_id", "left").withColumn("reach", reach).drop("last", "found"))
+    return fetch_hits(_hits_in_cells(bounded, count, index, ties, settings, most), bound, collection, settings, ties)

@@ -13,4 +13,5 @@ def local_session(cores: int | str = "*", name: str = "passagework") -> SparkSes
             .config("spark.sql.shuffle.partitions", "8")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.adaptive.enabled", "true")
+            .config("spark.sql.maxMetadataStringLength", "1000")  # plans say whole paths
             .getOrCreate())

@@ -5,6 +5,8 @@ import pytest
 from conftest import plan
 from pyspark.sql import functions as F
 
+from passagework.lineage import cut
+from passagework.operators import grid
 from passagework.operators.cell_index import build_index, open_index, pivot_bounds, search_cells, search_exactly, search_range
 from passagework.operators.search import search, search_above
 from passagework.schemas import Settings
@@ -65,6 +67,26 @@ def test_few_cells_find_nearly_all(spark, stored):
     assert index.probes <= 4 and share < 0.45 and index.rows.sum() == 1500
 
 
+def test_queries_are_not_copied_for_their_cells(spark, stored, tmp_path):
+    """Blocks of queries meet blocks of cells: what is written grows with the queries, not with the cells they read."""
+    table, index = stored
+    queries = cut(asked(table, 1).drop("category", "top_k"))
+    before = spark.sparkContext.getCheckpointDir()
+    try:
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+        found = search_cells(queries, table, index, probes=len(index.cells))
+        size = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+        got = rows(found)
+        assert size < 6 * queries.count() * 16 * 4
+        # Many parts, shuffled to slices, find the same.
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(grid, "BROADCAST", 0)
+            assert rows(search_exactly(queries, table, index, Settings(query_block=200))) == got
+            assert rows(search(queries, table, Settings(query_block=200))) == got
+    finally:
+        spark.sparkContext.setCheckpointDir(before)
+
+
 def test_folders_and_row_groups_are_skipped(spark, stored):
     table, index = stored
     queries = asked(table, 1499).drop("category", "top_k")
