@@ -97,6 +97,23 @@ def test_equal_messages_are_answered_once_and_kept(spark, tmp_path):
     assert complete_once(asked(spark, 60, 25).limit(0), model(calls), str(tmp_path / "none")).count() == 0
 
 
+def test_rounds_do_not_work_out_their_messages_again(spark, tmp_path):
+    """However many rounds there are, messages are made once to be asked, and once where answers are joined to rows."""
+    made = tmp_path / "made"
+    made.mkdir()
+    folder = str(made)
+
+    @F.udf("array<struct<role:string,content:string>>")
+    def make(i):
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return [("user", f"question {i}")]
+
+    rows = spark.range(0, 30, 1, 3).select("id", make.asNondeterministic()("id").alias("messages"))
+    answered = complete_once(rows, model(tmp_path), str(tmp_path / "answers"), calls_at_once=3, wait=0)
+    assert len(os.listdir(made)) == 30
+    assert {r.id: r.answer for r in answered.select("id", "answer").collect()} == {i: f"re: question {i} 0.1 1024" for i in range(30)}
+
+
 def test_a_job_that_dies_goes_on_after_its_last_round(spark, tmp_path):
     calls, answers, stop = tmp_path / "calls", str(tmp_path / "answers"), str(tmp_path / "stop")
     calls.mkdir()
