@@ -23,8 +23,9 @@ def _load(spark: SparkSession, directory: str, suffix: str, recursive: bool, eve
     place = qualified_root(spark, root)
     if place is None:
         raise FileNotFoundError(f"no such folder: {directory}")
-    if every:
-        return read_files(list_files(spark, place, suffix, recursive), place)
+    # Folders that Spark's reader would list on the driver, keeping every name there, are listed in tasks.
+    if every or recursive and place.startswith("/") and not re.search(r"[*?\[\]{}\\]", place + suffix):
+        return read_files(list_files(spark, place, suffix, recursive, every), place)
     below = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}") \
         .option("recursiveFileLookup", "true")
     try:
@@ -56,8 +57,9 @@ def scan_texts(spark: SparkSession, directory: str, recursive: bool = True,
 
     ``doc_id`` is a hash of the path, so it does not depend on how the files are split into tasks. A file
     that is not UTF-8 has a null text, like any document that cannot be read. Spark passes over files of
-    zero bytes and files whose names begin with a dot or an underscore; with ``every`` tasks list and read the
-    files instead (see ``sources.listing``), on file systems that pyarrow knows, and none is passed over.
+    zero bytes and files whose names begin with a dot or an underscore; with ``every`` none is passed over. Tasks list and
+    read the files then (see ``sources.listing``), on file systems that pyarrow knows, and without ``every`` those
+    below local and mounted folders; elsewhere Spark's reader lists on the driver.
     """
     text = F.col("content").cast("string")
     files = _load(spark, directory, suffix, recursive, every).select(

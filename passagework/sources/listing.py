@@ -32,13 +32,13 @@ def open_filesystem(root: str) -> tuple[fs.FileSystem, str]:
     return found, root[:len(root) - len(known) + known.rindex(path)]
 
 
-def _entries(where: fs.FileSystem, folder: str) -> Iterator[tuple[str, int, bool]]:
-    """(path, length, is a folder) of what lies in a folder. Links to folders are not followed, so that no
-    folder is met twice; links to files are files."""
+def _entries(where: fs.FileSystem, folder: str, follow: bool) -> Iterator[tuple[str, int, bool]]:
+    """(path, length, is a folder) of what lies in a folder. Links to folders are not followed unless asked for, so that
+    no folder is met twice; links to files are files."""
     if isinstance(where, fs.LocalFileSystem):
         with os.scandir(folder) as entries:
             for entry in entries:
-                if entry.is_dir(follow_symlinks=False):
+                if entry.is_dir(follow_symlinks=follow):
                     yield entry.path, 0, True
                 elif entry.is_file():
                     yield entry.path, entry.stat().st_size, False
@@ -48,7 +48,14 @@ def _entries(where: fs.FileSystem, folder: str) -> Iterator[tuple[str, int, bool
             yield entry.path, entry.size or 0, entry.type == fs.FileType.Directory
 
 
-def _list(root: str, suffix: str, recursive: bool):
+def _passed_over(path: str) -> bool:
+    """Whether Spark's readers pass over a file or folder for its name."""
+    name = path[path.rindex("/") + 1:]
+    return name.startswith(".") or name.endswith("._COPYING_") or \
+        name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata"))
+
+
+def _list(root: str, suffix: str, recursive: bool, every: bool):
     def batch(rows: list[tuple[str, int, bool]], prefix: str) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array([prefix + r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()),
@@ -59,7 +66,9 @@ def _list(root: str, suffix: str, recursive: bool):
         rows = []
         for folders in batches:
             for folder in folders.column("path").to_pylist():
-                for entry in _entries(where, folder[len(prefix):]):
+                for entry in _entries(where, folder[len(prefix):], follow=not every):
+                    if not every and (_passed_over(entry[0]) or not entry[2] and not entry[1]):
+                        continue
                     # A name that is no text in UTF-8 cannot be a value of a table.
                     if (recursive if entry[2] else entry[0].endswith(suffix)) and _is_text(entry[0]):
                         rows.append(entry)
@@ -79,9 +88,12 @@ def _is_text(name: str) -> bool:
     return True
 
 
-def list_files(spark: SparkSession, root: str, suffix: str = "", recursive: bool = True) -> DataFrame:
+def list_files(spark: SparkSession, root: str, suffix: str = "", recursive: bool = True, every: bool = True) -> DataFrame:
     """(path, length) of every file below ``root``, an absolute path or a URI, whose name ends in ``suffix``.
 
+    Without ``every`` of those that Spark's readers see: no empty files, no names that begin with a dot or an underscore, and
+    what lies in folders that are links.
+
     One job per depth of the tree. Each level is written to the shared folder, so a lost task lists its folders
     again and no others. The files of one folder are listed by one task, ``NAMES`` at a time on local and
     mounted folders; other file systems that pyarrow knows give a folder's files at once. An empty folder has no rows.
@@ -93,7 +105,7 @@ def list_files(spark: SparkSession, root: str, suffix: str = "", recursive: bool
         level = f"{levels}/depth={depth}"
         # The names on the way are hashed, so the folders of a large parent are dealt over all tasks.
         frontier.select("path").repartition(tasks if depth else 1, "path") \
-            .mapInArrow(_list(root, suffix, recursive), LISTED).write.parquet(level)
+            .mapInArrow(_list(root, suffix, recursive, every), LISTED).write.parquet(level)
         frontier, depth = spark.read.schema(LISTED).parquet(level).where("folder"), depth + 1
         if not recursive or frontier.isEmpty():
             break

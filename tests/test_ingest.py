@@ -499,3 +499,20 @@ def test_a_cluster_needs_a_shared_folder(master, fails):
             shared_folder(session)
     else:
         assert os.path.isdir(shared_folder(session))
+
+
+def test_plain_scan_lists_in_tasks_what_sparks_reader_sees(spark, tmp_path):
+    """The driver lists no folders, and names, empty files and links count as Spark's own reader takes them."""
+    root = tmp_path / "files"
+    for name, text in (("k=1/part-0.txt", "a"), ("k=1/_x.txt", "b"), ("k=1/.y.txt", "c"), ("_k=2/z.txt", "d"), ("_k3/z.txt", "e"),
+                       (".k/z.txt", "f"), ("k=4/empty.txt", ""), ("k=4/a b%2F+.txt", "g"), ("k=4/other.md", "h"), ("top.txt", "i")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    (tmp_path / "far").mkdir()
+    (tmp_path / "far" / "linked.txt").write_text("j")
+    (root / "link").symlink_to(tmp_path / "far")
+    found = scan_texts(spark, str(root))
+    want = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(str(root))
+    assert {r.text for r in found.collect()} == {bytes(r.content).decode() for r in want.collect()}
+    assert {r.filename for r in found.collect()} >= {"part-0.txt", "a b%2F+.txt", "linked.txt"}
+    assert "binaryFile" not in plan(found)

@@ -9,6 +9,8 @@ import re
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,14 +102,49 @@ def _files(spark, sf):
         F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
 
 
+def _folder(name: str, value: str | None) -> str:
+    """A folder named as Spark names those of a partition."""
+    if not value:
+        return f"{name}=__HIVE_DEFAULT_PARTITION__"
+    return f"{name}=" + re.sub(r"""[\x01-\x1f"#%'*/:=?\\\x7f{[\]^]""", lambda c: f"%{ord(c[0]):02X}", value)
+
+
+def _write_texts(root: str):
+    """Tasks that write rows (text, lang, doc_id), sorted by the latter, as lines of one file in a folder for each.
+    No task commits files on the driver, one by one; one that is repeated writes the same files."""
+    def run(batches):
+        where, prefix = open_filesystem(root)
+        base, open_, out = root[len(prefix):], None, None
+        where.create_dir(base, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():05d}.txt"
+        try:
+            for batch in batches:
+                for text, *place in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "doc_id"))):
+                    if place != open_:
+                        if out:
+                            out.close()
+                        open_, folder = place, f"{base}/{_folder('lang', place[0])}/{_folder('doc_id', place[1])}"
+                        where.create_dir(folder, recursive=True)
+                        out = where.open_output_stream(f"{folder}/{name}")
+                    out.write(f"{text or ''}\n".encode())
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+        finally:
+            if out:
+                out.close()
+
+    return run
+
+
 @register("scanned_texts", """select 'doc_id=' || doc_id as category, text || chr(10) as text,
     'part' as filename from documents""")
 def scanned_texts(spark, sf):
     """The documents as files, one each, and read back."""
-    root = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
-    spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang", "doc_id").write.partitionBy(
-        "lang", "doc_id").text(root)
-    return scan_texts(spark, root).select("category", "text", F.substring("filename", 1, 4).alias("filename"))
+    folder = f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+    root = re.sub(r"\Afile:/+", "/", folder)
+    rows.select("text", F.col("lang").cast("string"), F.col("doc_id").cast("string")).mapInArrow(_write_texts(root), "n long") \
+        .write.format("noop").mode("overwrite").save()
+    return scan_texts(spark, folder).select("category", "text", F.substring("filename", 1, 4).alias("filename"))
 
 
 # Names of which Spark's readers pass over half, and empty files among the others.
