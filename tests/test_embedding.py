@@ -51,3 +51,17 @@ def test_similarity(spark):
     df = spark.createDataFrame([("a b", "a b"), ("a", ""), ("a b", "a c")], "l string, r string")
     got = [r.similarity for r in text_similarity(df, HashEmbedder(64), "l", "r").collect()]
     assert abs(got[0] - 1) < 1e-6 and got[1] == 0.0 and -1 <= got[2] < 1
+
+
+def test_remembered_tokens_take_little_memory():
+    """A worker remembers codes of tokens, and there are several workers: many distinct ones must not stay."""
+    import sys
+
+    from passagework.functions.embedding import _TokenCodes
+
+    codes, most = _TokenCodes(), 0
+    for i in range(300_000):
+        codes[b"token%d" % i]
+        if i % 10_000 == 0:
+            most = max(most, sys.getsizeof(codes) + 100 * len(codes))
+    assert most < 24 << 20
