@@ -6,10 +6,11 @@
    key. Parts with fewer than ``STRONG`` n-grams, which unlike sets may share by chance, are passed over
    as long as the number of parts allows for it. Small sets use the sums of the set without any one or two
    of its members instead. Below a threshold of ``PARTED`` percent parts would be too small to tell sets
-   apart; there the keys are a set's smallest hashes, as many as it may lack of another set, and one more.
-   Sets that share keys form clusters; no link leaves a cluster. Single hashes also tie together sets that
-   have a passage in common, so these clusters are laid out in tiles of bitmaps first, and only pairs that pass
-   the bound of step 3 stay together.
+   apart; there the keys are a set's rarest hashes, as many as it may lack of another set, and one more. How common
+   a hash is was counted over all sets; those that no other set has are no keys, so that most sets, which have
+   enough of their own, have none and go no further, and a passage that many sets have in common ties none together
+   that have more than it. Sets that share keys form clusters; no link leaves a cluster. Clusters by
+   single hashes are laid out in tiles of bitmaps first, and only pairs that pass the bound of step 3 stay together.
 3. A cluster is laid out in tiles of about ``TILE`` sets at most, by bands of size. Inside a tile, bitmaps of the
    hashes give an upper bound of each overlap, and pairs that pass it are intersected exactly. Pairs that
    other links have joined already need no look, as the result is components.
@@ -29,7 +30,9 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +52,16 @@ SMALL = 27
 STRONG = 3
 #: Least threshold in percent for keys by parts.
 PARTED = 88
+#: Sets that an n-gram is in, at least, for each class of common ones, and most bits of the table of the first class.
+COMMON, TABLE = (2, 4, 16, 64), 1 << 29
+#: Texts and bytes of them that are taken apart together, and hashes that are sorted together.
+TEXTS, BYTES, SORTED = 500, 4 << 20, 1 << 22
+#: Longest word, in bytes, that is hashed together with others.
+LONG = 64
 
 U64 = np.uint64
+#: The first so many bytes of eight.
+FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,14 +74,53 @@ def mix(x: np.ndarray) -> np.ndarray:
 WORD = Remembered(xxhash.xxh3_64_intdigest)
 
 
-def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct n-grams of words of a text with A-Z in lower case.
-
-    A text with fewer words has one, all of it; a text without words has none. Hashes have 64 bits: two
-    n-grams of one pair of texts collide with a chance of about size squared in 2 ** 64.
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a few texts; a long text has one of its own."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        most = (sizes[at - 1] if at else 0) + BYTES
+        stop = min(at + TEXTS, max(at + 1, int(np.searchsorted(sizes, most, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def word_codes(words: pa.Array) -> np.ndarray:
+    """A hash of each word, eight bytes of all words at a time; long words are hashed one by one."""
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    ends = np.frombuffer(words.buffers()[1], kind)[words.offset:words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    data = np.concatenate([data[ends[0]:ends[-1]], np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) - 7, U64, data, strides=(1,))
+    at, left = ends[:-1] - ends[0], np.diff(ends)
+    codes = mix(left.astype(U64) + U64(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(left > LONG)
+    codes[long] = [xxhash.xxh3_64_intdigest(data[at[i]:at[i] + left[i]].tobytes()) for i in long.tolist()]
+    rows = np.flatnonzero(left <= LONG) if len(long) else np.arange(len(left))
+    while len(rows := rows[left[rows] > 0]):
+        codes[rows] = mix(codes[rows] ^ (eights[at[rows]] & FIRST[np.minimum(left[rows], 8)]))
+        at[rows] += 8
+        left[rows] -= 8
+    return codes
+
+
+def shingle_sets(texts: pa.Array, n: int = WORDS) -> list[np.ndarray]:
+    """Sorted hashes of the distinct n-grams of words of each text with A-Z in lower case.
+
+    A text with fewer words has one, all of it; a text without words has none. Words stand between ASCII white space.
+    Hashes have 64 bits: two n-grams of one pair of texts collide with a chance of about size squared in 2 ** 64.
     """
-    words = split(text)
-    return np.unique(grams(word_hashes(words), min(n, len(words)))) if words else np.zeros(0, U64)
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = words.flatten()
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at the ends makes empty words
+    hashes = word_codes(flat)[full]
+    ends = np.concatenate([[0], np.cumsum(full)])[words.offsets.to_numpy()].tolist()
+    whole = grams(hashes, n)
+    out = []
+    for start, stop in zip(ends, ends[1:]):
+        found = np.sort(whole[start:stop - n + 1] if stop - start >= n else grams(hashes[start:stop], max(stop - start, 1)))
+        out.append(found[np.concatenate([found[:1] == found[:1], found[1:] != found[:-1]])])
+    return out
 
 
 def split(text: str | None) -> list[bytes]:
@@ -84,7 +134,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of every run of ``k`` words."""
-    many = len(hashes) - k + 1
+    many = max(len(hashes) - k + 1, 0)
     found = np.full(many, k, U64)
     for i in range(k):
         found = mix(found + hashes[i:i + many])
@@ -120,9 +170,6 @@ class Keys:
         n = len(found)
         if not n:
             return found
-        if self.percent < PARTED:
-            least = -(-self.percent * n // 100)  # members shared with any linked set
-            return found[:n - least + 1]
         self._grow(int(n * 100 / self.percent) + 2)
         values = mix(found ^ U64(0x9E3779B97F4A7C15))
         keys = []
@@ -154,6 +201,97 @@ class Keys:
         return keys if parts - strong.sum() > weak else keys[strong]
 
 
+class Classes:
+    """How common n-grams are, by bitmaps over the first bits of their hashes, one for each of ``COMMON``.
+
+    Class 0 is for those that are in one set alone, for certain; others may count as more common than they are.
+    """
+
+    def __init__(self, maps: list[np.ndarray]) -> None:
+        self.maps = maps
+
+    def of(self, found: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(found), np.uint8)
+        for bits in self.maps:
+            at = found >> U64(64 - (8 * len(bits) - 1).bit_length())
+            out += bits[at >> U64(3)] >> (at & U64(7)).astype(np.uint8) & np.uint8(1)
+        return out
+
+
+def rare_keys(found: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set for a threshold below ``PARTED``: its first hashes by class and hash, as many as it may lack of a
+    linked set and one more, without those that no other set has."""
+    many = len(found) + percent * -len(found) // 100 + 1 if len(found) else 0
+    shared = np.flatnonzero(classes)
+    many -= len(found) - len(shared)
+    return found[shared[np.argsort(classes[shared], kind="stable")[:many]]] if many > 0 else found[:0]
+
+
+def _marks(n: int, slices: int):
+    """Hashes of the n-grams of each text, by slice of their range, as the 32 bits behind those of the slice."""
+    inner = np.array([(j << 64) // slices for j in range(1, slices)], U64)
+    bits = U64(slices.bit_length() - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = np.sort(np.concatenate(held))
+            held.clear()
+            # What is here more often than the last class asks for is in it, whatever other tasks find.
+            most = COMMON[-1]
+            found = found[np.concatenate([np.ones(min(most, len(found)), bool), found[most:] != found[:-most]])]
+            parts = np.split(((found << bits) >> U64(32)).astype(np.uint32), np.searchsorted(found, inner))
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())],
+                                             ["slice", "data"])
+
+        many = 0
+        for batch in batches:
+            for piece in pieces(batch):
+                held += shingle_sets(piece.column("text"), n)
+                many += sum(map(len, held[-piece.num_rows:]))
+                if many >= SORTED:
+                    yield from flush()
+                    many = 0
+        if many:
+            yield from flush()
+
+    return run
+
+
+def _mapped(slices: int, sizes: list[int]):
+    """For the marks of a slice: its part of the bitmaps."""
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        marks = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("data")]))
+        first = np.flatnonzero(np.concatenate([marks[:1] == marks[:1], marks[1:] != marks[:-1]]))
+        marks, times = marks[first], np.diff(first, append=len(marks))
+        maps = []
+        for least, size in zip(COMMON, sizes, strict=True):
+            on = np.zeros(size // slices, bool)
+            on[marks[times >= least].astype(U64) * U64(len(on)) >> U64(32)] = True
+            maps.append(np.packbits(on, bitorder="little").tobytes())
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "maps": pa.array([maps], pa.list_(pa.binary()))})
+
+    return run
+
+
+def common_grams(docs: DataFrame, n: int = WORDS) -> Broadcast:
+    """``Classes`` of all n-grams of ``docs`` (text): a table of at most ``TABLE`` bits for the first class and an eighth of that for
+    each other one. Every n-gram of every text is counted; what travels is four bytes for each."""
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = min(max(1 << (volume // (32 << 20)).bit_length(), 8), 512)
+    size = min(max(1 << (volume // 4).bit_length(), 1 << 16), TABLE)
+    sizes = [size] + [size // 8] * (len(COMMON) - 1)
+    found = docs.select("text").mapInArrow(_marks(n, slices), "slice int, data binary").groupBy("slice") \
+        .applyInArrow(_mapped(slices, sizes), "slice int, maps array<binary>").toArrow()
+    maps = [np.zeros(x // 8, np.uint8) for x in sizes]
+    for part, own in zip(found.column("slice").to_pylist(), found.column("maps"), strict=True):
+        for bits, data in zip(maps, own.values, strict=True):
+            width = len(bits) // slices
+            bits[part * width:(part + 1) * width] = np.frombuffer(data.as_buffer(), np.uint8)
+    return docs.sparkSession.sparkContext.broadcast(Classes(maps))
+
+
 def bitmap(found: np.ndarray) -> np.ndarray:
     """Bits of the hashes, at least two for each; the width is a power of two, so halves can be folded."""
     width = 64
@@ -168,19 +306,19 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
 
 
-def _profiles(n: int, percent: int):
+def _profiles(n: int, percent: int, common: Broadcast | None):
+    """``common`` is from ``common_grams``, for a threshold below ``PARTED``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = Keys(percent)
+        keys = Keys(percent) if common is None else None
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in pieces(whole):
                 sizes, digests, lists, maps = [], [], [], []
-                for text in batch.column("text").to_pylist():
-                    found = shingles(text, n)
+                for found in shingle_sets(batch.column("text"), n):
+                    own = keys.of(found) if common is None else rare_keys(found, common.value.of(found), percent)
                     sizes.append(len(found))
                     digests.append(digest(found))
-                    lists.append(keys.of(found).view(np.int64))
-                    maps.append(bitmap(found).tobytes() if percent < PARTED else None)
+                    lists.append(own.view(np.int64))
+                    maps.append(None if common is None or not len(own) else bitmap(found).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                      pa.array(lists, pa.list_(pa.int64())), pa.array(maps, pa.binary())],
@@ -362,10 +500,9 @@ def _link(sets: DataFrame, percent: int, task: Column) -> DataFrame:
 def _sets(n: int, check):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for batch in pieces(whole):
                 texts = batch.column("text").to_pylist()
-                found = [shingles(text, n) for text in texts]
+                found = shingle_sets(batch.column("text"), n)
                 same = pa.array([check(t, f) == d for t, f, d in
                                  zip(texts, found, batch.column("digest").to_pylist(), strict=True)])
                 hashes = pa.array([f.tobytes() for f in found], pa.binary())
@@ -467,13 +604,16 @@ def similar(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
                    F.monotonically_increasing_id().alias("row"), place)
     kind = docs.schema[id_column].dataType.simpleString()
+    common = common_grams(rows, n) if percent < PARTED else None
     profiles = cut(docs.select(key.alias("key"), F.col(text_column).alias("text")).mapInArrow(
-        _profiles(n, percent), f"key struct<none: boolean, id: {kind}, row: bigint, place: {PLACE}>, n long, digest binary, "
+        _profiles(n, percent, common), f"key struct<none: boolean, id: {kind}, row: bigint, place: {PLACE}>, n long, digest binary, "
                                "keys array<long>, bits binary"))
+    if common is not None:
+        common.destroy()  # profiles are written
     marked = cut(settle(profiles.where("n > 0").select("key", "n", "digest"), k).select(
         "key", "n", "digest", F.col("first.row").alias("node"), F.col("first.id").alias("least")))
     heads = marked.where("key.row = node").select("node", "n", "digest", F.col("least").alias("id"))
-    clusters = components(stars(profiles.select(F.col("key.row").alias("row"), "keys"), k))
+    clusters = components(stars(profiles.where("size(keys) > 0").select(F.col("key.row").alias("row"), "keys"), k))
     if percent < PARTED:
         sets = heads.select("node", "n").join(clusters.select("node", F.col("component").alias("cluster")), "node") \
             .join(profiles.select(F.col("key.row").alias("node"), "bits"), "node")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from passagework.llm import components as components_module
@@ -109,6 +110,66 @@ def test_linked_sets_share_a_key():
                     assert np.intersect1d(keys.of(a), keys.of(b)).size, (n, m)
 
 
+def test_a_passage_in_common_ties_no_sets_together(spark, monkeypatch):
+    rng, tied = random.Random(11), []
+    passage = [f"licence{i}" for i in range(40)]
+    rows = []
+    for family in range(40):
+        words = [f"w{family}a{i}" for i in range(150)]
+        rows += [(2 * family, " ".join(words + passage))] + [(2 * family + 1, " ".join(edits(rng, words, 3) + passage))] * (family < 3)
+    whole = jj.bounded
+    monkeypatch.setattr(jj, "bounded", lambda sets, *rest: tied.extend(sets.collect()) or whole(sets, *rest))
+    assert run(spark, rows, percent=80, n=5) == [
+        (i, len(plain_set(text, 5)), i - i % 2) for i, text in sorted(rows)]
+    assert len(tied) == 6 and len({r.cluster for r in tied}) == 3
+
+
+def test_linked_sets_share_a_rare_key():
+    rng = np.random.default_rng(8)
+    for n in [*range(1, 40), 100, 1000]:
+        for _ in range(10):
+            pool = np.unique(rng.integers(0, 2 ** 64, n + n // 4 + 2, np.uint64))
+            kind = rng.integers(0, 4, len(pool)).astype(np.uint8)  # how common others are has no part in it
+            cuts = rng.permutation(len(pool))
+            one = np.sort(cuts[:n])
+            two = np.sort(np.concatenate([cuts[rng.integers(0, n // 4 + 1):n], cuts[n:n + rng.integers(0, n // 4 + 2)]]))
+            shared = np.intersect1d(one, two)
+            kind[shared] = np.maximum(kind[shared], 1)
+            a, b = (jj.rare_keys(pool[x], kind[x], 80) for x in (one, two))
+            if 100 * len(shared) >= 80 * (len(one) + len(two) - len(shared)):
+                assert np.intersect1d(a, b).size, n
+            assert len(a) <= n - -(-80 * n // 100) + 1
+
+
+def test_what_two_texts_share_is_never_of_the_first_class(spark, monkeypatch):
+    monkeypatch.setattr(jj, "SORTED", 50)  # counted in many pieces
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(60))) for _ in range(80)] + [None, "", "alone in here"]
+    common = jj.common_grams(spark.createDataFrame([(x,) for x in texts], "text string").repartition(3), 3).value
+    sets = jj.shingle_sets(pa.array(texts), 3)
+    hashes, times = np.unique(np.concatenate(sets), return_counts=True)
+    least = sum((times >= x).astype(int) for x in jj.COMMON)
+    assert (common.of(hashes) >= least).all()
+    assert (common.of(hashes) == least).mean() > 0.9 and common.of(sets[-1]).max() <= 1
+    empty = jj.common_grams(spark.createDataFrame([], "text string"), 3).value
+    assert not empty.of(hashes).any()
+
+
+def test_sets_of_many_texts(monkeypatch):
+    rng = random.Random(2)
+    texts = [None, "", " \n", "One", "one TWO", "A b  C\x0bd\x0ce\tf", "\x1c a \x1d b\x85c d é E", "q" * 64 + " " + "q" * 65 + " " + "q" * 300]
+    texts += ["".join(rng.choice("ab AB\n\té\x0b") for _ in range(rng.randrange(60))) for _ in range(300)]
+    monkeypatch.setattr(jj, "BYTES", 200)
+    for kind in (pa.string(), pa.large_string()):
+        found, plain = {}, {}
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, kind)], ["text"]).slice(1)
+        sets = [x for piece in jj.pieces(batch) for x in jj.shingle_sets(piece.column("text"))]
+        for text, got in zip(texts[1:], sets, strict=True):
+            want = plain_set(text)
+            assert len(got) == len(want) and (got[1:] > got[:-1]).all()
+            assert found.setdefault(want, got.tobytes()) == got.tobytes() and plain.setdefault(got.tobytes(), want) == want
+
+
 def test_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200)).astype(np.uint64) << np.uint64(45)) for _ in range(40)]
